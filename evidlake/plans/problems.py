@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nesting, orphans
+from ..operators import nesting, orphans, units
 from ..sources.tables import table
 
 # ---------------------------------------------------------------- p1: orphan references
@@ -154,3 +154,72 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     key = F.when(t == "qa", _question_no("name", "pos").cast("string")).when(t == "cell", F.col("pos").cast("string")).when(t == "gold", _gold_key()).otherwise(_ann_key())
     n = _report_nodes(spark, root).where(t.isin("qa", "cell", "gold", "ann_table_row", "ann_text_row"))
     return n.select(F.col("doc_id").alias("raw_id"), t.alias("child"), parent.cast("int").alias("parent_no"), key.alias("child_key")).where(F.col("child_key").isNotNull()).distinct()
+
+
+# ---------------------------------------------------------------- p4: units
+
+#: tolerance of a match, relative to the gold value; the last digits belong to binary rounding
+_TOLERANCE = 1e-3 * (1 + 1e-9)
+
+
+def _amounts(spark: SparkSession, root: str) -> DataFrame:
+    p = table(spark, root, "predictions", "prediction_id", "example_id", "run_at", "question", "gold_answer", "predicted_answer", "answer_unit", "answer_scale")
+    return p.select(
+        "prediction_id", "example_id", "run_at", "answer_scale",
+        units.text_amount(F.col("gold_answer")).alias("gold"), units.text_amount(F.col("predicted_answer")).alias("pred"),
+        units.label_unit(F.col("answer_unit")).alias("label"), units.question_unit(F.col("question")).alias("asked"),
+    )
+
+
+def p4_amounts(spark: SparkSession, root: str) -> DataFrame:
+    """Both answers of every prediction in common units.
+
+    The device is the prediction, its series the gold and the predicted answer.
+    The rules of the data fix a unit for every number, so evidence is hard here.
+    """
+    a = _amounts(spark, root).select(
+        "prediction_id", "gold", "pred",
+        units.evidence(F.col("gold"), F.col("asked")).alias("gold_said"),
+        units.evidence(F.col("pred"), F.col("asked"), F.col("label"), F.col("answer_scale")).alias("pred_said"),
+    )
+    a = a.where(F.col("gold").isNotNull() | F.col("pred").isNotNull()).withColumn(
+        "state", units.decode(F.array(F.col("gold.number"), F.col("pred.number")), F.array("gold_said", "pred_said"))
+    )
+    out = [F.col("prediction_id")]
+    for i, side in enumerate(("gold", "pred")):
+        state = F.get("state", F.lit(i))
+        out += [F.col(f"{side}.number").alias(f"{side}_number"), units.state_kind(state).alias(f"{side}_kind"), (F.col(f"{side}.number") * units.state_factor(state)).alias(f"{side}_value")]
+    return a.select(*out)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    a = p4_amounts(spark, root)
+    kinds = (F.col("gold_kind") == F.col("pred_kind")) | (F.col("gold_kind") == "none") | (F.col("pred_kind") == "none")
+    near = F.abs(F.col("gold_value") - F.col("pred_value")) <= _TOLERANCE * F.abs("gold_value")
+    apart = F.abs(F.col("gold_number") - F.col("pred_number")) > _TOLERANCE * F.abs("gold_number")
+    return a.where(kinds & near & apart).select("prediction_id").distinct()
+
+
+def p4_unit_switches(spark: SparkSession, root: str) -> DataFrame:
+    """Units of the predicted answers decoded from the level alone where their texts are silent.
+
+    The device is the example, its series the predicted answers in order of
+    time, each part led by the gold answer; labels and questions are not used.
+    ``switched``: the unit differs from the one before it.
+    """
+    a = _amounts(spark, root).where(F.col("pred").isNotNull() & F.col("gold").isNotNull() & F.col("example_id").isNotNull())
+    a = a.select("example_id", "run_at", "prediction_id", F.col("pred.number").alias("number"), units.evidence(F.col("pred"), F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("factor"))).alias("said"),
+                 F.col("gold.number").alias("lead"), units.evidence(F.col("gold"), F.col("asked")).alias("lead_said")).distinct()
+    s = units.bounded_series(a, "example_id", ["run_at", "prediction_id", "number"], ["said", "lead", "lead_said"])
+    i = F.col("items")
+    s = s.select(
+        "example_id", "items",
+        units.decode(F.concat(F.array(i[0]["lead"]), i["number"]), F.concat(F.array(i[0]["lead_said"]), i["said"]), prior=3.0).alias("states"),
+    )
+    s = s.select("example_id", F.posexplode("items").alias("n", "item"), "states")
+    state, before = F.get("states", F.col("n") + 1), F.get("states", F.col("n"))
+    return s.select(
+        "example_id", F.col("item.prediction_id").alias("prediction_id"), F.col("item.number").alias("number"), F.col("item.said").isNotNull().alias("stated"),
+        units.state_kind(state).alias("kind"), units.state_factor(state).alias("factor"), (F.col("item.number") * units.state_factor(state)).alias("value"),
+        (state != before).alias("switched"),
+    )
