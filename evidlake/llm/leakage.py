@@ -53,14 +53,17 @@ _UNPRINTED_SET = frozenset(_UNPRINTED)
 _DROP = _Drop()
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, case folded, after compatibility normalisation."""
-    if not text:
-        return []
+def printed(text: str) -> str:
+    """The text after compatibility normalisation, without unprinted characters and divisions at line ends."""
     if _ODD.search(text):
         text = _DIVIDED.sub("", unicodedata.normalize("NFKC", text)).translate(_DROP)
         text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(_DIVIDED.sub("", text).casefold())
+    return _DIVIDED.sub("", text)
+
+
+def words(text: str | None) -> list[str]:
+    """Runs of letters and digits, case folded, of the printed text."""
+    return _WORD.findall(printed(text).casefold()) if text else []
 
 
 class Patterns:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, ledger
+from . import leakage, ledger, subjects
 
 # ---------------------------------------------------------------- p2: duplicates hidden by formatting
 
@@ -58,3 +58,21 @@ def p6_leaks(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_leaks(spark, root).select("doc_id", "item_id")
+
+# ---------------------------------------------------------------- p8: subject areas
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents", "doc_id", "text")
+    models = subjects.fit(documents, table(spark, root, "doc_labels", "doc_id", "subject"), table(spark, root, "subject_areas", "subject", "description"))
+    return subjects.document_shares(documents, models)
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.subjects_of(p8_shares(spark, root))
+
+
+def p8_composition(spark: SparkSession, root: str) -> DataFrame:
+    """The corpus by subject: documents, and their sentences of the subject."""
+    shares = p8_shares(spark, root).where(F.col("share") >= subjects.SHARE)
+    return shares.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.round(F.col("share") * F.col("sentences"))).cast("long").alias("sentences"))
