@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, ledger, subjects
+from . import leakage, ledger, neighbours, subjects
 
 # ---------------------------------------------------------------- p2: duplicates hidden by formatting
 
@@ -76,3 +76,15 @@ def p8_composition(spark: SparkSession, root: str) -> DataFrame:
     """The corpus by subject: documents, and their sentences of the subject."""
     shares = p8_shares(spark, root).where(F.col("share") >= subjects.SHARE)
     return shares.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.round(F.col("share") * F.col("sentences"))).cast("long").alias("sentences"))
+
+# ---------------------------------------------------------------- p5: most similar vectors
+
+DIMS, NEAREST, LEAST_COSINE = 96, 5, 0.84
+
+
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "chunk_vectors", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, root), DIMS, LEAST_COSINE, NEAREST).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
