@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, ledger, neighbours, subjects
+from . import leakage, ledger, mixture, neighbours, subjects
 
 # ---------------------------------------------------------------- p2: duplicates hidden by formatting
 
@@ -88,3 +88,17 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, root), DIMS, LEAST_COSINE, NEAREST).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+# ---------------------------------------------------------------- p7: mixing sources
+
+
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, root, "documents", "doc_id", "source", "text"), table(spark, root, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root)[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.shares(*_mix(spark, root))
