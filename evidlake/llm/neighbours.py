@@ -146,18 +146,25 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: in
     """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes; ``own`` marks the rows indexed here."""
     s, _, probe, radius = shape
     keys = _substring(code, table, s)
+    order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
+    ids, code, own, keys = ids[order], code[order], own[order], keys[order]
     pad = (-code.shape[1]) % 8
     words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
+    lead = words[:, 0].copy()
     rows = np.flatnonzero(own)
-    rows = rows[np.argsort(keys[rows], kind="stable")]
     index = keys[rows]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << s))]) if 1 << s <= 8 * len(rows) + (1 << 16) else None
     earlier = [_substring(code, t, s) for t in range(table)]
     first_limit = radius * 64 / (code.shape[1] * 8) + 4 * math.sqrt(radius * 64 / (code.shape[1] * 8))
     for mask in _masks(s, probe):
         asked = np.arange(len(ids)) if not mask else np.flatnonzero((keys >> (mask.bit_length() - 1)) & 1 == 0)
         want = keys[asked] ^ mask
-        begin = np.searchsorted(index, want, "left")
-        count = np.searchsorted(index, want, "right") - begin
+        if ends is None:
+            begin = np.searchsorted(index, want, "left")
+            count = np.searchsorted(index, want, "right") - begin
+        else:
+            begin = ends[want]
+            count = ends[want + 1] - begin
         some = count > 0
         asked, begin, count = asked[some], begin[some], count[some]
         cuts = np.flatnonzero(np.diff(np.cumsum(count) // step)) + 1
@@ -166,7 +173,7 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: in
                 part = np.minimum(c - k, step) if len(a) == 1 else c
                 q = np.repeat(a, part)
                 i = rows[np.arange(len(q)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(b + k, part)]
-                near = np.bitwise_count(words[q, 0] ^ words[i, 0]) <= first_limit
+                near = np.bitwise_count(lead[q] ^ lead[i]) <= first_limit
                 q, i = q[near], i[near]
                 near = np.bitwise_count(words[q] ^ words[i]).sum(axis=1) <= radius
                 near &= ids[q] < ids[i] if not mask else ids[q] != ids[i]
@@ -205,7 +212,8 @@ def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: flo
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = codes.select("id", "code").mapInArrow(spread, "part long, own boolean, id long, code binary")
-    return rows.groupBy("part").applyInArrow(search, "a long, b long")
+    spread_over = 4 * tables << lead  # so that few parts share a task
+    return rows.repartition(spread_over, "part").groupBy("part").applyInArrow(search, "a long, b long")
 
 
 # ---------------------------------------------------------------- reranking and lists
