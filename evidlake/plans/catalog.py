@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import oracles, problems, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,10 @@ def queries() -> dict[str, Query]:
         "p4_found", "p4_amounts", "p4_unit_switches",
     ):
         out[name] = getattr(problems, name)
+    for name in reference.NAMES:
+        out[name] = getattr(reference, name)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.P1_SQL}
+    return {**problems.P1_SQL, **oracles.oracle_sql()}
