@@ -27,21 +27,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 4096
 DIGITS = 9
 
 
-def postings(chunks: DataFrame, key: list[str], content: str = "content") -> DataFrame:
-    """(key, term, tf, dl)"""
-    tokens = chunks.select(*key, F.coalesce(T.tokenize(F.col(content)), F.array().cast("array<string>")).alias("tokens"))
+def tokenized(chunks: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """(key, tokens)"""
+    return chunks.select(*key, F.coalesce(T.tokenize(F.col(content)), F.array().cast("array<string>")).alias("tokens"))
+
+
+def postings(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, tf, dl) of tokenized chunks"""
     return tokens.select(*key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(chunks: DataFrame, scope: list[str], content: str = "content") -> DataFrame:
-    """(scope, n, avgdl), one row if ``scope`` is empty."""
-    return chunks.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(T.tokenize(F.col(content))), F.lit(0))).alias("avgdl"))
+def corpus_stats(tokens: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, n, avgdl) of tokenized chunks, one row if ``scope`` is empty."""
+    return tokens.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
 def plain_idf(n: Column, df: Column) -> Column:
@@ -67,13 +72,14 @@ def scored_in_report(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
     ``queries`` has query_id, example_id, question; ``chunks`` example_id, pos, content.
     """
-    posts = postings(chunks, ["example_id", "pos"])
-    stats = corpus_stats(chunks, ["example_id"])
+    tokens = materialize(tokenized(chunks, ["example_id", "pos"]), "tokens")  # three branches read it
+    posts = postings(tokens, ["example_id", "pos"])
+    stats = corpus_stats(tokens, ["example_id"])
     terms = term_stats(posts, stats, ["example_id"])
     asked = queries.select("query_id", "example_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "example_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     hits = asked.join(terms, ["example_id", "term"]).join(posts, ["example_id", "term"]).join(stats, "example_id")
     hits = hits.groupBy("query_id", "example_id", "pos").agg(F.sum(F.col("qf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
-    every = queries.select("query_id", "example_id").join(chunks.select("example_id", "pos"), "example_id")
+    every = queries.select("query_id", "example_id").join(tokens.select("example_id", "pos"), "example_id")
     return every.join(hits, ["query_id", "example_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -109,7 +115,7 @@ def blocks(queries: DataFrame, columns: list[str], size: int = QUERY_BLOCK) -> I
 def search_corpus(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, score, example_id, pos) of the k best chunks of the corpus for every query."""
     spark = queries.sparkSession
-    rows = chunks.select("example_id", "pos", F.coalesce(T.tokenize(F.col("content")), F.array().cast("array<string>")).alias("tokens"))
+    rows = materialize(tokenized(chunks, ["example_id", "pos"]), "tokens")
     n, avgdl = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     df = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     mean = df.agg(F.avg(plain_idf(F.lit(n), F.col("df")))).first()[0] or 0.0

@@ -201,7 +201,16 @@ select parts.example_id as query_id, coalesce(string_agg(one.t, ' ' order by one
 def oracle_sql() -> dict[str, str]:
     count = lambda src, items: f"select term, count(*) as n from (select unnest({items}) as term from {src}) group by term"
     grid = f"with {CK}, {BM}, {_METRICS}"
+    adaptive = f"""rt as (select example_id as query_id, case when list_contains(signals, 'out_of_scope') then 'none' when {_NUMERIC} then 'near' when list_contains(signals, 'exact_term') then 'both' else 'dense' end as m from sg),
+      fu as (select query_id, example_id, pos, sum(1.0 / (60 + rank)) as score, min(no * 1000 + rank) as f from (select 0 as no, * from de where rank <= 30 union all by name select 1 as no, * from bm where rank <= 30) group by all),
+      hy as (select query_id, example_id, pos, score, row_number() over (partition by query_id order by round(score, 12) desc, f) as rank from fu),
+      se as (select d.query_id, example_id, pos, score, rank, m, section, row_index from (select *, 'de' as src from de union all by name select *, 'hy' as src from hy) d join rt using (query_id) join ck using (example_id, pos)
+        where rank <= 10 and (m in ('near', 'dense') and src = 'de' or m = 'both' and src = 'hy')),
+      al as (select query_id, example_id, pos, 0 as late, rank as seed, 0 as shift, score from se union all
+        select s.query_id, c.example_id, c.pos, 1, s.rank, d, s.score from se s join (values (-1), (1)) w(d) on true join ck c on c.example_id = s.example_id and c.section = s.section and c.row_index = s.row_index + d where m = 'near'),
+      fi as (select query_id, example_id, pos, arg_min(score, late * 1000000 + seed * 100 + shift) as score, min(late * 1000000 + seed * 100 + shift) as k from al group by all)"""
     return {
+        "adaptive_retrieval": f"with {CK}, {BM}, {DE}, {SIG}, {adaptive} select query_id, row_number() over (partition by query_id order by k) as rank, round(score, 6) as score, example_id, pos from fi",
         "chunk_corpus": f"with {CK} select chunk_id, example_id, document_id, pos::int as pos, chunk_type, section, content, source_id, row_index::int as row_index, text_index::int as text_index, ragged from ck",
         "chunk_counts": f"with {CK} select chunk_type, section, count(*) as chunks, sum(length(content))::bigint as characters from ck group by all",
         "chunk_gold_overlap": f"with {CK} select e.example_id, count(c.chunk_id) as chunks, count(*) filter (where list_contains(map_keys(e.gold_evidence), c.source_id)) as gold_chunks from ex e left join ck c using (example_id) group by e.example_id",

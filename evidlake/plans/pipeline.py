@@ -51,15 +51,29 @@ def _rankings(questions: DataFrame, chunks: DataFrame, s: Settings, k: int, lexi
     return near, lexical.search_corpus(questions, chunks, k) if lexical_too else None
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, rank, score, example_id, pos); unrelated questions have no rows."""
-    r = routed(questions, s)
-    # one literal bound for all windows (routes of the adaptive method have at least these)
+def _bounds(s: Settings) -> tuple[int, int]:
+    """Literal bounds of results and candidates (routes of the adaptive method have at least their own)."""
     top = max(s.top_k, routing.TOP_K) if s.method == "adaptive" else s.top_k
     wide = max(s.candidate_k, top, routing.CANDIDATE_K if s.method == "adaptive" else 0)
-    bound = wide if s.method != "dense" or s.rerank else top
+    return top, wide if s.method != "dense" or s.rerank else top
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, s: Settings, rankings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, rank, score, example_id, pos); unrelated questions have no rows.
+
+    ``rankings`` are stored dense and lexical rankings that are deep enough, if there are any.
+    """
+    r = routed(questions, s)
+    top, bound = _bounds(s)
     related = r.where("route.related")
-    near, words = _rankings(related, chunks, s, bound, s.method != "dense")
+    if rankings is not None:
+        near, words = rankings
+    else:
+        near, words = _rankings(related, chunks, s, bound, s.method != "dense")
+        if s.method in ("hybrid", "adaptive"):
+            words = materialize(words, "words")
+        if s.method == "adaptive":
+            near = materialize(near, "near")  # read as a list of its own and for fusion
     route = related.select("query_id", F.col("route.method").alias("method"), F.col("route.top_k").alias("top_k"), F.col("route.candidate_k").alias("candidate_k"))
     seed_k = F.greatest("candidate_k", "top_k") if s.rerank else F.col("top_k")
     cols = ["query_id", "rank", "score", "example_id", "pos"]
@@ -127,10 +141,12 @@ def experiment(questions: DataFrame, chunks: DataFrame, gold: DataFrame, s: Sett
     """Average retrieval metrics of every method, plain and reranked."""
     from ..operators import evaluation
 
+    settings = [Settings(m, max(s.top_k, 10), max(s.candidate_k, 30), s.window, rerank, s.scope, s.embedder) for m in methods for rerank in (False, True)]
+    near, words = _rankings(questions, chunks, s, max(_bounds(x)[1] for x in settings), True)
+    rankings = materialize(near, "near"), materialize(words, "words")
     rows = None
-    for method in methods:
-        for rerank in (False, True):
-            m = evaluation.retrieval_metrics(questions, retrieve(questions, chunks, Settings(method, max(s.top_k, 10), max(s.candidate_k, 30), s.window, rerank, s.scope, s.embedder)), chunks, gold)
-            part = evaluation.averages(m, [c for c in m.columns if c != "query_id"]).select(F.lit(method).alias("method"), F.lit(rerank).alias("rerank"), "*")
-            rows = part if rows is None else rows.unionByName(part)
+    for x in settings:
+        m = evaluation.retrieval_metrics(questions, retrieve(questions, chunks, x, rankings), chunks, gold)
+        part = evaluation.averages(m, [c for c in m.columns if c != "query_id"]).select(F.lit(x.method).alias("method"), F.lit(x.rerank).alias("rerank"), "*")
+        rows = part if rows is None else rows.unionByName(part)
     return rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, calculation, chunking, dense, evaluation, fusion, lexical, ranking, routing
+from ..session import materialize
 from ..sources import artifacts
 from ..sources.tables import table
 from . import pipeline
@@ -22,6 +23,11 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.chunks(_examples(spark, root))
 
 
+def _corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks as a stored artifact, for queries that read them in several branches."""
+    return materialize(_chunks(spark, root), "chunks")
+
+
 def _questions(spark: SparkSession, root: str) -> DataFrame:
     return _examples(spark, root).select(F.col("example_id").alias("query_id"), "example_id", "question")
 
@@ -88,12 +94,12 @@ def parsed_numbers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bm25_corpus_stats(spark: SparkSession, root: str) -> DataFrame:
-    s = lexical.corpus_stats(_chunks(spark, root), [])
+    s = lexical.corpus_stats(lexical.tokenized(_chunks(spark, root), []), [])
     return s.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_term_stats(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root)
+    c = materialize(lexical.tokenized(_chunks(spark, root), ["example_id", "pos"]), "tokens")
     t = lexical.term_stats(lexical.postings(c, ["example_id", "pos"]), lexical.corpus_stats(c, []), [])
     return t.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -142,28 +148,30 @@ def _embedded(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("v", dense.hashed_embedding(F.col(text)))
 
 
-def _dense_report(spark: SparkSession, root: str, k: int) -> DataFrame:
-    return dense.search_scope(_embedded(_questions(spark, root), "question"), _embedded(_chunks(spark, root), "content"), ["example_id"], k)
+def _dense_report(spark: SparkSession, root: str, chunks: DataFrame, k: int) -> DataFrame:
+    return dense.search_scope(_embedded(_questions(spark, root), "question"), _embedded(chunks.select("example_id", "pos", "content"), "content"), ["example_id"], k)
 
 
 def dense_topk_report(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(_dense_report(spark, root, K))
+    return _shown(_dense_report(spark, root, _chunks(spark, root), K))
 
 
 # ---------------------------------------------------------------- fusion
 
 
 def hybrid_topk_report(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(fusion.reciprocal_rank_fusion([_dense_report(spark, root, K), lexical.search_reports(_questions(spark, root), _chunks(spark, root), K)], K))
+    c = _corpus(spark, root)
+    return _shown(fusion.reciprocal_rank_fusion([_dense_report(spark, root, c, K), lexical.search_reports(_questions(spark, root), c, K)], K))
 
 
 def neighbor_expansion(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root)
+    c = _corpus(spark, root)
     return _shown(fusion.expand_with_neighbors(lexical.search_reports(_questions(spark, root), c, 3), c, 1))
 
 
 def merged_results(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(fusion.merge_results(_dense_report(spark, root, 5), lexical.search_reports(_questions(spark, root), _chunks(spark, root), 5), 5))
+    c = _corpus(spark, root)
+    return _shown(fusion.merge_results(_dense_report(spark, root, c, 5), lexical.search_reports(_questions(spark, root), c, 5), 5))
 
 
 # ---------------------------------------------------------------- routing, rewriting
@@ -186,18 +194,18 @@ def rewritten_questions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rerank_features(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _chunks(spark, root)
+    q, c = _questions(spark, root), _corpus(spark, root)
     f = ranking.features(lexical.search_reports(q, c, K), q, c)
     return f.select("query_id", "example_id", "pos", "rank", F.round("term_overlap", 6).alias("term_overlap"), "year_support", "number_support", "table_bonus", "exact_tokens", "cohesion", F.round("rr_score", 6).alias("rr_score"))
 
 
 def reranked(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _chunks(spark, root)
+    q, c = _questions(spark, root), _corpus(spark, root)
     return _shown(ranking.rerank(lexical.search_reports(q, c, K), q, c, 5))
 
 
 def evidence_grades(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _chunks(spark, root)
+    q, c = _questions(spark, root), _corpus(spark, root)
     g = ranking.grade(q, lexical.search_reports(q, c, 5), c)
     return g.select("query_id", "sufficient", "needs_retry", "confidence", "reason", F.array_join("matched", " ").alias("matched"), F.array_join("missing", " ").alias("missing"))
 
@@ -206,22 +214,22 @@ def evidence_grades(spark: SparkSession, root: str) -> DataFrame:
 
 
 def adaptive_retrieval(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(pipeline.retrieve(_questions(spark, root), _chunks(spark, root), pipeline.Settings("adaptive")))
+    return _shown(pipeline.retrieve(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive")))
 
 
 def corrective_retrieval(spark: SparkSession, root: str) -> DataFrame:
-    results, grades = pipeline.retrieve_and_grade(_questions(spark, root), _chunks(spark, root), pipeline.Settings("bm25", top_k=3))
+    results, grades = pipeline.retrieve_and_grade(_questions(spark, root), _corpus(spark, root), pipeline.Settings("bm25", top_k=3))
     n = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     return grades.join(n, "query_id", "left").select("query_id", "sufficient", "confidence", "corrected", F.coalesce("results", F.lit(0)).alias("results"))
 
 
 def offline_answers(spark: SparkSession, root: str) -> DataFrame:
-    a = pipeline.answer(_questions(spark, root), _chunks(spark, root), pipeline.Settings("adaptive", rerank=True))
+    a = pipeline.answer(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive", rerank=True))
     return a.select("query_id", "answer", F.array_join("cited", " ").alias("cited"), "insufficient_evidence", "error", "route_method", "sufficient", "confidence", "corrected")
 
 
 def evidence_texts(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root)
+    c = _corpus(spark, root)
     e = answers.evidence(lexical.search_reports(_questions(spark, root), c, 3), c)
     return e.select("query_id", "evidence")
 
@@ -279,28 +287,29 @@ def predictions_csv(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- evaluation
 
 
-def _by_method(spark: SparkSession, root: str, method: str) -> DataFrame:
-    return pipeline.retrieve(_questions(spark, root), _chunks(spark, root), pipeline.Settings(method, top_k=K, candidate_k=K))
+def _metrics(spark: SparkSession, root: str) -> DataFrame:
+    q, c = _questions(spark, root), _corpus(spark, root)
+    r = pipeline.retrieve(q, c, pipeline.Settings("bm25", top_k=K, candidate_k=K))
+    return evaluation.retrieval_metrics(q, r, c, evaluation.gold_rows(_examples(spark, root)))
 
 
 def retrieval_metrics(spark: SparkSession, root: str) -> DataFrame:
-    m = evaluation.retrieval_metrics(_questions(spark, root), _by_method(spark, root, "bm25"), _chunks(spark, root), evaluation.gold_rows(_examples(spark, root)))
+    m = _metrics(spark, root)
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
 
 
 def retrieval_failures(spark: SparkSession, root: str) -> DataFrame:
     """Questions without a hit among the first five."""
-    m = evaluation.retrieval_metrics(_questions(spark, root), _by_method(spark, root, "bm25"), _chunks(spark, root), evaluation.gold_rows(_examples(spark, root)))
-    return m.where("hit_5 = 0").select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return _metrics(spark, root).where("hit_5 = 0").select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 def experiment_grid(spark: SparkSession, root: str) -> DataFrame:
-    g = pipeline.experiment(_questions(spark, root), _chunks(spark, root), evaluation.gold_rows(_examples(spark, root)), pipeline.Settings())
+    g = pipeline.experiment(_questions(spark, root), _corpus(spark, root), evaluation.gold_rows(_examples(spark, root)), pipeline.Settings())
     return g.select("method", "rerank", "examples", *(F.round(c, 6).alias(c) for c in g.columns[3:]))
 
 
 def grader_summary(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _chunks(spark, root)
+    q, c = _questions(spark, root), _corpus(spark, root)
     r = lexical.search_reports(q, c, K)
     rows = evaluation.grader_rows(ranking.grade(q, r, c), r, c, evaluation.gold_rows(_examples(spark, root)))
     s = evaluation.grader_summary(rows)
