@@ -48,8 +48,8 @@ SHARE = 0.25
 BACKOFF, SHRINK = 4.0, 1.0
 #: weight of a subject's own model
 OWN = 0.7
-#: standard deviations above chance, and times as often as by chance, from which a word or pair tells of a subject
-TIED, OFTEN = 4.0, 4.0
+#: standard deviations above chance, and times the odds of chance, from which a word or pair tells of a subject
+TIED, OFTEN = 4.0, 6.0
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)\]]*\s+(?=[^\W_a-zà-ÿ]|[\"“«„¿¡(\[$€£])")
@@ -73,8 +73,9 @@ def sentences(text: str | None) -> list[str]:
         if open_lines and (whole or not line):
             block = " ".join(open_lines)
             open_lines = []
-            if _CLOSED.search(block) or len(block.split()) > 8:
-                out += [s for s in _END.split(block) if s]
+            parts = [s for s in _END.split(block) if s]
+            if _CLOSED.search(block) or len(parts) > 1 or len(block.split()) > 8:
+                out += parts
     return out
 
 
@@ -169,7 +170,8 @@ class SubjectModels:
             share = has.mean() if len(has) else 0.0
             expected = df * share
             seen = np.bincount(item, weights=has[doc], minlength=size) if len(item) else np.zeros(size)
-            out[:, s] = ((seen - expected) / np.sqrt(expected * (1 - share) + 0.25) > TIED) & (seen > OFTEN * expected)
+            odds = (seen + 0.5) * (1 - share) > OFTEN * (df - seen + 0.5) * share
+            out[:, s] = ((seen - expected) / np.sqrt(expected * (1 - share) + 0.25) > TIED) & odds
         return out
 
     @staticmethod
