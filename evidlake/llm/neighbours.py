@@ -268,3 +268,66 @@ def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall:
 
     out = listed.unionByName(inside)
     return out.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("cosine").alias("cosine"))
+
+
+# ---------------------------------------------------------------- nearest of a stated query set
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: float = 0.4, block: int = 2048) -> DataFrame:
+    """(id, rank, near, cosine): the ``k`` nearest other vectors for a stated set of queries (id, v), against all rows.
+
+    Here neighbours may be far, where a Hamming ball holds so many codes that probing
+    would touch every bucket; so the codes themselves are scanned: queries in blocks of
+    bounded size meet every Arrow batch, codes beyond the radius that all but one in a
+    thousand pairs at cosine ``floor`` keep are passed over, the rest reranked by floats.
+    A query with fewer than ``k`` codes within the radius in a batch is compared with all of
+    the batch, so lists are always full. Of a batch only the best ``k`` of a query move on.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
+    queries = queries.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
+    picked = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()["v"].combine_chunks()
+    x = _matrix(picked, dims) if len(picked) else np.zeros((0, dims))
+    rotation = np.concatenate([learn_rotation(x, seed) for seed in range(ROTATIONS)], axis=1)
+    radius = _radius(dims * ROTATIONS, math.acos(floor) / math.pi)
+
+    def words_of(x: np.ndarray) -> np.ndarray:
+        bits = np.packbits(x @ rotation > 0, axis=1)
+        return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, (-bits.shape[1]) % 8)))).view(np.uint64)
+
+    out = None
+    blocks = max(1, -(-queries.count() // max(1, int(block * 0.8))))
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        q = _matrix(rows["v"].chunk(0), dims)
+        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), q, words_of(q), rotation))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, codes, rotation = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, ids = _matrix(batch.column(1), dims), batch.column(0).to_numpy()
+                bits = np.packbits(x @ rotation > 0, axis=1)
+                words = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, (-bits.shape[1]) % 8)))).view(np.uint64)
+                found: list[tuple[int, int, float]] = []
+                for i, name in enumerate(names):
+                    rows = np.flatnonzero(np.bitwise_count(words ^ codes[i]).sum(axis=1) <= radius)
+                    rows = rows if len(rows) > k else np.arange(len(ids))
+                    s = np.round(x[rows] @ q[i], 9)
+                    rows, s = rows[ids[rows] != name], s[ids[rows] != name]
+                    if len(rows) > k:
+                        top = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        rows, s = rows[top], s[top]
+                    found += [(int(name), int(ids[r]), float(c)) for c, r in sorted(zip(s, rows), key=lambda z: (-z[0], ids[z[1]]))[:k]]
+                a, b, c = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["id", "near", "cosine"])
+
+        part = vectors.select("id", "v").mapInArrow(scan, "id long, near long, cosine double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.select("id", F.col("id").alias("near"), F.lit(0.0).alias("cosine")).where(F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near"))
+    return out.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "near", "cosine")

@@ -89,6 +89,13 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, root), DIMS, LEAST_COSINE, NEAREST).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
+def p5_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The five nearest of all vectors for every vector whose id is divisible by 100, however far they are."""
+    v = _vectors(spark, root)
+    n = neighbours.nearest(v, v.where(F.col("id") % 100 == 0), DIMS, NEAREST)
+    return n.select(F.col("id").alias("vec_id"), "rank", F.col("near").alias("near_id"), F.round("cosine", 6).alias("cosine"))
+
+
 # ---------------------------------------------------------------- p7: mixing sources
 
 

@@ -77,3 +77,41 @@ def test_recall_on_the_data(spark):
     want = brute([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), 0.84, 5)
     got = {tuple(r) for r in problems.p5_found(spark, root).collect()}
     assert len(want & got) >= 0.97 * len(want) and got <= want
+
+
+def test_nearest_of_a_query_set(spark):
+    rng = np.random.default_rng(7)
+    x = clustered(rng, 400).astype(np.float32)
+    v = frame(spark, [*enumerate(x), (500, x[0]), (600, None)]).repartition(3)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    unit = np.concatenate([unit, unit[:1]])
+    ids = [*range(400), 500]
+    for block in (2048, 4):
+        got = {}
+        for r in nb.nearest(v, v.where("id % 40 = 0"), 32, 5, block=block).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.near))
+        s = np.round(unit @ unit.T, 9)
+        hits = total = 0
+        for i, q in enumerate(ids):
+            if q % 40 == 0:
+                want = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]
+                hits, total = hits + len({ids[j] for j in want} & {n for _, n in got[q]}), total + 5
+                assert [r for r, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
+        assert hits >= 0.95 * total
+    assert nb.nearest(v, v.limit(0), 32, 5).count() == 0 and nb.nearest(v.limit(0), v, 32, 5).count() == 0
+
+
+def test_nearest_recall_on_the_data(spark):
+    root = "/root/testdata/sf0.01"
+    rows = table(spark, root, "chunk_vectors", "vec_id", "embedding").where(nb.valid(F.col("embedding"), 96)).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in problems.p5_nearest(spark, root).collect():
+        got.setdefault(r.vec_id, set()).add(r.near_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        hits, total = hits + len(set(ids[np.argsort(-s)[:5]].tolist()) & got[ids[i]]), total + 5
+    assert hits >= 0.9 * total
