@@ -25,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.P1_SQL, **oracles.oracle_sql()}
+    return {**problems.P1_SQL, **problems.P3_SQL, **problems.P4_SQL, **oracles.oracle_sql()}

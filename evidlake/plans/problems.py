@@ -223,3 +223,61 @@ def p4_unit_switches(spark: SparkSession, root: str) -> DataFrame:
         units.state_kind(state).alias("kind"), units.state_factor(state).alias("factor"), (F.col("item.number") * units.state_factor(state)).alias("value"),
         (state != before).alias("switched"),
     )
+
+
+# ---------------------------------------------------------------- SQL of p3 and p4
+
+_P3_SQL_NODES = r"""
+r as (select raw_id, case when json_type(p, '$.record') = 'OBJECT' then p -> 'record' else p end as j from (select raw_id, try_cast(payload as json) as p from raw_records) where p is not null),
+q as (select raw_id, 0 as no, j -> 'qa' as q from r where json_type(j, '$.qa') = 'OBJECT'
+  union all select raw_id, i, json_extract(j, '$.qa[' || i || ']') from (select *, unnest(range(json_array_length(j, '$.qa')::bigint)) as i from r where json_type(j, '$.qa') = 'ARRAY')),
+t as (select raw_id, i as no, json_extract(j, '$.table[' || i || ']') as row from (select *, unnest(range(json_array_length(j, '$.table')::bigint)) as i from r where json_type(j, '$.table') = 'ARRAY')),
+c as (select raw_id, no, i, json_extract(cells, '$[' || i || ']') as cell from (select *, unnest(range(json_array_length(cells)::bigint)) as i from (select raw_id, no, case when json_type(row) = 'OBJECT' then row -> 'cells' else row end as cells from t) where json_type(cells) = 'ARRAY')),
+g as (select raw_id, no, unnest(json_keys(q, '$.gold_inds')) as k from q where json_type(q, '$.gold_inds') = 'OBJECT'
+  union all select raw_id, no, json_extract(q, '$.gold_inds[' || i || ']') ->> 'ind' from (select *, unnest(range(json_array_length(q, '$.gold_inds')::bigint)) as i from q where json_type(q, '$.gold_inds') = 'ARRAY')),
+a as (select raw_id, no, f, json_extract_string(q, '$.' || f || 's') as v from q, (values ('ann_table_row'), ('ann_text_row')) w(f) where json_type(q, '$.' || f || 's') not in ('ARRAY', 'OBJECT', 'NULL')
+  union all select raw_id, no, f, json_extract_string(q, '$.' || f || 's[' || i || ']') from (select *, unnest(range(json_array_length(q, '$.' || f || 's')::bigint)) as i from (select * from q, (values ('ann_table_row'), ('ann_text_row')) w(f) where json_type(q, '$.' || f || 's') = 'ARRAY')))
+"""
+
+P3_SQL = {
+    "p3_found": f"""with {_P3_SQL_NODES} select distinct raw_id, child, parent_no::int as parent_no, child_key from (
+  select raw_id, 'qa' as child, 0 as parent_no, no::varchar as child_key from q where json_type(q) = 'OBJECT'
+  union all select raw_id, 'cell', no, i::varchar from c where json_type(cell) <> 'NULL'
+  union all select raw_id, 'gold', no, k from g where k is not null
+  union all select raw_id, f, no, trim(v) from a where v is not null)""",
+}
+
+
+def _amount_sql(text: str) -> str:
+    """struct(number, kind, factor) of a text, with the same patterns."""
+    t = f"lower(translate({text}, '−–‒' || chr(160) || chr(10) || chr(13), '---   '))"
+    g = lambda i: f"regexp_extract({t}, '{units.AMOUNT}', {i})"
+    word = lambda i: f"regexp_extract({g(7)}, '{units.AFTER}(?:[^a-z]|$)', {i})"
+    kind = "case " + " ".join(f"when regexp_full_match({word(2)}, '{w}') then '{k}'" for w, k, _ in units.UNIT_WORDS) + f" when {g(3)} <> '' then 'dollars' end"
+    points = "case " + " ".join(f"when regexp_full_match({word(2)}, '{w}') then {f}" for w, k, f in units.UNIT_WORDS if f) + " end"
+    scale = "case " + " ".join(f"when regexp_full_match({word(1)}, '{w}') then {f}" for w, f in units.SCALE_WORDS) + " end"
+    size = f"try_cast(replace({g(6)}, ',', '') as double)"
+    minus = f"({g(2)} <> '' or {g(4)} <> '' or (({g(1)} <> '' or {g(5)} <> '') and contains({g(7)}, ')')))"
+    return f"{{'number': case when {minus} then -{size} else {size} end, 'kind': {kind}, 'factor': case when ({kind}) = 'percent' then {points} else {scale} end}}"
+
+
+def _p4_sql() -> str:
+    q = "lower(translate(question, '−–‒' || chr(160) || chr(10) || chr(13), '---   '))"
+    asked = lambda i: f"regexp_extract({q}, '{units.QUESTION}', {i})"
+    ask_kind = "case " + " ".join(f"when regexp_full_match({asked(2)}, '{w}') then '{k}'" for w, k, _ in units.UNIT_WORDS) + " end"
+    ask_factor = "case " + " ".join(f"when regexp_full_match({asked(2)}, '{w}') then {f}" for w, _, f in units.UNIT_WORDS if f) + " " + " ".join(f"when regexp_full_match({asked(1)}, '{w}') then {f}" for w, f in units.SCALE_WORDS) + " end"
+    u = r"regexp_replace(trim(lower(answer_unit)), '[\s_-]+', ' ', 'g')"
+    return rf"""with a as (select prediction_id, {_amount_sql('gold_answer')} as g, {_amount_sql('predicted_answer')} as p, {ask_kind} as qk, {ask_factor} as qf, lower(trim(coalesce(answer_scale, ''))) = 'raw' as raw,
+    case when regexp_matches({u}, 'percentage points?|basis points?|\bpps?\b|\bbps?\b|percent|%|\bpct\b') then 'percent' when regexp_matches({u}, '\$|usd|dollar') then 'dollars' when regexp_matches({u}, '\bshares?\b') then 'shares' end as lk,
+    case when regexp_matches({u}, 'basis points?|\bbps?\b') then 1e-4 when regexp_matches({u}, 'percentage points?|\bpps?\b') then 1e-2 end as lp,
+    case when contains({u}, 'thousand') then 1e3 when contains({u}, 'million') then 1e6 when contains({u}, 'billion') then 1e9 when contains({u}, 'trillion') then 1e12 end as lf from predictions),
+  b as (select *, p.kind is null and p.factor is null as bare, g.kind is null and g.factor is null as gbare from a where g.number is not null and p.number is not null),
+  c as (select prediction_id, g.number as gn, p.number as pn,
+    case when gbare then qk else g.kind end as gk, case when gbare then coalesce(qf, 1) else coalesce(g.factor, 1) end as gf,
+    case when bare and lk = 'percent' then 'percent' when bare and lk is null and lf is null then qk else coalesce(p.kind, case when lk <> 'percent' then lk end) end as pk,
+    case when bare and lk = 'percent' then coalesce(lp, case when abs(p.number) <= 1 and not raw then 1 else 1e-2 end) when bare and lk is null and lf is null then coalesce(qf, 1)
+      when p.kind = 'percent' or lk = 'percent' then coalesce(p.factor, 1) else coalesce(p.factor, lf, 1) end as pf from b)
+  select distinct prediction_id from c where (gk is null or pk is null or gk = pk) and abs(gn * gf - pn * pf) <= {_TOLERANCE} * abs(gn * gf) and abs(gn - pn) > {_TOLERANCE} * abs(gn)"""
+
+
+P4_SQL = {"p4_found": _p4_sql()}
