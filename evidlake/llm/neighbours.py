@@ -15,6 +15,11 @@ about ``BLOCK`` of them; a code travels to the blocks that its probes can reach.
 Codes are 24 bytes for 96 numbers, floats move once for the reranking. A pair found
 in several tables is emitted by the first only, so nothing need be made distinct.
 
+Crowds: where a vector and its partner both have ``CROWD`` pairs in a task, their pair is not
+emitted; such vectors get their lists from a scan of all codes in blocks of queries
+(``nearest``), which moves k rows each. So no bucket makes all its pairs, and no list
+lacks a vector for it.
+
 Copies: vectors of one direction (equal to four decimals) are one class; only its
 smallest id takes part in the search, and a class adds at most six ids to any
 list, so a class that holds a third of all rows neither makes pairs of all its
@@ -44,6 +49,8 @@ from ..session import materialize
 SAMPLE = 10_000
 ROTATIONS = 2
 BLOCK = 1 << 18
+#: pairs a vector may have in one task before it counts as crowded
+CROWD = 1024
 HOT_PART = 1000
 
 
@@ -72,12 +79,16 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def coded(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> DataFrame:
-    """(id, same, code) of ``vectors`` (id, v), written once; ``same`` is the class of one direction."""
-    spark = vectors.sparkSession
+def _rotation(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> np.ndarray:
+    """Rotations side by side, fitted on the ``sample`` vectors of the smallest hashes."""
     picked = vectors.orderBy(F.xxhash64("id")).limit(sample).toArrow()["v"].combine_chunks()
     x = _matrix(picked, dims) if len(picked) else np.zeros((0, dims))
-    shared = spark.sparkContext.broadcast(np.concatenate([learn_rotation(x, seed) for seed in range(ROTATIONS)], axis=1))
+    return np.concatenate([learn_rotation(x, seed) for seed in range(ROTATIONS)], axis=1)
+
+
+def coded(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> DataFrame:
+    """(id, same, code) of ``vectors`` (id, v), written once; ``same`` is the class of one direction."""
+    shared = vectors.sparkSession.sparkContext.broadcast(_rotation(vectors, dims, sample))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotation = shared.value
@@ -142,8 +153,14 @@ def _masks(s: int, probe: int) -> list[int]:
     return [sum(1 << b for b in which) for i in range(probe + 1) for which in itertools.combinations(range(s), i)]
 
 
-def pairs_of_block(ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes; ``own`` marks the rows indexed here."""
+def pairs_of_block(
+    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], step: int = 1 << 20, crowd: int = CROWD, crowded: list[np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes; ``own`` marks the rows indexed here.
+
+    A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
+    """
+    degree = np.zeros(len(ids), dtype=np.int64)
     s, _, probe, radius = shape
     keys = _substring(code, table, s)
     order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
@@ -181,12 +198,21 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: in
                 for e in earlier:
                     new = np.bitwise_count(e[q] ^ e[i]) > probe
                     q, i = q[new], i[new]
+                full = (degree[q] >= crowd) & (degree[i] >= crowd)
+                if full.any() and crowded is not None:
+                    crowded.append(np.unique(np.concatenate([ids[q[full]], ids[i[full]]])))
+                    q, i = q[~full], i[~full]
+                np.add.at(degree, q, 1)
+                np.add.at(degree, i, 1)
                 if len(q):
                     yield np.minimum(ids[q], ids[i]), np.maximum(ids[q], ids[i])
 
 
-def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: float = 0.97, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: pairs of ``codes`` (id, code) that multi-index hashing retrieves."""
+def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: float = 0.97, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: pairs of ``codes`` (id, code) that multi-index hashing retrieves.
+
+    Rows with null b name ids in a crowd, whose pairs among each other are not all here.
+    """
     shape = plan(max(n, 2), bits, cosine, recall)
     s, tables, probe, _ = shape
     lead = min(s, max(0, math.ceil(math.log2(max(n, 1) / block))))
@@ -206,10 +232,11 @@ def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: flo
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         code = np.frombuffer(b"".join(group["code"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
-        found = list(pairs_of_block(group["id"].to_numpy(), code, group["own"].to_numpy(), group["part"][0].as_py() % tables, shape))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        crowded: list[np.ndarray] = []
+        found = list(pairs_of_block(group["id"].to_numpy(), code, group["own"].to_numpy(), group["part"][0].as_py() % tables, shape, crowd=crowd, crowded=crowded))
+        none = [np.zeros(0, dtype=np.int64)]
+        a, b, many = np.concatenate([x for x, _ in found] or none), np.concatenate([y for _, y in found] or none), np.unique(np.concatenate(crowded or none))
+        return pa.table({"a": pa.array(np.concatenate([a, many]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])})
 
     rows = codes.select("id", "code").mapInArrow(spread, "part long, own boolean, id long, code binary")
     spread_over = 4 * tables << lead  # so that few parts share a task
@@ -225,7 +252,7 @@ def cosine_of(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float = 0.97) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float = 0.97, crowd: int = CROWD) -> DataFrame:
     """(a, b, cosine), a < b: pairs of at least ``cosine`` of which one is among the other's ``k`` nearest.
 
     ``vectors`` has id and v. ``recall`` is the expected share of the pairs exactly at
@@ -235,10 +262,15 @@ def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall:
     codes = coded(vectors, dims)
     classes = materialize(codes.groupBy("same").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("code").alias("code")), "classes")
     total, reps = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), reps, dims * ROTATIONS, cosine, recall)
+    pairs = materialize(hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), reps, dims * ROTATIONS, cosine, recall, crowd=crowd), "pairs")
     left, right = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", cosine_of(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= cosine)
-    scored = materialize(scored.dropDuplicates(["a", "b"]), "scored")
+    scored = pairs.where(F.col("b").isNotNull()).join(left, "a").join(right, "b").select("a", "b", cosine_of(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= cosine)
+    # vectors in a crowd get their lists from the scan, in blocks; only their k nearest move
+    chosen = vectors.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    crowded = vectors.join(pairs.where(F.col("b").isNull()).select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    lists = nearest(chosen, crowded, dims, k, cosine, fill=False).where(F.col("cosine") >= cosine)
+    scored = scored.unionByName(lists.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b"), "cosine"))
+    scored = materialize(scored.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "scored")
 
     # members of classes of copies; of each class its k + 1 smallest ids
     several = classes.where(F.col("n") > 1).select("same", "rep", "n")
@@ -273,22 +305,21 @@ def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall:
 # ---------------------------------------------------------------- nearest of a stated query set
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: float = 0.4, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: float = 0.4, block: int = 2048, fill: bool = True) -> DataFrame:
     """(id, rank, near, cosine): the ``k`` nearest other vectors for a stated set of queries (id, v), against all rows.
 
     Here neighbours may be far, where a Hamming ball holds so many codes that probing
     would touch every bucket; so the codes themselves are scanned: queries in blocks of
     bounded size meet every Arrow batch, codes beyond the radius that all but one in a
     thousand pairs at cosine ``floor`` keep are passed over, the rest reranked by floats.
-    A query with fewer than ``k`` codes within the radius in a batch is compared with all of
-    the batch, so lists are always full. Of a batch only the best ``k`` of a query move on.
+    With ``fill``, a query with fewer than ``k`` codes within the radius in a batch is compared
+    with all of the batch, so lists are always full. Of a batch only the best ``k`` of a query move on.
     """
     spark = vectors.sparkSession
     vectors = vectors.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
     queries = queries.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
-    picked = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()["v"].combine_chunks()
-    x = _matrix(picked, dims) if len(picked) else np.zeros((0, dims))
-    rotation = np.concatenate([learn_rotation(x, seed) for seed in range(ROTATIONS)], axis=1)
+    blocks = -(-queries.count() // max(1, int(block * 0.8)))
+    rotation = _rotation(vectors, dims) if blocks else np.zeros((dims, 0))
     radius = _radius(dims * ROTATIONS, math.acos(floor) / math.pi)
 
     def words_of(x: np.ndarray) -> np.ndarray:
@@ -296,7 +327,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: fl
         return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, (-bits.shape[1]) % 8)))).view(np.uint64)
 
     out = None
-    blocks = max(1, -(-queries.count() // max(1, int(block * 0.8))))
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow().combine_chunks()
         if not rows.num_rows:
@@ -315,7 +345,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: fl
                 found: list[tuple[int, int, float]] = []
                 for i, name in enumerate(names):
                     rows = np.flatnonzero(np.bitwise_count(words ^ codes[i]).sum(axis=1) <= radius)
-                    rows = rows if len(rows) > k else np.arange(len(ids))
+                    rows = rows if len(rows) > k or not fill else np.arange(len(ids))
                     s = np.round(x[rows] @ q[i], 9)
                     rows, s = rows[ids[rows] != name], s[ids[rows] != name]
                     if len(rows) > k:

@@ -115,3 +115,16 @@ def test_nearest_recall_on_the_data(spark):
         s[i] = -2
         hits, total = hits + len(set(ids[np.argsort(-s)[:5]].tolist()) & got[ids[i]]), total + 5
     assert hits >= 0.9 * total
+
+
+def test_crowds_are_scanned_instead_of_paired(spark):
+    rng = np.random.default_rng(9)
+    crowd = rng.normal(size=32) + 0.1 * rng.normal(size=(300, 32))  # a third or more of all, none equal
+    x = np.concatenate([crowd, rng.normal(size=(100, 32))]).astype(np.float32)
+    v = frame(spark, enumerate(x))
+    codes = nb.coded(v, 32).select("id", "code")
+    pairs = nb.hashed_pairs(codes, 400, 64, 0.84, crowd=16)
+    assert pairs.where("b is not null").count() < 400 * 16 * 12 and pairs.where("b is null").select("a").distinct().count() >= 250
+    got = {(r.a, r.b) for r in nb.similar_pairs(v, 32, 0.84, 5, crowd=16).collect()}
+    want = brute(list(range(400)), x.astype(float), 0.84, 5)
+    assert got == want
