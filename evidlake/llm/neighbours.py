@@ -50,7 +50,7 @@ SAMPLE = 10_000
 ROTATIONS = 2
 BLOCK = 1 << 18
 #: pairs a vector may have in one task before it counts as crowded
-CROWD = 1024
+CROWD = 64
 HOT_PART = 1000
 
 
@@ -154,13 +154,13 @@ def _masks(s: int, probe: int) -> list[int]:
 
 
 def pairs_of_block(
-    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], step: int = 1 << 20, crowd: int = CROWD, crowded: list[np.ndarray] | None = None
+    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], crowd: int = CROWD, crowded: list[np.ndarray] | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes; ``own`` marks the rows indexed here.
 
     A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
     """
-    degree = np.zeros(len(ids), dtype=np.int64)
+    degree, step = np.zeros(len(ids), dtype=np.int64), max(64, crowd * crowd * 256)  # pairs are looked at in steps
     s, _, probe, radius = shape
     keys = _substring(code, table, s)
     order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
