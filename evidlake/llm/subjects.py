@@ -46,6 +46,8 @@ SHARE = 0.25
 
 #: counts that the unigram model weighs in the background's bigram model, and that shrink a ratio
 BACKOFF, SHRINK = 4.0, 1.0
+#: sentences of less weight are passed over when a subject's words are counted
+LEAST_WEIGHT = 0.01
 #: weight of a subject's own model
 OWN = 0.7
 #: standard deviations above chance, and times the odds of chance, from which a word or pair tells of a subject
@@ -139,17 +141,21 @@ class SubjectModels:
         for _ in range(rounds):
             by_word, by_pair = np.empty((v, k)), np.empty((len(pair), k))
             for s in range(k):
-                w = weight[at, s] * own[pair_of, s]
-                c_word = np.bincount(ids, weights=w, minlength=v)
-                c_history = np.bincount(before, weights=w, minlength=v + 1)
-                c_pair = np.bincount(pair_of, weights=w, minlength=len(pair))
+                some = np.flatnonzero((weight[:, s] > LEAST_WEIGHT)[at])
+                w = weight[at[some], s] * own[pair_of[some], s]
+                c_word = np.bincount(ids[some], weights=w, minlength=v)
+                c_history = np.bincount(before[some], weights=w, minlength=v + 1)
+                c_pair = np.bincount(pair_of[some], weights=w, minlength=len(pair))
                 by_word[:, s] = np.where(tied_word[:, s], (c_word + SHRINK) / (c_word.sum() * p_word + SHRINK), 1)
                 by_pair[:, s] = np.where(tied_pair[:, s], (c_pair + SHRINK * by_word[word, s]) / (c_history[history] * p_pair + SHRINK), by_word[word, s])
             own = OWN * by_pair / (1 - OWN + OWN * by_pair)
             self.table = self._gain(np.concatenate([by_pair, by_word]))
             score = np.zeros((n, k + 1))
-            for s in range(k):
-                score[full, s] = np.add.reduceat(self.table[pair_of, s].astype(float), starts) if len(starts) else 0
+            rows = np.flatnonzero(full)
+            for part in np.array_split(np.arange(len(rows)), max(1, len(ids) // 200_000)):
+                if len(part):
+                    lo, hi = starts[part[0]], starts[part[-1]] + length[rows[part[-1]]]
+                    score[rows[part], :k] = np.add.reduceat(self.table[pair_of[lo:hi]], starts[part] - lo, axis=0)
             score += prior
             score -= score.max(axis=1, keepdims=True) if n else 0
             weight = np.exp(score)
