@@ -10,8 +10,9 @@ codes and then reranked by cosine of the floats. Substring length, number of tab
 probing radius follow from the number of vectors and the wanted recall at the
 least cosine: the cheapest plan that reaches it (``plan``).
 
-Distribution: a task holds one table's codes with the same leading bits, at most
-about ``BLOCK`` of them; a code travels to the blocks that its probes can reach.
+Distribution: a task holds one table's codes with the same leading bits, about
+``BLOCK`` of them, and the codes of one other block that probe it; a code travels to the
+blocks that its probes can reach, so up to ``BLOCK`` vectors once a table.
 Codes are 24 bytes for 96 numbers, floats move once for the reranking. A pair found
 in several tables is emitted by the first only, so nothing need be made distinct.
 
@@ -48,7 +49,7 @@ from ..session import materialize
 
 SAMPLE = 10_000
 ROTATIONS = 2
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: pairs a vector may have in one task before it counts as crowded
 CROWD = 64
 HOT_PART = 1000
@@ -154,9 +155,13 @@ def _masks(s: int, probe: int) -> list[int]:
 
 
 def pairs_of_block(
-    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], crowd: int = CROWD, crowded: list[np.ndarray] | None = None
+    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], crowd: int = CROWD, crowded: list[np.ndarray] | None = None,
+    asks: np.ndarray | None = None, lead: int = 0, flip: int = 0,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes; ``own`` marks the rows indexed here.
+    """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes.
+
+    ``own`` marks the rows indexed here, ``asks`` (all by default) those that probe, whose ``lead`` leading bits
+    differ from the block's by ``flip``.
 
     A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
     """
@@ -165,16 +170,19 @@ def pairs_of_block(
     keys = _substring(code, table, s)
     order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
     ids, code, own, keys = ids[order], code[order], own[order], keys[order]
+    asking = np.flatnonzero(np.ones(len(ids), dtype=bool) if asks is None else asks[order])
     pad = (-code.shape[1]) % 8
     words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
-    lead = words[:, 0].copy()
+    front = words[:, 0].copy()
     rows = np.flatnonzero(own)
     index = keys[rows]
     ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << s))]) if 1 << s <= 8 * len(rows) + (1 << 16) else None
     earlier = [_substring(code, t, s) for t in range(table)]
     first_limit = radius * 64 / (code.shape[1] * 8) + 4 * math.sqrt(radius * 64 / (code.shape[1] * 8))
     for mask in _masks(s, probe):
-        asked = np.arange(len(ids)) if not mask else np.flatnonzero((keys >> (mask.bit_length() - 1)) & 1 == 0)
+        if mask >> (s - lead) != flip:
+            continue
+        asked = asking if not mask else asking[(keys[asking] >> (mask.bit_length() - 1)) & 1 == 0]
         want = keys[asked] ^ mask
         if ends is None:
             begin = np.searchsorted(index, want, "left")
@@ -190,7 +198,7 @@ def pairs_of_block(
                 part = np.minimum(c - k, step) if len(a) == 1 else c
                 q = np.repeat(a, part)
                 i = rows[np.arange(len(q)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(b + k, part)]
-                near = np.bitwise_count(lead[q] ^ lead[i]) <= first_limit
+                near = np.bitwise_count(front[q] ^ front[i]) <= first_limit
                 q, i = q[near], i[near]
                 near = np.bitwise_count(words[q] ^ words[i]).sum(axis=1) <= radius
                 near &= ids[q] < ids[i] if not mask else ids[q] != ids[i]
@@ -216,30 +224,36 @@ def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: flo
     shape = plan(max(n, 2), bits, cosine, recall)
     s, tables, probe, _ = shape
     lead = min(s, max(0, math.ceil(math.log2(max(n, 1) / block))))
+    flips = _masks(lead, min(probe, lead))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = _masks(lead, min(probe, lead))
         for batch in batches:
             if not batch.num_rows:
                 continue
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             for t in range(tables):
                 top = _substring(code, t, s) >> (s - lead) if lead else np.zeros(len(code), dtype=np.int64)
-                for flip in flips:
-                    part = (top ^ flip) * tables + t
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.full(len(code), flip == 0)), batch.column(0), batch.column(1)], names=["part", "own", "id", "code"])
+                for k, flip in enumerate(flips):  # one part holds one block's codes and the probes of one other block
+                    for asks, to in ((True, top ^ flip), (False, top)):
+                        if asks or k:
+                            part = (to * tables + t) * len(flips) + k
+                            marks = [pa.array(np.full(len(code), x)) for x in (not asks or not k, asks)]
+                            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *marks, batch.column(0), batch.column(1)], names=["part", "own", "asks", "id", "code"])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         code = np.frombuffer(b"".join(group["code"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
         crowded: list[np.ndarray] = []
-        found = list(pairs_of_block(group["id"].to_numpy(), code, group["own"].to_numpy(), group["part"][0].as_py() % tables, shape, crowd=crowd, crowded=crowded))
+        part = group["part"][0].as_py()
+        found = list(pairs_of_block(
+            group["id"].to_numpy(), code, group["own"].to_numpy(), part // len(flips) % tables, shape, crowd, crowded, group["asks"].to_numpy(), lead, flips[part % len(flips)]
+        ))
         none = [np.zeros(0, dtype=np.int64)]
         a, b, many = np.concatenate([x for x, _ in found] or none), np.concatenate([y for _, y in found] or none), np.unique(np.concatenate(crowded or none))
         return pa.table({"a": pa.array(np.concatenate([a, many]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])})
 
-    rows = codes.select("id", "code").mapInArrow(spread, "part long, own boolean, id long, code binary")
-    spread_over = 4 * tables << lead  # so that few parts share a task
+    rows = codes.select("id", "code").mapInArrow(spread, "part long, own boolean, asks boolean, id long, code binary")
+    spread_over = 4 * tables * len(flips) << lead  # so that few parts share a task
     return rows.repartition(spread_over, "part").groupBy("part").applyInArrow(search, "a long, b long")
 
 

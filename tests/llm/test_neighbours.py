@@ -48,7 +48,7 @@ def test_tables_retrieve_every_code_within_the_radius_once():
     assert len(found) == len(set(found)) and set(found) == want  # 15 = tables * (probe + 1) - 1
 
 
-@pytest.mark.parametrize("block", [1 << 18, 64])
+@pytest.mark.parametrize("block", [1 << 18, 200])
 def test_recall_and_blocks(spark, block, monkeypatch):
     rng = np.random.default_rng(1)
     x = clustered(rng, 600)
