@@ -6,6 +6,7 @@ report a question may use). ``chunks`` are chunks with example_id, pos.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import answers, dense, fusion, lexical, ranking, routing
 from ..session import materialize
 from . import providers
+from .trace import Trace
 
 METHODS = ("dense", "bm25", "hybrid", "adaptive")
 
@@ -102,20 +104,30 @@ def retrieve(questions: DataFrame, chunks: DataFrame, s: Settings, rankings: tup
     return fusion.expand_with_neighbors(seeds, chunks, s.window)
 
 
-def retrieve_and_grade(questions: DataFrame, chunks: DataFrame, s: Settings, correct: bool = True) -> tuple[DataFrame, DataFrame]:
+def retrieve_and_grade(questions: DataFrame, chunks: DataFrame, s: Settings, correct: bool = True, rewriter: Callable[[list[str]], list[str]] | None = None, trace: Trace | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, grades): where the grade asks for it, one more pass with a rewritten query, kept if it grades no worse.
 
-    Grades have ``corrected`` besides the columns of ``ranking.grade``.
+    Grades have ``corrected`` besides the columns of ``ranking.grade``. ``rewriter`` is a service for the
+    rewriting; where it fails or answers nothing, rules rewrite.
     """
-    first = materialize(retrieve(questions, chunks, s), "first")
-    grades = materialize(ranking.grade(questions, first, chunks), "grades")
+    trace = trace or Trace()
+    with trace.stage("retrieval"):
+        first = materialize(retrieve(questions, chunks, s), "first")
+    with trace.stage("evidence_grading"):
+        grades = materialize(ranking.grade(questions, first, chunks), "grades")
+    trace.count_embeddings(routed(questions, s))
     if not correct:
         return first, grades.withColumn("corrected", F.lit(False))
     related = routed(questions, s).where("route.related").drop("route")
     weak = related.join(grades.where("needs_retry").select("query_id"), "query_id", "left_semi")
     again = Settings("hybrid", max(s.top_k, routing.TOP_K), max(s.candidate_k, routing.CANDIDATE_K), max(s.window, 1), True, s.scope, s.embedder)
-    second = retrieve(weak.withColumn("question", routing.rewrite(F.coalesce("question", F.lit("")))), chunks, again)
-    merged = materialize(fusion.merge_results(first.join(weak.select("query_id"), "query_id", "left_semi"), second, again.top_k), "merged")
+    with trace.stage("query_rewrite"):
+        again_asked = materialize(providers.rewritten(weak, rewriter).withColumn("question", F.col("query")).drop("query"), "rewritten")
+    trace.rewrite_calls += again_asked.count()
+    with trace.stage("corrective_retrieval"):
+        second = retrieve(again_asked, chunks, again)
+        merged = materialize(fusion.merge_results(first.join(weak.select("query_id"), "query_id", "left_semi"), second, again.top_k), "merged")
+    trace.count_embeddings(routed(again_asked, again))
     regraded = ranking.grade(weak, merged, chunks)
     both = regraded.join(grades.select("query_id", F.col("confidence").alias("before")), "query_id")
     adopted = materialize(both.where(F.col("confidence") >= F.col("before")).drop("before").withColumn("corrected", F.lit(True)), "adopted")
@@ -124,13 +136,17 @@ def retrieve_and_grade(questions: DataFrame, chunks: DataFrame, s: Settings, cor
     return results, kept.unionByName(adopted)
 
 
-def answer(questions: DataFrame, chunks: DataFrame, s: Settings, answerer: providers.Answerer | None = None, correct: bool = True) -> DataFrame:
+def answer(
+    questions: DataFrame, chunks: DataFrame, s: Settings, answerer: providers.Answerer | None = None, correct: bool = True, rewriter: Callable[[list[str]], list[str]] | None = None, trace: Trace | None = None
+) -> DataFrame:
     """One answer per question; unrelated questions abstain."""
-    answerer = answerer or providers.TopChunkAnswerer()
-    results, grades = retrieve_and_grade(questions, chunks, s, correct)
+    answerer, trace = answerer or providers.TopChunkAnswerer(), trace or Trace()
+    results, grades = retrieve_and_grade(questions, chunks, s, correct, rewriter, trace)
     r = routed(questions, s)
     asked = r.where("route.related").select("query_id", "question").join(answers.evidence(results, chunks), "query_id", "left")
-    done = answers.finished(answerer.answer(asked))
+    with trace.stage("generation"):
+        done = materialize(answers.finished(answerer.answer(asked)), "answers")
+    trace.generation_calls += asked.count()
     out = r.select("query_id", "question", F.col("route.method").alias("route_method"), F.col("route.related").alias("related")).join(done, "query_id", "left")
     out = out.withColumn("answer", F.when(F.col("related"), F.col("answer")).otherwise(F.lit(answers.ABSTENTION)))
     out = out.withColumn("insufficient_evidence", F.when(F.col("related"), F.col("insufficient_evidence")).otherwise(F.lit(True)))

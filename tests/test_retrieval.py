@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidlake.functions import text as T
 from evidlake.operators import chunking, dense, fusion, lexical, ranking, routing
 from evidlake.plans import pipeline, providers
+from evidlake.plans.trace import INPUT_PRICE, OUTPUT_PRICE, Trace
 
 EXAMPLE = "example_id string, document_id string, question string, pre_text array<string>, table_rows array<array<string>>, post_text array<string>, gold_evidence map<string,string>, answer string, gold_program string"
 RESULT = "query_id string, rank int, score double, example_id string, pos int"
@@ -176,7 +177,9 @@ def test_pipeline(spark, corpus):
             ranks.setdefault(row.query_id, []).append(row["rank"])
         assert all(sorted(x) == list(range(1, len(x) + 1)) for x in ranks.values()) and "E" in ranks
         assert ("H" in ranks) == (scope == "global" and method != "adaptive")
-    a = {r.query_id: r for r in pipeline.answer(q, chunks, pipeline.Settings("adaptive")).collect()}
+    trace = Trace()
+    a = {r.query_id: r for r in pipeline.answer(q, chunks, pipeline.Settings("adaptive"), rewriter=lambda ts: ['{"query": "revenue"}'] * len(ts), trace=trace).collect()}
+    assert {"retrieval", "evidence_grading", "generation"} <= set(trace.stage_ms) and trace.embedding_calls >= 3 and trace.generation_calls == 2
     assert a["H"].answer == "Insufficient evidence" and a["H"].insufficient_evidence and a["E"].error is None and a["E"].cited
 
 
@@ -198,3 +201,17 @@ def test_services(spark):
     q = spark.createDataFrame([("what was net revenue",)], "question string")
     assert providers.rewritten(q, lambda ts: ['```json\n{"query": "net"}\n```'] * len(ts)).first().query == "net"
     assert providers.rewritten(q, lambda ts: ["no json"] * len(ts)).first().query == "net revenue"
+
+
+def test_trace(monkeypatch):
+    t = Trace()
+    with t.stage("a"), t.stage("a"):
+        pass
+    t.add_tokens(1_000_000, 500_000)
+    t.add_tokens(1, 1, 5)
+    assert set(t.stage_ms) == {"a"} and t.total_tokens == 1_500_005
+    monkeypatch.setenv(INPUT_PRICE, "2")
+    monkeypatch.setenv(OUTPUT_PRICE, " ")
+    assert t.cost is None
+    monkeypatch.setenv(OUTPUT_PRICE, "4")
+    assert t.cost == pytest.approx(4.0, rel=1e-5)
