@@ -10,11 +10,10 @@ codes and then reranked by cosine of the floats. Substring length, number of tab
 probing radius follow from the number of vectors and the wanted recall at the
 least cosine: the cheapest plan that reaches it (``plan``).
 
-Distribution: a task holds one table's codes with the same leading bits, about
-``BLOCK`` of them, and the codes of one other block that probe it; a code travels to the
-blocks that its probes can reach, so up to ``BLOCK`` vectors once a table.
-Codes are 24 bytes for 96 numbers, floats move once for the reranking. A pair found
-in several tables is emitted by the first only, so nothing need be made distinct.
+Distribution: a task holds one table's codes, about ``BLOCK`` at most; where there are
+more, those whose leading bits agree, and more tables make up for the pairs that
+differ there. So a code travels once a table, whatever the number of vectors. Of the codes
+the checked part moves (24 bytes for 96 numbers); floats move once for the reranking.
 
 Crowds: where a vector and its partner both have ``CROWD`` pairs in a task, their pair is not
 emitted; such vectors get their lists from a scan of all codes in blocks of queries
@@ -38,6 +37,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +80,16 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rotation(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> np.ndarray:
+def _rotation(vectors: DataFrame, dims: int, rotations: int = ROTATIONS, sample: int = SAMPLE) -> np.ndarray:
     """Rotations side by side, fitted on the ``sample`` vectors of the smallest hashes."""
     picked = vectors.orderBy(F.xxhash64("id")).limit(sample).toArrow()["v"].combine_chunks()
     x = _matrix(picked, dims) if len(picked) else np.zeros((0, dims))
-    return np.concatenate([learn_rotation(x, seed) for seed in range(ROTATIONS)], axis=1)
+    return np.concatenate([learn_rotation(x, seed) for seed in range(rotations)], axis=1)
 
 
-def coded(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> DataFrame:
+def coded(vectors: DataFrame, dims: int, rotations: int = ROTATIONS, sample: int = SAMPLE) -> DataFrame:
     """(id, same, code) of ``vectors`` (id, v), written once; ``same`` is the class of one direction."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_rotation(vectors, dims, sample))
+    shared = vectors.sparkSession.sparkContext.broadcast(_rotation(vectors, dims, rotations, sample))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotation = shared.value
@@ -112,25 +112,38 @@ def _within(n: int, p: float, r: int) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(r, n) + 1))
 
 
-def plan(n: int, bits: int, cosine: float, recall: float = 0.97) -> tuple[int, int, int, int]:
-    """(substring bits, tables, probing radius, radius of the whole codes): the cheapest with the wanted recall at ``cosine``."""
+@dataclass(frozen=True)
+class Plan:
+    """Substring bits, tables, places probed, leading bits that must agree, rotations, radius of the checked codes."""
+
+    s: int
+    tables: int
+    probe: int
+    lead: int
+    rotations: int
+    radius: int
+
+
+def plan(n: int, dims: int, cosine: float, recall: float = 0.97, block: int = BLOCK) -> Plan:
+    """The cheapest tables with the wanted recall at ``cosine``.
+
+    Up to ``block`` vectors a table is one part. Beyond, parts are told apart by leading bits of the
+    substring that must agree, which costs recall of a table and is made up for by more tables.
+    """
     p = math.acos(cosine) / math.pi
-    best: tuple[float, tuple[int, int, int]] | None = None
-    for s in range(6, 33):
+    lead, radius = max(0, math.ceil(math.log2(max(n, 1) / block))), _radius(dims * ROTATIONS, p)
+    best: tuple[float, Plan] | None = None
+    for s in range(lead + 6, lead + 33):
         for probe in range(5):
-            if probe >= s:
-                continue
-            hit = _within(s, p, probe)
+            hit = (1 - p) ** lead * _within(s - lead, p, probe)
             tables = math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
-            probes = sum(math.comb(s, i) for i in range(probe + 1))
-            if tables * s > bits or probes > 20_000:
-                continue
-            cost = tables * (20 + probes * (0.25 + n / 2**s))  # a probe is cheaper than a check; a table costs a copy of the codes
-            if best is None or cost < best[0]:
-                best = cost, (s, tables, probe)
-    if best is None:  # so low a cosine needs a scan: one empty substring
-        return 0, 1, 0, _radius(bits, p)
-    return (*best[1], _radius(bits, p))
+            probes = sum(math.comb(s - lead, i) for i in range(probe + 1))
+            rotations = max(ROTATIONS, math.ceil(tables * s / dims))
+            # in checks of a pair: a probe is cheaper; a table moves a copy of the codes; a rotation is a matrix product
+            cost = tables * (100 + probes * (0.25 + n / 2**s)) + 40 * rotations
+            if probes <= 20_000 and tables <= 400 and (best is None or cost < best[0]):
+                best = cost, Plan(s, tables, probe, lead, rotations, radius)
+    return best[1] if best else Plan(0, 1, 0, 0, ROTATIONS, radius)  # so low a cosine needs a scan: one empty substring
 
 
 def _radius(bits: int, p: float) -> int:
@@ -154,36 +167,26 @@ def _masks(s: int, probe: int) -> list[int]:
     return [sum(1 << b for b in which) for i in range(probe + 1) for which in itertools.combinations(range(s), i)]
 
 
-def pairs_of_block(
-    ids: np.ndarray, code: np.ndarray, own: np.ndarray, table: int, shape: tuple[int, int, int, int], crowd: int = CROWD, crowded: list[np.ndarray] | None = None,
-    asks: np.ndarray | None = None, lead: int = 0, flip: int = 0,
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) that this table is the first to retrieve, within the radius of the whole codes.
+def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: int, shape: Plan, crowd: int = CROWD, crowded: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) that the table retrieves among these rows, within the radius of the checked codes.
 
-    ``own`` marks the rows indexed here, ``asks`` (all by default) those that probe, whose ``lead`` leading bits
-    differ from the block's by ``flip``.
-
-    A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
+    ``keys`` are the rows' substrings without the leading bits, which agree. Pairs that an earlier table
+    retrieves are passed over as far as the checked codes tell. A pair both ends of which have
+    ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
     """
+    s, probe, radius, free = shape.s, shape.probe, shape.radius, shape.s - shape.lead
     degree, step = np.zeros(len(ids), dtype=np.int64), max(64, crowd * crowd * 256)  # pairs are looked at in steps
-    s, _, probe, radius = shape
-    keys = _substring(code, table, s)
     order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
-    ids, code, own, keys = ids[order], code[order], own[order], keys[order]
-    asking = np.flatnonzero(np.ones(len(ids), dtype=bool) if asks is None else asks[order])
+    ids, code, index = ids[order], code[order], keys[order]
     pad = (-code.shape[1]) % 8
     words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
     front = words[:, 0].copy()
-    rows = np.flatnonzero(own)
-    index = keys[rows]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << s))]) if 1 << s <= 8 * len(rows) + (1 << 16) else None
-    earlier = [_substring(code, t, s) for t in range(table)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << free))]) if 1 << free <= 8 * len(ids) + (1 << 16) else None
+    earlier = [_substring(code, t, s) for t in range(min(table, code.shape[1] * 8 // s if s else 0))]
     first_limit = radius * 64 / (code.shape[1] * 8) + 4 * math.sqrt(radius * 64 / (code.shape[1] * 8))
-    for mask in _masks(s, probe):
-        if mask >> (s - lead) != flip:
-            continue
-        asked = asking if not mask else asking[(keys[asking] >> (mask.bit_length() - 1)) & 1 == 0]
-        want = keys[asked] ^ mask
+    for mask in _masks(free, probe):
+        asked = np.arange(len(ids)) if not mask else np.flatnonzero((index >> (mask.bit_length() - 1)) & 1 == 0)
+        want = index[asked] ^ mask
         if ends is None:
             begin = np.searchsorted(index, want, "left")
             count = np.searchsorted(index, want, "right") - begin
@@ -197,14 +200,15 @@ def pairs_of_block(
             for k in range(0, int(c.max(initial=0)), step) if len(a) == 1 else (0,):  # one crowded bucket in pieces
                 part = np.minimum(c - k, step) if len(a) == 1 else c
                 q = np.repeat(a, part)
-                i = rows[np.arange(len(q)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(b + k, part)]
+                i = np.arange(len(q)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(b + k, part)
                 near = np.bitwise_count(front[q] ^ front[i]) <= first_limit
                 q, i = q[near], i[near]
                 near = np.bitwise_count(words[q] ^ words[i]).sum(axis=1) <= radius
                 near &= ids[q] < ids[i] if not mask else ids[q] != ids[i]
                 q, i = q[near], i[near]
                 for e in earlier:
-                    new = np.bitwise_count(e[q] ^ e[i]) > probe
+                    differ = e[q] ^ e[i]
+                    new = (np.bitwise_count(differ) > probe) | (differ >> free > 0)
                     q, i = q[new], i[new]
                 full = (degree[q] >= crowd) & (degree[i] >= crowd)
                 if full.any() and crowded is not None:
@@ -216,45 +220,36 @@ def pairs_of_block(
                     yield np.minimum(ids[q], ids[i]), np.maximum(ids[q], ids[i])
 
 
-def hashed_pairs(codes: DataFrame, n: int, bits: int, cosine: float, recall: float = 0.97, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+def hashed_pairs(codes: DataFrame, dims: int, shape: Plan, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: pairs of ``codes`` (id, code) that multi-index hashing retrieves.
 
     Rows with null b name ids in a crowd, whose pairs among each other are not all here.
     """
-    shape = plan(max(n, 2), bits, cosine, recall)
-    s, tables, probe, _ = shape
-    lead = min(s, max(0, math.ceil(math.log2(max(n, 1) / block))))
-    flips = _masks(lead, min(probe, lead))
+    s, tables, lead, checked = shape.s, shape.tables, shape.lead, dims * ROTATIONS // 8
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            short = pa.array([c.tobytes() for c in code[:, :checked]], pa.binary())
             for t in range(tables):
-                top = _substring(code, t, s) >> (s - lead) if lead else np.zeros(len(code), dtype=np.int64)
-                for k, flip in enumerate(flips):  # one part holds one block's codes and the probes of one other block
-                    for asks, to in ((True, top ^ flip), (False, top)):
-                        if asks or k:
-                            part = (to * tables + t) * len(flips) + k
-                            marks = [pa.array(np.full(len(code), x)) for x in (not asks or not k, asks)]
-                            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *marks, batch.column(0), batch.column(1)], names=["part", "own", "asks", "id", "code"])
+                keys = _substring(code, t, s)
+                part, rest = (keys >> (s - lead)) * tables + t, keys & ((1 << (s - lead)) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rest, pa.int64()), batch.column(0), short], names=["part", "rest", "id", "code"])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         code = np.frombuffer(b"".join(group["code"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
         crowded: list[np.ndarray] = []
-        part = group["part"][0].as_py()
-        found = list(pairs_of_block(
-            group["id"].to_numpy(), code, group["own"].to_numpy(), part // len(flips) % tables, shape, crowd, crowded, group["asks"].to_numpy(), lead, flips[part % len(flips)]
-        ))
+        found = list(pairs_of_block(group["id"].to_numpy(), code, group["rest"].to_numpy(), group["part"][0].as_py() % tables, shape, crowd, crowded))
         none = [np.zeros(0, dtype=np.int64)]
         a, b, many = np.concatenate([x for x, _ in found] or none), np.concatenate([y for _, y in found] or none), np.unique(np.concatenate(crowded or none))
         return pa.table({"a": pa.array(np.concatenate([a, many]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])})
 
-    rows = codes.select("id", "code").mapInArrow(spread, "part long, own boolean, asks boolean, id long, code binary")
-    spread_over = 4 * tables * len(flips) << lead  # so that few parts share a task
-    return rows.repartition(spread_over, "part").groupBy("part").applyInArrow(search, "a long, b long")
+    rows = codes.select("id", "code").mapInArrow(spread, "part long, rest long, id long, code binary")
+    spread_over = 4 * tables << lead  # so that few parts share a task
+    return rows.repartition(spread_over, "part").groupBy("part").applyInArrow(search, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- reranking and lists
@@ -266,17 +261,18 @@ def cosine_of(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float = 0.97, crowd: int = CROWD) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float = 0.97, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(a, b, cosine), a < b: pairs of at least ``cosine`` of which one is among the other's ``k`` nearest.
 
     ``vectors`` has id and v. ``recall`` is the expected share of the pairs exactly at
     ``cosine`` that come out; nearer pairs are lost more rarely.
     """
+    shape = plan(max(vectors.count(), 2), dims, cosine, recall, block)
     vectors = vectors.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
-    codes = coded(vectors, dims)
+    codes = coded(vectors, dims, shape.rotations)
     classes = materialize(codes.groupBy("same").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("code").alias("code")), "classes")
-    total, reps = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = materialize(hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), reps, dims * ROTATIONS, cosine, recall, crowd=crowd), "pairs")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = materialize(hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), dims, shape, crowd), "pairs")
     left, right = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     scored = pairs.where(F.col("b").isNotNull()).join(left, "a").join(right, "b").select("a", "b", cosine_of(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= cosine)
     # vectors in a crowd get their lists from the scan, in blocks; only their k nearest move

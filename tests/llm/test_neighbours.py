@@ -28,10 +28,12 @@ def clustered(rng, n, d=32):
 
 
 def test_plan_reaches_the_recall():
-    for n in (2, 1000, 10**6, 10**9):
-        s, tables, probe, radius = nb.plan(n, 192, 0.84)
+    for n in (2, 1000, 10**6, 10**8, 10**9):
+        x = nb.plan(n, 96, 0.84)
         p = np.arccos(0.84) / np.pi
-        assert s * tables <= 192 and 1 - (1 - nb._within(s, p, probe)) ** tables >= 0.97 and nb._within(192, p, radius) >= 0.999
+        hit = (1 - p) ** x.lead * nb._within(x.s - x.lead, p, x.probe)
+        assert x.s * x.tables <= 96 * x.rotations and 1 - (1 - hit) ** x.tables >= 0.97 and nb._within(192, p, x.radius) >= 0.999
+        assert n / 2**x.lead <= nb.BLOCK
 
 
 def test_tables_retrieve_every_code_within_the_radius_once():
@@ -39,9 +41,8 @@ def test_tables_retrieve_every_code_within_the_radius_once():
     code = np.packbits(rng.integers(0, 2, (300, 64)), axis=1)
     code[150:] = code[:150]
     code[150:, 0] ^= 3
-    ids, own = rng.permutation(300).astype(np.int64), np.ones(300, dtype=bool)
-    s, tables, probe = 8, 8, 1
-    found = [(a, b) for t in range(tables) for x, y in nb.pairs_of_block(ids, code, own, t, (s, tables, probe, 15), crowd=1) for a, b in zip(x.tolist(), y.tolist())]
+    ids, shape = rng.permutation(300).astype(np.int64), nb.Plan(8, 8, 1, 0, 2, 15)
+    found = [(a, b) for t in range(8) for x, y in nb.pairs_of_block(ids, code, nb._substring(code, t, 8), t, shape, crowd=1) for a, b in zip(x.tolist(), y.tolist())]
     bits = np.unpackbits(code, axis=1)
     dist = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
     want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(300) for j in range(i) if dist[i, j] <= 15}
@@ -49,11 +50,10 @@ def test_tables_retrieve_every_code_within_the_radius_once():
 
 
 @pytest.mark.parametrize("block", [1 << 18, 200])
-def test_recall_and_blocks(spark, block, monkeypatch):
+def test_recall_and_blocks(spark, block):
     rng = np.random.default_rng(1)
     x = clustered(rng, 600)
-    monkeypatch.setattr(nb.hashed_pairs, "__defaults__", (0.97, block, nb.CROWD))
-    got = {(r.a, r.b) for r in nb.similar_pairs(frame(spark, enumerate(x)), 32, 0.84, 5).collect()}
+    got = {(r.a, r.b) for r in nb.similar_pairs(frame(spark, enumerate(x)), 32, 0.84, 5, block=block).collect()}
     want = brute(list(range(600)), x.astype(np.float32).astype(float), 0.84, 5)
     assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
@@ -123,7 +123,7 @@ def test_crowds_are_scanned_instead_of_paired(spark):
     x = np.concatenate([crowd, rng.normal(size=(100, 32))]).astype(np.float32)
     v = frame(spark, enumerate(x))
     codes = nb.coded(v, 32).select("id", "code")
-    pairs = nb.hashed_pairs(codes, 400, 64, 0.84, crowd=3)
+    pairs = nb.hashed_pairs(codes, 32, nb.plan(400, 32, 0.84), crowd=3)
     assert pairs.where("b is not null").count() < 300 * 299 / 2 / 4 and pairs.where("b is null").select("a").distinct().count() >= 250
     got = {(r.a, r.b) for r in nb.similar_pairs(v, 32, 0.84, 5, crowd=3).collect()}
     want = brute(list(range(400)), x.astype(float), 0.84, 5)
