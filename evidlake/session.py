@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def local_session(cores: int = 8, name: str = "evidlake", **conf: str) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_evidlake_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="evidlake-"), "evidlake")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "evidlake"))
+        context._evidlake_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
