@@ -213,21 +213,45 @@ def evidence_grades(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- pipeline
 
 
-def adaptive_retrieval(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(pipeline.retrieve(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive")))
+def _adaptive(spark: SparkSession, root: str, scope: str) -> DataFrame:
+    return _shown(pipeline.retrieve(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive", scope=scope)))
 
 
-def corrective_retrieval(spark: SparkSession, root: str) -> DataFrame:
-    results, grades = pipeline.retrieve_and_grade(_questions(spark, root), _corpus(spark, root), pipeline.Settings("bm25", top_k=3))
+def _corrective(spark: SparkSession, root: str, scope: str) -> DataFrame:
+    results, grades = pipeline.retrieve_and_grade(_questions(spark, root), _corpus(spark, root), pipeline.Settings("bm25", top_k=3, scope=scope))
     n = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     return grades.join(n, "query_id", "left").select("query_id", "sufficient", "confidence", "corrected", F.coalesce("results", F.lit(0)).alias("results"))
 
 
-def offline_answers(spark: SparkSession, root: str) -> DataFrame:
-    a = pipeline.answer(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive", rerank=True))
+def _offline(spark: SparkSession, root: str, scope: str) -> DataFrame:
+    a = pipeline.answer(_questions(spark, root), _corpus(spark, root), pipeline.Settings("adaptive", rerank=True, scope=scope))
     return a.select("query_id", "answer", F.array_join("cited", " ").alias("cited"), "insufficient_evidence", "error", "route_method", "sufficient", "confidence", "corrected")
 
 
+def adaptive_retrieval(spark: SparkSession, root: str) -> DataFrame:
+    return _adaptive(spark, root, "example")
+
+
+def corrective_retrieval(spark: SparkSession, root: str) -> DataFrame:
+    return _corrective(spark, root, "example")
+
+
+def offline_answers(spark: SparkSession, root: str) -> DataFrame:
+    return _offline(spark, root, "example")
+
+
+def adaptive_retrieval_corpus(spark: SparkSession, root: str) -> DataFrame:
+    return _adaptive(spark, root, "global")
+
+
+def corrective_retrieval_corpus(spark: SparkSession, root: str) -> DataFrame:
+    return _corrective(spark, root, "global")
+
+
+def offline_answers_corpus(spark: SparkSession, root: str) -> DataFrame:
+    return _offline(spark, root, "global")
+
+
 def evidence_texts(spark: SparkSession, root: str) -> DataFrame:
     c = _corpus(spark, root)
     e = answers.evidence(lexical.search_reports(_questions(spark, root), c, 3), c)
@@ -304,7 +328,8 @@ def retrieval_failures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def experiment_grid(spark: SparkSession, root: str) -> DataFrame:
-    g = pipeline.experiment(_questions(spark, root), _corpus(spark, root), evaluation.gold_rows(_examples(spark, root)), pipeline.Settings())
+    """Every method, plain and reranked, against the chunks of all reports."""
+    g = pipeline.experiment(_questions(spark, root), _corpus(spark, root), evaluation.gold_rows(_examples(spark, root)), pipeline.Settings(scope="global"))
     return g.select("method", "rerank", "examples", *(F.round(c, 6).alias(c) for c in g.columns[3:]))
 
 
@@ -333,6 +358,6 @@ NAMES = (
     "chunk_corpus", "chunk_counts", "chunk_gold_overlap", "example_profile", "examples_limit", "token_counts", "content_term_counts", "number_counts", "year_counts", "parsed_numbers",
     "bm25_corpus_stats", "bm25_term_stats", "bm25_topk_report", "bm25_topk_corpus", "dense_topk_cosine", "dense_topk_l2", "dense_topk_scoped", "vector_norms", "index_alignment", "dense_topk_report",
     "hybrid_topk_report", "neighbor_expansion", "merged_results", "route_signals", "route_decisions", "rewritten_questions", "rerank_features", "reranked", "evidence_grades",
-    "adaptive_retrieval", "corrective_retrieval", "offline_answers", "evidence_texts", "calculation_runs", "finished_answers", "answer_matches", "answer_summary", "cost_estimates", "predictions_csv",
+    "adaptive_retrieval", "corrective_retrieval", "offline_answers", "adaptive_retrieval_corpus", "corrective_retrieval_corpus", "offline_answers_corpus", "evidence_texts", "calculation_runs", "finished_answers", "answer_matches", "answer_summary", "cost_estimates", "predictions_csv",
     "retrieval_metrics", "retrieval_failures", "experiment_grid", "grader_summary", "failure_classes", "failure_counts",
 )
