@@ -15,8 +15,12 @@ With ``prior >= hard`` silence itself means a plain number; evidence then fixes
 every state, and Viterbi gives exactly the units that the evidence names.
 
 Series are array columns; they are decoded in Arrow batches, all series of the
-same length at once. Build long series with ``bounded_series``, which splits a
-hot device into interleaved subsequences of bounded expected length.
+same length at once. Build long series with ``bounded_series``, which cuts a hot
+device into ranges of bounded length, and decode them with ``decode_ranges``: a
+range's costs from every state to every state form a min-plus matrix, a stream
+over a device's matrices gives the costs at which each range begins, and a stream
+backwards the state in which it ends. Costs are whole multiples of 2^-20, so their
+sums are exact and a device decoded in ranges has the states of the whole.
 
 Cases: a null number is skipped (its state is null, neighbours are compared
 across it); zero has no logarithm and costs no jump; empty and null series give
@@ -26,11 +30,15 @@ empty and null results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import materialize
 
 KINDS = ("none", "percent", "dollars", "shares")
 SCALES = (1.0, 1e3, 1e6, 1e9, 1e12)
@@ -42,36 +50,57 @@ _STATE_OF = {(k, round(math.log10(f))): i for i, (k, f) in enumerate(STATES)}
 _JOIN = (_KIND_NO[:, None] == _KIND_NO[None, :]) | (_KIND_NO[:, None] == 0) | (_KIND_NO[None, :] == 0)
 
 
-def viterbi(values: np.ndarray, evidence: np.ndarray, *, hard: float, prior: float, sigma: float, cap: float, switch: float) -> np.ndarray:
-    """States (n, t) of n series of length t; ``evidence`` holds the named state or -1; NaN values are passed over."""
+_GRID = 2.0**20
+
+
+def _on_grid(cost: np.ndarray | float) -> np.ndarray:
+    """Costs as whole multiples of 2^-20: sums below 2^33 are exact, in whatever order."""
+    return np.rint(np.asarray(cost) * _GRID) / _GRID
+
+
+def _forward(values: np.ndarray, evidence: np.ndarray, cost: np.ndarray, last: np.ndarray, *, hard: float, prior: float, sigma: float, cap: float, switch: float, level: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(costs at the end, back pointers) of series that begin with ``cost`` (n, states) after the log value ``last``."""
     n, t = values.shape
     s = len(STATES)
-    cost, last = np.zeros((n, s)), np.full(n, np.nan)
     back = np.zeros((n, t, s), dtype=np.int16)
-    silent = np.where(np.arange(s) == _STATE_OF["none", 0], 0.0, prior)
+    silent = np.where(np.arange(s) == _STATE_OF["none", 0], 0.0, _on_grid(prior))
     for i in range(t):
         v, e = values[:, i], evidence[:, i]
         there = ~np.isnan(v)
-        emit = np.where(e[:, None] < 0, silent[None, :], np.where(np.arange(s)[None, :] == e[:, None], 0.0, hard))
+        emit = np.where(e[:, None] < 0, silent[None, :], np.where(np.arange(s)[None, :] == e[:, None], 0.0, _on_grid(hard)))
         with np.errstate(divide="ignore", invalid="ignore"):
             lv = np.log(np.abs(v))
-        jump = (lv - last)[:, None, None] + (_LOG_F[None, None, :] - _LOG_F[None, :, None])
-        move = np.minimum(jump * jump / (2 * sigma * sigma), cap)
-        move = np.where(np.isfinite(jump), np.where(_JOIN[None], move, cap), 0.0)
-        move = move + switch * (1 - np.eye(s))[None]
+            jump = (lv - last)[:, None, None] + (_LOG_F[None, None, :] - _LOG_F[None, :, None])
+            move = np.minimum(jump * jump / (2 * sigma * sigma), cap)
+        move = _on_grid(np.where(np.isfinite(jump), np.where(_JOIN[None], move, cap), 0.0))
+        move = move + _on_grid(switch) * (1 - np.eye(s))[None]
         first = np.isnan(last)
         total = np.where(first[:, None, None], np.where(np.eye(s, dtype=bool)[None], 0.0, np.inf), move) + cost[:, :, None]
         best = total.argmin(axis=1)
         new = np.take_along_axis(total, best[:, None, :], axis=1)[:, 0, :] + emit
+        if level:  # only differences matter, and small numbers stay exact
+            new = new - new.min(axis=1, keepdims=True)
         back[:, i] = np.where(there[:, None], best, np.arange(s)[None, :])
         cost = np.where(there[:, None], new, cost)
         last = np.where(there & np.isfinite(lv), lv, last)
+    return cost, back
+
+
+def _backward(values: np.ndarray, back: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(states, the state before the first value) of series that end in the states ``at``."""
+    n, t = values.shape
     states = np.full((n, t), -1, dtype=np.int32)
-    at = cost.argmin(axis=1)
     for i in range(t - 1, -1, -1):
         states[:, i] = np.where(np.isnan(values[:, i]), -1, at)
         at = back[np.arange(n), i, at]
-    return states
+    return states, at
+
+
+def viterbi(values: np.ndarray, evidence: np.ndarray, *, hard: float, prior: float, sigma: float, cap: float, switch: float) -> np.ndarray:
+    """States (n, t) of n series of length t; ``evidence`` holds the named state or -1; NaN values are passed over."""
+    n = len(values)
+    cost, back = _forward(values, evidence, np.zeros((n, len(STATES))), np.full(n, np.nan), hard=hard, prior=prior, sigma=sigma, cap=cap, switch=switch)
+    return _backward(values, back, cost.argmin(axis=1))[0]
 
 
 def decode(values: Column, evidence: Column, *, hard: float = 1e6, prior: float = 1e6, sigma: float = 0.25, cap: float = 40.0, switch: float = 1.0) -> Column:
@@ -96,6 +125,101 @@ def decode(values: Column, evidence: Column, *, hard: float = 1e6, prior: float
     return run.asNondeterministic()(values, evidence)  # so that it is evaluated once, not in every use
 
 
+def _series(v: np.ndarray | list, e: np.ndarray | list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(v, dtype=float).reshape(1, -1), np.array([-1 if z is None or z != z else int(z) for z in e], dtype=int).reshape(1, -1)
+
+
+def _log_size(last: float | None) -> np.ndarray:
+    return np.full(1, np.nan if last is None or last != last else np.log(np.abs(last)))
+
+
+def decode_ranges(series: DataFrame, device: str, values: str, evidence: str, *, hard: float = 1e6, prior: float = 1e6, sigma: float = 0.25, cap: float = 40.0, switch: float = 1.0) -> DataFrame:
+    """``series`` (device, part, hot, head, and two array columns) with ``states``, the states of each device decoded as one series.
+
+    A part of a hot device is a range of it, in the order of ``part``. Ahead of the states of
+    every range but a device's first stands ``before``, the state in which the range before ends.
+    """
+    par = dict(hard=hard, prior=prior, sigma=sigma, cap=cap, switch=switch)
+    k = len(STATES)
+    cold = series.where(~F.col("hot")).withColumn("before", F.lit(None).cast("int")).withColumn("states", decode(F.col(values), F.col(evidence), **par))
+    hot = materialize(series.where("hot"), "ranges")
+    if hot.isEmpty():
+        return cold
+    key = [device, "part"]
+    sized = F.filter(F.col(values), lambda x: (F.abs(x) > 0) & (F.abs(x) < float("inf")))
+    so_far = Window.partitionBy(device).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = hot.select(*key, F.try_element_at(sized, F.lit(-1)).alias("_own")).select(*key, F.last("_own", ignorenulls=True).over(so_far).alias("_last"))
+    hot = hot.join(lasts, key)
+
+    @F.pandas_udf("array<double>")
+    def matrix(v: pd.Series, e: pd.Series, last: pd.Series) -> pd.Series:
+        start = np.where(np.eye(k, dtype=bool), 0.0, np.inf)
+        out = []
+        for x, y, z in zip(v, e, last):
+            a, b = _series(x, y)
+            out.append(_forward(a.repeat(k, 0), b.repeat(k, 0), start, _log_size(z).repeat(k), **par, level=False)[0].ravel())
+        return pd.Series(out)
+
+    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cost = None, np.zeros(k)
+        for batch in batches:
+            begin, end = [], []
+            for d, m in zip(batch[device], batch["_matrix"]):
+                if d != at:
+                    at, cost = d, np.zeros(k)
+                begin.append(cost)
+                cost = (cost[:, None] + np.array(m).reshape(k, k)).min(axis=0)
+                cost = cost - cost.min()
+                end.append(int(cost.argmin()))
+            yield batch[key].assign(_begin=begin, _best=end)
+
+    def ordered(df: DataFrame, *order: Column) -> DataFrame:
+        return df.repartition(device).sortWithinPartitions(device, *order)
+
+    kind = series.schema[device].dataType.simpleString()
+    name, part = f"`{device}` {kind}", f"`part` {series.schema['part'].dataType.simpleString()}"
+    matrices = hot.select(*key, matrix.asNondeterministic()(values, evidence, "_last").alias("_matrix"))
+    begun = ordered(matrices, F.col("part")).mapInPandas(forward, f"{name}, {part}, _begin array<double>, _best int")
+    hot = materialize(hot.join(begun, key), "begun")
+
+    @F.pandas_udf("array<int>")
+    def entries(v: pd.Series, e: pd.Series, last: pd.Series, begin: pd.Series) -> pd.Series:
+        out = []
+        for x, y, z, c in zip(v, e, last, begin):
+            a, b = _series(x, y)
+            back = _forward(a, b, np.array(c).reshape(1, k), _log_size(z), **par)[1]
+            out.append(_backward(a.repeat(k, 0), back.repeat(k, 0), np.arange(k))[1].tolist())
+        return pd.Series(out)
+
+    def backward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, 0
+        for batch in batches:
+            ends, befores = [], []
+            for d, best, entry in zip(batch[device], batch["_best"], batch["_entry"]):
+                if d != at:
+                    at, state = d, int(best)
+                ends.append(state)
+                state = int(entry[state])
+                befores.append(state)
+            yield batch[key].assign(_end=ends, before=befores)
+
+    entry = hot.select(*key, "_best", entries.asNondeterministic()(values, evidence, "_last", "_begin").alias("_entry"))
+    ended = ordered(entry, F.col("part").desc()).mapInPandas(backward, f"{name}, {part}, _end int, before int")
+
+    @F.pandas_udf("array<int>")
+    def states(v: pd.Series, e: pd.Series, last: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
+        out = []
+        for x, y, z, c, s in zip(v, e, last, begin, end):
+            a, b = _series(x, y)
+            back = _forward(a, b, np.array(c).reshape(1, k), _log_size(z), **par)[1]
+            out.append([None if i < 0 else int(i) for i in _backward(a, back, np.array([s]))[0][0]])
+        return pd.Series(out)
+
+    done = hot.join(ended, key).withColumn("before", F.when(~F.col("head"), F.col("before")))
+    done = done.withColumn("states", states.asNondeterministic()(values, evidence, "_last", "_begin", "_end"))
+    return cold.unionByName(done.select(*cold.columns))
+
+
 def state_no(kind: Column, factor: Column) -> Column:
     """The number of a state; null where kind and factor name none."""
     out = F.lit(None).cast("int")
@@ -207,13 +331,20 @@ def evidence(amount: Column, question: Column, label: Column | None = None, scal
 
 
 def bounded_series(df: DataFrame, device: str, order: list[str], columns: list[str], per_series: int = 256) -> DataFrame:
-    """(device, part, items): the rows of a device in order, hot devices in interleaved parts.
+    """(device, part, hot, head, items): the rows of a device in order, hot devices in ranges of at most ``per_series`` rows.
 
-    A device with n rows gets ceil(n / per_series) parts by the hash of the row's
-    order columns, so that no array grows with the data. The counts are
-    pre-aggregated; only devices that need more than one part are joined back.
+    The ranges of a device follow each other in the order of ``part``, from its ``head`` on. The counts are
+    pre-aggregated; only devices that need more than one part are joined back. Their rows
+    are sorted over the cluster and numbered, so that no array or task grows with a device.
     """
-    counts = df.groupBy(device).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_series)
-    counts = counts.select(device, F.ceil(F.col("_n") / per_series).alias("_parts"))
-    df = df.join(counts, device, "left").withColumn("part", F.pmod(F.xxhash64(*order), F.coalesce("_parts", F.lit(1))))
-    return df.groupBy(device, "part").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias("items"))
+    rest = [c for c in columns if c not in order]
+    df = materialize(df.select(device, *order, *rest), "rows")  # counted, then read twice
+    counts = df.groupBy(device).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_series).select(device, F.lit(True).alias("hot"))
+    df = df.join(counts, device, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    items = F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("items")
+    cold = df.where(~F.col("hot")).groupBy(device, F.lit(0).cast("long").alias("part"), "hot").agg(items).withColumn("head", F.lit(True))
+    hot = df.where("hot").orderBy(device, *order, *rest).withColumn("part", F.floor(F.monotonically_increasing_id() / per_series))
+    hot = materialize(hot, "hot")
+    heads = hot.groupBy(device).agg(F.min("part").alias("part")).withColumn("head", F.lit(True))
+    hot = hot.groupBy(device, "part", "hot").agg(items).join(heads, [device, "part"], "left")
+    return cold.unionByName(hot.withColumn("head", F.coalesce("head", F.lit(False))))

@@ -204,7 +204,7 @@ def p4_unit_switches(spark: SparkSession, root: str) -> DataFrame:
     """Units of the predicted answers decoded from the level alone where their texts are silent.
 
     The device is the example, its series the predicted answers in order of
-    time, each part led by the gold answer; labels and questions are not used.
+    time, led by the gold answer; labels and questions are not used.
     ``switched``: the unit differs from the one before it.
     """
     a = _amounts(spark, root).where(F.col("pred").isNotNull() & F.col("gold").isNotNull() & F.col("example_id").isNotNull())
@@ -212,10 +212,10 @@ def p4_unit_switches(spark: SparkSession, root: str) -> DataFrame:
                  F.col("gold.number").alias("lead"), units.evidence(F.col("gold"), F.col("asked")).alias("lead_said")).distinct()
     s = units.bounded_series(a, "example_id", ["run_at", "prediction_id", "number"], ["said", "lead", "lead_said"])
     i = F.col("items")
-    s = s.select(
-        "example_id", "items",
-        units.decode(F.concat(F.array(i[0]["lead"]), i["number"]), F.concat(F.array(i[0]["lead_said"]), i["said"]), prior=3.0).alias("states"),
-    )
+    led = lambda lead, own: F.when(F.col("head"), F.concat(F.array(i[0][lead]), i[own])).otherwise(i[own])
+    s = s.select("example_id", "part", "hot", "head", "items", led("lead", "number").alias("numbers"), led("lead_said", "said").alias("named"))
+    s = units.decode_ranges(s, "example_id", "numbers", "named", prior=3.0)
+    s = s.withColumn("states", F.when(F.col("before").isNull(), F.col("states")).otherwise(F.concat(F.array("before"), "states")))
     s = s.select("example_id", F.posexplode("items").alias("n", "item"), "states")
     state, before = F.get("states", F.col("n") + 1), F.get("states", F.col("n"))
     return s.select(

@@ -77,6 +77,43 @@ def test_hot_device_is_split(spark):
     assert sum(p.n for p in parts) == 2003 and max(p.n for p in parts) < 400 and sum(p.d == "cold" for p in parts) == 1
 
 
+PAR = dict(hard=1e6, prior=3.0, sigma=0.25, cap=40.0, switch=1.0)
+
+
+def test_ranges_decode_as_the_whole(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for d, n in (("hot", 900), ("zeros", 400), ("cold", 40)):
+        level = np.exp(np.cumsum(rng.normal(0, 0.2, n)) + 5)
+        values = level / np.array([1.0, 1e3, 1e6])[np.cumsum(rng.random(n) < 0.1) % 3]
+        values[rng.random(n) < 0.05] = 0.0
+        values[rng.random(n) < 0.05] = np.nan
+        if d == "zeros":
+            values[:150] = 0.0
+        said = np.where(rng.random(n) < 0.1, rng.integers(0, len(units.STATES), n), -1)
+        want[d] = [None if x < 0 else int(x) for x in units.viterbi(values[None], said[None], **PAR)[0]]
+        rows += [(d, i, None if v != v else float(v), None if e < 0 else int(e)) for i, (v, e) in enumerate(zip(values, said))]
+    df = spark.createDataFrame(rows, "d string, o int, v double, e int").repartition(5)
+    s = units.bounded_series(df, "d", ["o"], ["v", "e"], 64).withColumn("vs", F.col("items.v")).withColumn("es", F.col("items.e"))
+    got = {}
+    for r in units.decode_ranges(s, "d", "vs", "es", **PAR).orderBy("d", "part").collect():
+        assert len(r["items"]) <= 64 and r.hot == (r.d != "cold") and r.head == (r.before is None)
+        assert r.head or got[r.d][-1] in (r.before, None)
+        got.setdefault(r.d, []).extend(r.states)
+    assert got == want
+
+
+def test_switches_of_a_hot_example(spark, tmp_path):
+    n = 700
+    numbers = [round(10 + 0.01 * (i % 7), 2) if i // 4 % 2 else round(10_000 + i, 1) for i in range(n)]
+    rows = [(f"p{i:04}", "hot", i, "what?", "10 million", str(x), None, None) for i, x in enumerate(numbers)]
+    spark.createDataFrame(rows, "prediction_id string, example_id string, run_at int, question string, gold_answer string, predicted_answer string, answer_unit string, answer_scale string").write.parquet(f"{tmp_path}/predictions.parquet")
+    states = units.viterbi(np.array([[10.0, *numbers]]), np.array([[units._STATE_OF["none", 6]] + [-1] * n]), **PAR)[0]
+    got = problems.p4_unit_switches(spark, str(tmp_path)).orderBy("prediction_id").collect()
+    assert [(r.number, r.kind, r.factor, r.switched) for r in got] == [(x, *units.STATES[b], bool(a != b)) for x, a, b in zip(numbers, states, states[1:])]
+    assert sum(r.switched for r in got) == n // 4
+
+
 def plain_case(question, gold, predicted, unit, scale):
     """The rules of the data in plain Python; None if an answer holds no number."""
 
