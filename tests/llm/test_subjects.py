@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from evidlake.llm import subjects
@@ -64,3 +65,30 @@ def test_bounds_of_the_sample(spark):
     d, l, a = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), spark.createDataFrame([("tea", ""), ("rail", "")], AREAS)
     assert len(subjects._training(d, l, a, 10, 10**9)[1]) == 10
     assert len(subjects._training(d, l, a, 100, 2000)[1]) < len(subjects._training(d, l, a, 100, 10**9)[1])
+
+
+def test_fit_counts_every_sentence():
+    k = 14
+    names, seeds = [f"s{i}" for i in range(k)], [[f"seed{i}"] for i in range(k)]
+    docs = [([["kettle", "leaf", "rose"], ["kettle", "fell"]], [0])] * 6 + [([["track", "signal"]], [1])] * 5 + [([["kettle", "rose"], ["costs", "fell"]], [])] * 40
+    models = subjects.SubjectModels(names)
+    models.fit(docs, seeds, 1)
+    v = len(models.word)
+    counts, total = np.zeros((v, k)), np.zeros(v)
+    for sents, labels, seed in [(*d, None) for d in docs] + [([w], [], i) for i, w in enumerate(seeds)]:
+        start = np.full(k + 1, 0.05 / (k + 1))
+        start[labels] += 0.45 / max(1, len(labels))
+        start[-1] += 0.5 if seed is None else 0
+        if seed is not None:
+            start[seed] = 1e3
+        start /= start.sum()
+        for w in (models.word[w] for sent in sents for w in sent):
+            counts[w] += start[:k]
+            total[w] += 1
+    flat = [(models.word[w], i) for i, (sents, _) in enumerate(docs) for sent in sents for w in sent]
+    tied = models._tied(np.array([w for w, _ in flat]), v, np.array([d for _, d in flat]), docs, k)
+    for i, (w,) in enumerate(seeds):
+        tied[models.word[w], i] = True
+    ratio = np.where(tied, (counts + subjects.SHRINK) / (counts.sum(axis=0) * (total / total.sum())[:, None] + subjects.SHRINK), 1)
+    assert tied[:, 0].sum() > 1
+    assert models.table[-v:] == pytest.approx(models._gain(ratio), abs=1e-5)
