@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import nesting, orphans, units
 from ..sources.tables import table
@@ -117,7 +118,9 @@ def _ann_key() -> Column:
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:
-    n = _report_nodes(spark, root).where((F.col("node_type") == "record") & (F.map_contains_key("attrs", "id") | F.map_contains_key("attrs", "filename")))
+    """Every record; an object that only wraps one under ``record`` is none."""
+    following = Window.partitionBy("doc_id").orderBy("pre")
+    n = _report_nodes(spark, root).where(F.col("node_type") == "record").withColumn("wraps", F.lead("post").over(following) <= F.col("post")).where(~F.coalesce("wraps", F.lit(False)))
     return n.select(F.col("doc_id").alias("raw_id"), F.col("pre").alias("record_pre"), F.col("post").alias("record_post"), F.col("attrs")["id"].alias("example_id"), F.col("attrs")["filename"].alias("document_id"))
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from evidlake.operators import nesting
+from evidlake.plans import problems
 
 SPEC = {"doc": [[]], "item": [["items", "*"]], "tag": [["items", "*", "tags", "*"], ["items", "*", "tags"]], "extra": [["more", "@"]]}
 
@@ -43,3 +44,14 @@ def test_deep_nesting_is_parsed_without_recursion():
 
 def test_last_of_repeated_fields_counts(spark):
     assert [r.value for r in nodes(spark, ['{"more": {"k": 1, "k": 2}}']).where("node_type = 'extra'").collect()] == ["2"]
+
+
+def test_records_without_optional_fields_stay(spark, tmp_path):
+    q = {"question": "what?"}
+    payloads = [{"qa": q}, {"record": {"qa": q}}, {"id": "w", "record": {"id": "a", "qa": [q, q]}}, [{"qa": q}, {"record": {"filename": "f", "qa": q}}], {"id": "b", "record": "text", "qa": q}]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "raw_id long, payload string")
+    df.write.parquet(f"{tmp_path}/raw_records.parquet")
+    records = problems.p3_records(spark, str(tmp_path)).collect()
+    assert sorted((r.raw_id, r.example_id or "", r.document_id or "") for r in records) == [(0, "", ""), (1, "", ""), (2, "a", ""), (3, "", ""), (3, "", "f"), (4, "b", "")]
+    asked = {(r.raw_id, r.record_pre) for r in problems.p3_questions(spark, str(tmp_path)).collect()}
+    assert asked == {(r.raw_id, r.record_pre) for r in records}
