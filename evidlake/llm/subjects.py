@@ -235,7 +235,7 @@ class SubjectModels:
 
 
 def _training(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_documents: int, max_chars: int) -> tuple[list[str], list[tuple[list[list[str]], list[int]]], list[list[str]]]:
-    named = areas.where(F.col("subject").isNotNull()).select(F.col("subject"), F.coalesce(F.col("description"), F.lit("")).alias("description")).orderBy("subject").limit(10_000).collect()
+    named = areas.where(F.col("subject").isNotNull()).select(F.col("subject"), F.coalesce(F.col("description"), F.lit("")).alias("description")).orderBy("subject").collect()
     subjects = [r[0] for r in named]
     number = {re.sub(r"[\W_]+", "", s.casefold()): i for i, s in enumerate(subjects)}
     keyed = labels.where(F.col("doc_id").isNotNull()).select("doc_id", subject_key(F.col("subject")).alias("key")).where(F.col("key").isin(list(number)))

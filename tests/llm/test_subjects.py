@@ -92,3 +92,10 @@ def test_fit_counts_every_sentence():
     ratio = np.where(tied, (counts + subjects.SHRINK) / (counts.sum(axis=0) * (total / total.sum())[:, None] + subjects.SHRINK), 1)
     assert tied[:, 0].sum() > 1
     assert models.table[-v:] == pytest.approx(models._gain(ratio), abs=1e-5)
+
+
+def test_every_subject_counts(spark):
+    areas = spark.range(10_020).selectExpr("concat('s', lpad(cast(id as string), 6, '0')) as subject", "'' as description")
+    d, l = spark.createDataFrame([(1, "The kettle rose.", None)], DOCS), spark.createDataFrame([(1, "s010019", "a")], LABELS)
+    names, docs, seeds = subjects._training(d, l, areas, 10, 10**9)
+    assert len(names) == len(seeds) == 10_020 and [labels for _, labels in docs] == [[10_019]]
