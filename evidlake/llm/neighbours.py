@@ -12,7 +12,8 @@ least cosine: the cheapest plan that reaches it (``plan``).
 
 Distribution: a task holds one table's codes, about ``BLOCK`` at most; where there are
 more, those whose leading bits agree, and more tables make up for the pairs that
-differ there. So a code travels once a table, whatever the number of vectors. Of the codes
+differ there. That is an average: a cluster that agrees in those bits is one part, of any
+size. So a code travels once a table, whatever the number of vectors. Of the codes
 the checked part moves (24 bytes for 96 numbers); floats move once for the reranking.
 
 Crowds: where a vector and its partner both have ``CROWD`` pairs in a task, their pair is not
