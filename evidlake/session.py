@@ -2,7 +2,8 @@
 
 On a cluster the folder is the one named by ``spark.checkpoint.dir``; every
 executor can read it, so a written table there survives the loss of executors.
-Only where that setting is missing (tests, a laptop) a local folder is chosen.
+Only where that setting is missing and Spark runs in one process (tests, a laptop) a
+local folder is chosen; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not getattr(context, "_evidlake_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="evidlake-"), "evidlake")
-        context.addPyFile(shutil.make_archive(base, "zip", root, "evidlake"))
+        folder = tempfile.mkdtemp(prefix="evidlake-")  # the driver's copy; executors fetch it from there
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "evidlake"), "zip", root, "evidlake"))
         context._evidlake_shipped = True
 
 
@@ -51,7 +53,10 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="evidlake-")
+        atexit.register(shutil.rmtree, root[len("file://") :], ignore_errors=True)
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
 
@@ -83,17 +88,32 @@ def release_all() -> None:
         spark, path = _OPEN.pop()
         try:
             release(spark, path)
-        except Exception:  # the session may be gone already
-            return
+        except Exception:  # one that cannot be deleted does not keep the others; the session may be gone already
+            continue
 
 
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back; with ``by``, a folder for each of its values.
 
     Cuts the lineage where a result feeds several branches, without executor
     storage: a lost executor costs nothing.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class scratch:  # noqa: N801 - used as a context
+    """``with scratch(): ...``: tables written inside are deleted at its end, so that a long session does not fill the folder.
+
+    Results that are read later must be collected or stored inside.
+    """
+
+    def __enter__(self) -> scratch:
+        self.before = len(_OPEN)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        while len(_OPEN) > self.before:
+            release(*_OPEN.pop())
