@@ -1,11 +1,16 @@
 """Duplicates hidden by formatting differences, kept in an incremental ledger.
 
-Every record gets a canonical key. The ledger is a table of keys, hash-bucketed
-and sorted by key, with the number of copies and the earliest representative.
-A new batch is first aggregated (map-side partial counts, so a key that holds a
-third of all rows shuffles one row per task) and then full-outer-joined with the
-ledger: the ledger side is read bucket by bucket without a shuffle, only the
-batch's aggregate moves. Counts are added, the smaller representative is kept.
+Every record gets a canonical key. The ledger is a folder that lasts: keys,
+hash-bucketed and sorted by key, with the number of copies and the earliest
+representative. A new batch is first aggregated (map-side partial counts, so a key
+that holds a third of all rows shuffles one row per task) and then full-outer-joined
+with the ledger bucket by bucket: the batch's aggregate is shuffled into the ledger's
+buckets, the ledger is read where it lies and written where it was read, without
+a shuffle. Counts are added, the smaller representative is kept.
+
+A merge writes a new generation beside the old one; ``ledger.json`` names the valid
+one and is replaced last, so a merge that dies leaves the ledger as it was.
+``Ledger(spark, path)`` opens a ledger of an earlier session.
 
 Membership (which row belongs to which record) joins the rows' keys with the
 ledger. Keys with more than one in ``HOT_PART`` of all rows are fewer than
@@ -19,6 +24,7 @@ an empty ledger; further columns are not touched.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, release, scratch_path
 
 HOT_PART = 1000
+#: Spark knows buckets of catalogued tables only; ledgers in use are catalogued here
+DATABASE = "evidlake_ledgers"
 
 # Private-use marks for content that looks like punctuation.
 _OPEN, _CLOSE, _MINUS, _POINT, _CELL = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
@@ -59,41 +67,76 @@ def canonical_key(*parts: Column) -> Column:
 
 
 class Ledger:
-    """Counts and earliest representatives by key; one generation per merged batch."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._name: str | None = None
-        self._path: str | None = None
+    """Counts and earliest representatives by key, in the folder ``path`` (without one, for this session only)."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path or scratch_path(spark, "ledger")
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = self._known()
+        self.buckets = known["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._table: str | None = None
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+        self._use(known["generation"] if known else None)
+
+    def _known(self) -> dict | None:
+        for name in ("ledger.json", "ledger.new"):  # the second where a merge died between its last two steps
+            if self._fs.exists(self._at(f"{self.path}/{name}")):
+                return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+        return None
+
+    def _use(self, generation: str | None) -> None:
+        """Catalogue a generation; without one, an empty table."""
+        self.close()
+        name = f"{DATABASE}.g{uuid.uuid4().hex}"
+        where = f"{self.path}/{generation or 'empty'}"
+        self._fs.mkdirs(self._at(where))
+        self.spark.sql(f"CREATE TABLE {name} (key BINARY, n BIGINT, first BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        self._table, self._generation = name, generation
+
+    def merged(self, batch: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
+        """The entries with the rows of a batch (columns ``key`` and ``order``) added."""
+        new = batch.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("new_n"), F.min(order).alias("new_first"))
+        usual = max(int(self.spark.conf.get(c, "1") or 1) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+        if self.buckets < usual:  # else Spark would rather shuffle both sides into its usual number of parts
+            new = new.repartition(self.buckets, "key")
+        both = self.entries().join(new, "key", "full_outer")
+        return both.select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"), F.least("first", "new_first").alias("first"))
 
     def merge(self, batch: DataFrame, key: str = "key", order: str = "ord") -> None:
-        """Adds the rows of a batch (columns ``key`` and ``order``)."""
-        new = batch.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("new_n"), F.min(order).alias("new_first"))
-        if self._name is None:
-            out = new.select("key", F.col("new_n").alias("n"), F.col("new_first").alias("first"))
-        else:
-            out = (
-                self.entries()
-                .join(new, "key", "full_outer")
-                .select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"), F.least("first", "new_first").alias("first"))
-            )
-        name, path = f"ledger_{uuid.uuid4().hex}", scratch_path(self.spark, "ledger")
-        out.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
-        self.close()
-        self._name, self._path = name, path
+        """Adds the rows of a batch for good."""
+        before, generation = self._generation, f"generation-{uuid.uuid4().hex}"
+        name = f"{DATABASE}.w{uuid.uuid4().hex}"
+        out = self.merged(batch, key, order)
+        out.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{generation}").format("parquet").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        self._name(generation)
+        self._use(generation)
+        if before:
+            release(self.spark, f"{self.path}/{before}")
+
+    def _name(self, generation: str) -> None:
+        """Make a generation the valid one, in one step."""
+        new, final = self._at(f"{self.path}/ledger.new"), self._at(f"{self.path}/ledger.json")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "generation": generation}).encode()))
+        out.close()
+        if self._fs.exists(final):
+            self._fs.delete(final, False)
+        self._fs.rename(new, final)
 
     def entries(self) -> DataFrame:
-        if self._name is None:
-            raise ValueError("nothing merged yet")
-        return self.spark.table(self._name)
+        """(key, n, first), read by buckets."""
+        if self._table is None:
+            raise ValueError("the ledger is closed")
+        return self.spark.table(self._table)
 
     def close(self) -> None:
-        """Forget the current generation."""
-        if self._name is not None:
-            self.spark.sql(f"DROP TABLE {self._name}")
-            release(self.spark, self._path)
-            self._name = None
+        """Take the ledger out of the catalogue; its folder stays."""
+        if self._table is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table}")
+            self._table = None
 
 
 def membership(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -111,15 +154,12 @@ def keyed_rows(df: DataFrame, record: str, content: str, order: str, arrived: st
     rows = df.where(F.col(record).isNotNull()).select(
         F.col(order).alias("ord"), canonical_key(letters_and_digits(F.col(record)), canonical_content(F.col(content))).alias("key"), F.coalesce(F.year(arrived), F.lit(0)).alias("batch")
     )
-    return materialize(rows, "keyed")
+    return materialize(rows, "keyed", by="batch")
 
 
-def build(rows: DataFrame) -> Ledger:
-    """A ledger of all batches, in order of arrival."""
-    ledger = Ledger(rows.sparkSession)
-    batches = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]  # years: a handful
-    for b in batches:
+def build(rows: DataFrame, path: str | None = None) -> Ledger:
+    """A ledger of all batches, in order of arrival; each merge reads its batch's folder only."""
+    ledger = Ledger(rows.sparkSession, path)
+    for (b,) in rows.select("batch").distinct().orderBy("batch").collect():  # years: a handful
         ledger.merge(rows.where(F.col("batch") == b))
-    if not batches:
-        ledger.merge(rows)
     return ledger

@@ -65,6 +65,29 @@ def test_batches_add_up_and_hot_group(spark, day, monkeypatch):
         one.entries()
 
 
+@pytest.mark.parametrize("buckets", [3, 4, 7])
+def test_ledger_lasts_and_is_not_shuffled(spark, day, tmp_path, buckets):
+    path = str(tmp_path / "book")
+    first, second = rows(spark, [(5, "a", "x", day(1)), (6, "a", "X", day(1)), (7, "b", "y", day(1))]), rows(spark, [(2, "A", "x!", day(400)), (9, "c", "z", day(400))])
+    ledger.Ledger(spark, path, buckets=buckets).merge(first)
+    book = ledger.Ledger(spark, path)  # opened again, as by a later session
+    assert book.buckets == buckets and book.entries().count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = book.merged(second)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above_ledger = plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
+    assert "Exchange" not in above_ledger and "Bucketed: true" in plan and f"SelectedBucketsCount: {buckets} out of {buckets}" in plan
+    book.merge(second)
+    again = ledger.Ledger(spark, path)
+    assert sorted((r[0], r[1]) for r in again.entries().select("n", "first").collect()) == [(1, 7), (1, 9), (3, 2)]
+    assert len([f for f in os.listdir(path) if f.startswith("generation-")]) == 1
+    os.rename(f"{path}/ledger.json", f"{path}/ledger.new")  # a merge that died at its last step
+    assert ledger.Ledger(spark, path).entries().count() == 3
+    assert not [t for t in spark.catalog.listTables("default") if t.name.startswith("ledger")]
+
+
 @pytest.mark.parametrize("name", sorted(problems.P2_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
