@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import nesting, orphans, units
 from ..sources.tables import table
@@ -89,11 +88,14 @@ REPORT_SPEC: nesting.Spec = {
 }
 
 
+_PARENTS: nesting.Carry = {"record": ("pre",), "qa": ("pre", "pos", "name"), "row": ("pre", "pos", "attrs")}
+
+
 def _report_nodes(spark: SparkSession, root: str) -> DataFrame:
-    nodes = nesting.interval_nodes(table(spark, root, "raw_records", "raw_id", "payload"), "raw_id", "payload", REPORT_SPEC)
+    nodes = nesting.interval_nodes(table(spark, root, "raw_records", "raw_id", "payload"), "raw_id", "payload", REPORT_SPEC, _PARENTS)
     # arrays stand at the paths of their elements' single form too: a question or annotation is an object or scalar
     is_object, is_value = F.col("attrs").isNotNull(), F.col("value").isNotNull()
-    nodes = nodes.where(
+    return nodes.where(
         ((F.col("node_type") == "record") & is_object)
         | ((F.col("node_type") == "qa") & is_object)
         | (F.col("node_type") == "row")
@@ -101,7 +103,6 @@ def _report_nodes(spark: SparkSession, root: str) -> DataFrame:
         | ((F.col("node_type") == "gold") & (F.col("name").isNotNull() | is_object | is_value))
         | (F.col("node_type").isin("ann_table_row", "ann_text_row") & is_value)
     )
-    return nesting.with_parents(nodes, {"record": ("pre", "attrs"), "qa": ("pre", "pos", "name"), "row": ("pre", "pos", "attrs")})
 
 
 def _question_no(name: str = "qa_name", pos: str = "qa_pos") -> Column:
@@ -118,9 +119,8 @@ def _ann_key() -> Column:
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:
-    """Every record; an object that only wraps one under ``record`` is none."""
-    following = Window.partitionBy("doc_id").orderBy("pre")
-    n = _report_nodes(spark, root).where(F.col("node_type") == "record").withColumn("wraps", F.lead("post").over(following) <= F.col("post")).where(~F.coalesce("wraps", F.lit(False)))
+    """Every record; an object that only wraps one under ``record``, without parts of its own, is none."""
+    n = _report_nodes(spark, root).where((F.col("node_type") == "record") & ((F.col("inner") == 0) | (F.col("children") > 0)))
     return n.select(F.col("doc_id").alias("raw_id"), F.col("pre").alias("record_pre"), F.col("post").alias("record_post"), F.col("attrs")["id"].alias("example_id"), F.col("attrs")["filename"].alias("document_id"))
 
 

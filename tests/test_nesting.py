@@ -1,16 +1,20 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from evidlake.operators import nesting
 from evidlake.plans import problems
 
 SPEC = {"doc": [[]], "item": [["items", "*"]], "tag": [["items", "*", "tags", "*"], ["items", "*", "tags"]], "extra": [["more", "@"]]}
 
+CARRY = {"item": ("pre", "pos")}
+
 
 def nodes(spark, payloads):
     df = spark.createDataFrame([(i, p, "x") for i, p in enumerate(payloads)], "raw_id long, payload string, value string")
-    return nesting.interval_nodes(df, "raw_id", "payload", SPEC)
+    return nesting.interval_nodes(df, "raw_id", "payload", SPEC, CARRY)
 
 
 def test_intervals_nest(spark):
@@ -21,8 +25,40 @@ def test_intervals_nest(spark):
     assert all(by["doc"][0].pre <= r.pre and r.post <= by["doc"][0].post for r in rows)
     assert [r.pos for r in by["item"]] == [0, 1, 2]
     assert [(r.name, r.value) for r in by["extra"]] == [("k", "2"), ("l", None)]
-    linked = nesting.with_parent(nodes(spark, [p]), "item", "pos").where("node_type = 'tag' and value is not null").collect()
-    assert sorted((r.item_pos, r.value) for r in linked) == [(0, "a"), (1, "b")]
+    assert sorted((r.item_pos, r.value) for r in by["tag"] if r.value is not None) == [(0, "a"), (1, "b")]
+
+
+TREE = st.recursive(
+    st.none() | st.integers(-9, 9) | st.text("ab", max_size=2),
+    lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.sampled_from(["a", "b", "c"]), inner, max_size=3), max_leaves=30,
+)
+ANYWHERE = {"a": [["*"] * i + [s] for i in range(3) for s in ("a", "@")] + [["@", "a"], ["@", "@", "a"], ["b", "*", "a"]], "b": [["b"], ["@", "b"], ["a", "b", "b"], ["*", "b"], ["@", "*"]]}
+
+
+@given(TREE)
+@settings(max_examples=200, deadline=None)
+def test_parents_are_the_innermost_containing_intervals(document):
+    rows = nesting.label(document, ANYWHERE, carry={"a": ("pre", "post"), "b": ("pre", "name")})
+    spans = sorted((r[1], r[2]) for r in rows)
+    assert all(a[1] < b[0] or a[1] >= b[1] for a, b in zip(spans, spans[1:]))  # apart or one inside the other
+    for r in rows:
+        inside = {k: [q for q in rows if q[0] == k and q[1] < r[1] and q[2] >= r[2]] for k in "ab"}
+        a, b = (max(inside[k], key=lambda q: q[1], default=None) for k in "ab")
+        assert r[10:] == ((a[1], a[2]) if a else (None, None)) + ((b[1], b[5]) if b else (None, None))
+        assert r[8] == sum(q[0] == r[0] and q[7] is not None and q[1] > r[1] and q[2] <= r[2] for q in rows)
+
+
+def test_nested_sibling_and_wrapped_records(spark, tmp_path):
+    q = {"question": "what?", "gold_inds": {"table_1": "x"}}
+    payload = {"id": "r", "record": {"id": "in", "qa": q}, "qa": q, "table": [["h"], ["x"]]}
+    spark.createDataFrame([(1, json.dumps(payload)), (2, json.dumps([payload, {"record": payload}]))], "raw_id long, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    records = {(r.raw_id, r.record_pre): r for r in problems.p3_records(spark, str(tmp_path)).collect()}
+    assert sorted((k[0], r.example_id) for k, r in records.items()) == [(1, "in"), (1, "r"), (2, "in"), (2, "r"), (2, "r")]  # the path of a record's record's record is none
+    for t in (problems.p3_questions, problems.p3_cells):
+        assert all((r.raw_id, r.record_pre) in records for r in t(spark, str(tmp_path)).collect())
+    asked = [records[r.raw_id, r.record_pre].example_id for r in problems.p3_questions(spark, str(tmp_path)).where("raw_id = 1").collect()]
+    assert sorted(asked) == ["in", "r"]
+    assert all(records[r.raw_id, r.record_pre].example_id == "r" for r in problems.p3_cells(spark, str(tmp_path)).where("raw_id = 1").collect())
 
 
 @pytest.mark.parametrize("bad", [None, "", "{", '{"a": NaN}', "[1,]", "퟿{"])
