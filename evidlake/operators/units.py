@@ -1,18 +1,21 @@
 """Quantities recorded in different units, decoded by a hidden Markov model.
 
-A series (a device, in the data an answered question) is a sequence of recorded
-numbers of one smooth underlying level. The hidden state of each is its unit, a
-kind (none, percent, dollars, shares) with a factor to the common unit. Emission:
-the evidence for a unit - words and signs in the text, labels, the question -
-costs ``hard`` where a state contradicts it, and where evidence is silent any
-state but the plain number costs ``prior``. Transition: the jump of the log
-value in common units between neighbours, squared over ``2 sigma^2``, at most
-``cap``, plus ``switch`` where the unit changes. Viterbi finds the cheapest
-sequence of units: where evidence is silent, a jump by a factor of a thousand
-against the level is explained by a switch of unit.
-
-With ``prior >= hard`` silence itself means a plain number; evidence then fixes
-every state, and Viterbi gives exactly the units that the evidence names.
+A series is what one device (in the data an example, whose answers all state one
+quantity) recorded in time, of one smooth underlying level. The hidden state of each
+number is its unit, a kind (none, percent, dollars, shares) with a factor to the
+common unit. Emission: the evidence for a unit - words and signs in the text, labels,
+the question - costs ``hard`` where a state contradicts it, and where evidence is silent
+any state but the plain number costs ``prior``. Transition: the jump of the log value
+in common units between neighbours, squared over ``2 sigma^2``, at most ``cap``
+(also the cost of kinds that conflict), plus ``switch`` where the unit changes.
+Viterbi finds the cheapest sequence of units: where evidence is silent, a jump by a
+factor of a thousand against the level is explained by a switch of unit.
+
+Evidence is finite. A run of m contradicted states costs m ``hard`` and spares at most
+m + 1 transitions, so with ``hard > 2 (cap + switch)`` stated units hold, and the
+level decides where nothing is stated. And with ``prior > 2 switch`` a silent number that
+agrees with a neighbour as a plain number stays one: any other factor would cost ``cap``
+on that side, no less than it could spare on the other.
 
 Series are array columns; they are decoded in Arrow batches, all series of the
 same length at once. Build long series with ``bounded_series``, which cuts a hot
@@ -30,14 +33,17 @@ empty and null results.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..session import materialize
 
 KINDS = ("none", "percent", "dollars", "shares")
@@ -58,32 +64,46 @@ def _on_grid(cost: np.ndarray | float) -> np.ndarray:
     return np.rint(np.asarray(cost) * _GRID) / _GRID
 
 
+_STEPS, _STEP_NO = np.unique(np.round(_LOG_F[:, None] - _LOG_F[None, :], 9), return_inverse=True)
+#: row of the costs of a transition [from, to]: by step of the factor, after these one for kinds that conflict and one for the same state
+_ROW = np.where(_JOIN, _STEP_NO.reshape(_JOIN.shape).T, len(_STEPS))
+np.fill_diagonal(_ROW, len(_STEPS) + 1)
+
+
 def _forward(values: np.ndarray, evidence: np.ndarray, cost: np.ndarray, last: np.ndarray, *, hard: float, prior: float, sigma: float, cap: float, switch: float, level: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(costs at the end, back pointers) of series that begin with ``cost`` (n, states) after the log value ``last``."""
+    """(costs at the end (n, states), back pointers (t, states, n)) of series that begin with ``cost`` after the log value ``last``."""
     n, t = values.shape
-    s = len(STATES)
-    back = np.zeros((n, t, s), dtype=np.int16)
-    silent = np.where(np.arange(s) == _STATE_OF["none", 0], 0.0, _on_grid(prior))
+    s, u = len(STATES), len(_STEPS)
+    hard, prior, cap, switch = (_on_grid(x) for x in (hard, prior, cap, switch))
+    back = np.zeros((t, s, n), dtype=np.int16)
+    names, cost = np.arange(s)[:, None], np.ascontiguousarray(cost.T)
+    silent = np.where(names == _STATE_OF["none", 0], 0.0, prior)
+    move, best, arg = np.empty((u + 2, n)), np.empty((s, n)), np.empty((s, n), dtype=np.int16)
     for i in range(t):
         v, e = values[:, i], evidence[:, i]
         there = ~np.isnan(v)
-        emit = np.where(e[:, None] < 0, silent[None, :], np.where(np.arange(s)[None, :] == e[:, None], 0.0, _on_grid(hard)))
+        emit = np.where(e[None, :] < 0, silent, np.where(names == e[None, :], 0.0, hard))
         with np.errstate(divide="ignore", invalid="ignore"):
             lv = np.log(np.abs(v))
-            jump = (lv - last)[:, None, None] + (_LOG_F[None, None, :] - _LOG_F[None, :, None])
-            move = np.minimum(jump * jump / (2 * sigma * sigma), cap)
-        move = _on_grid(np.where(np.isfinite(jump), np.where(_JOIN[None], move, cap), 0.0))
-        move = move + _on_grid(switch) * (1 - np.eye(s))[None]
-        first = np.isnan(last)
-        total = np.where(first[:, None, None], np.where(np.eye(s, dtype=bool)[None], 0.0, np.inf), move) + cost[:, :, None]
-        best = total.argmin(axis=1)
-        new = np.take_along_axis(total, best[:, None, :], axis=1)[:, 0, :] + emit
+            jump = (lv - last)[None, :] + _STEPS[:, None]
+            move[:u] = _on_grid(np.minimum(jump * jump / (2 * sigma * sigma), cap))
+        move[u], move[u + 1] = cap, move[np.searchsorted(_STEPS, 0.0)]
+        move[:, ~np.isfinite(lv - last)] = 0.0  # zero has no logarithm
+        move[: u + 1] += switch
+        move[: u + 1, np.isnan(last)] = np.inf  # the first one comes from nowhere
+        best.fill(np.inf), arg.fill(0)
+        for f in range(s):
+            way = move[_ROW[f]] + cost[f]
+            less = way < best
+            np.copyto(best, way, where=less)
+            np.copyto(arg, f, where=less)
+        new = best + emit
         if level:  # only differences matter, and small numbers stay exact
-            new = new - new.min(axis=1, keepdims=True)
-        back[:, i] = np.where(there[:, None], best, np.arange(s)[None, :])
-        cost = np.where(there[:, None], new, cost)
+            new = new - new.min(axis=0)
+        back[i] = np.where(there, arg, names)
+        cost = np.where(there, new, cost)
         last = np.where(there & np.isfinite(lv), lv, last)
-    return cost, back
+    return cost.T, back
 
 
 def _backward(values: np.ndarray, back: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +112,7 @@ def _backward(values: np.ndarray, back: np.ndarray, at: np.ndarray) -> tuple[np.
     states = np.full((n, t), -1, dtype=np.int32)
     for i in range(t - 1, -1, -1):
         states[:, i] = np.where(np.isnan(values[:, i]), -1, at)
-        at = back[np.arange(n), i, at]
+        at = back[i, at, np.arange(n)]
     return states, at
 
 
@@ -103,26 +123,43 @@ def viterbi(values: np.ndarray, evidence: np.ndarray, *, hard: float, prior: flo
     return _backward(values, back, cost.argmin(axis=1))[0]
 
 
+#: numbers decoded at once
+_AT_ONCE = 1 << 15
+
+
+def _states_of(values: pa.Array, evidence: pa.Array, par: dict[str, float]) -> pa.Array:
+    """The states of list arrays of numbers and named states; series of about one length are padded and decoded together."""
+    sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if not np.array_equal(sizes, evidence.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
+        raise ValueError("numbers and evidence differ in length")
+    flat = values.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    said = evidence.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    states = np.full(len(flat), -1, dtype=np.int32)
+    step = 1 << np.maximum(np.floor(np.log2(np.maximum(sizes, 1))).astype(int) - 2, 0)  # widths rise by a quarter at most
+    width = -(-sizes // step) * step
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        for part in np.array_split(rows, -(-len(rows) * w // _AT_ONCE)):
+            place = (ends - sizes)[part, None] + np.arange(w)[None, :]
+            there = np.arange(w)[None, :] < sizes[part, None]
+            at = np.where(there, place, 0)
+            found = viterbi(np.where(there, flat[at], np.nan), np.where(there, said[at], -1), **par)
+            states[at[there]] = found[there]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    items = pa.array(states, pa.int32(), mask=states < 0)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=values.is_null())
+
+
 def decode(values: Column, evidence: Column, *, hard: float = 1e6, prior: float = 1e6, sigma: float = 0.25, cap: float = 40.0, switch: float = 1.0) -> Column:
     """array<int> of state numbers for the series in two array columns (numbers; named states or null)."""
+    par = dict(hard=hard, prior=prior, sigma=sigma, cap=cap, switch=switch)
 
-    @F.pandas_udf("array<int>")
-    def run(v: pd.Series, e: pd.Series) -> pd.Series:
-        out: list = [None] * len(v)
-        by_length: dict[int, list[int]] = {}
-        for i, x in enumerate(v):
-            if x is not None:
-                by_length.setdefault(len(x), []).append(i)
-        for length, rows in by_length.items():
-            for k in range(0, len(rows), 4096):
-                part = rows[k : k + 4096]
-                a = np.array([v.iloc[i] for i in part], dtype=float).reshape(len(part), length)
-                b = np.array([[-1 if z is None or z != z else int(z) for z in e.iloc[i]] for i in part], dtype=int).reshape(len(part), length)
-                for i, row in zip(part, viterbi(a, b, hard=hard, prior=prior, sigma=sigma, cap=cap, switch=switch)):
-                    out[i] = [None if z < 0 else int(z) for z in row]
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def run(v: pa.Array, e: pa.Array) -> pa.Array:
+        return _states_of(v, e, par)
 
-    return run.asNondeterministic()(values, evidence)  # so that it is evaluated once, not in every use
+    return run.asNondeterministic()(values.cast("array<double>"), evidence.cast("array<int>"))  # so that it is evaluated once, not in every use
 
 
 def _series(v: np.ndarray | list, e: np.ndarray | list) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +225,7 @@ def decode_ranges(series: DataFrame, device: str, values: str, evidence: str, *,
         for x, y, z, c in zip(v, e, last, begin):
             a, b = _series(x, y)
             back = _forward(a, b, np.array(c).reshape(1, k), _log_size(z), **par)[1]
-            out.append(_backward(a.repeat(k, 0), back.repeat(k, 0), np.arange(k))[1].tolist())
+            out.append(_backward(a.repeat(k, 0), back.repeat(k, 2), np.arange(k))[1].tolist())
         return pd.Series(out)
 
     def backward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,10 +259,16 @@ def decode_ranges(series: DataFrame, device: str, values: str, evidence: str, *,
 
 def state_no(kind: Column, factor: Column) -> Column:
     """The number of a state; null where kind and factor name none."""
-    out = F.lit(None).cast("int")
-    for (k, power), i in _STATE_OF.items():
-        out = F.when((kind == k) & (F.round(F.log10(factor)) == power), F.lit(i)).otherwise(out)
-    return out
+
+    def of(power: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for k in KINDS:
+            first, step = _STATE_OF[k, 0], -2 if k == "percent" else 3
+            places = [p for n, p in _STATE_OF if n == k]
+            out = F.when(kind == k, F.when(power.isin(places), (first + power / step).cast("int"))).otherwise(out)
+        return out
+
+    return T.let(F.round(F.log10(factor)).cast("int"), of)
 
 
 def state_kind(state: Column) -> Column:
@@ -253,58 +296,76 @@ AMOUNT = r"(\(?)\s*(-?)\s*(us\s*\$|usd|\$)?\s*(-?)\s*(\(?)\s*(\d[\d,]*(?:\.\d+)?
 AFTER = rf"^[\s-]*({_SCALE})?[\s.-]*(?:of\s+)?({_UNIT})?"
 QUESTION = rf"\bin\s+({_SCALE})?\s*(?:of\s+)?({_UNIT})?\s*\)?\s*\?+\s*$"
 
+# The same with a group for every scale and unit word and for a closing bracket further on, for one pass over a text.
+_MARK = "\x01"
+_EACH_SCALE, _EACH_UNIT = "|".join(f"({w})" for w, _ in SCALE_WORDS), "|".join(f"({w})" for w, _, _ in UNIT_WORDS)
+_AMOUNT_PARTS = (
+    r"^[\s\S]*?(\(?)\s*(-?)\s*(us\s*\$|usd|\$)?\s*(-?)\s*(\(?)\s*(\d[\d,]*(?:\.\d+)?|\.\d+)(?=[^)]*(\)?))"
+    rf"(?:[\s-]*(?:{_EACH_SCALE})?[\s.-]*(?:of\s+)?(?:{_EACH_UNIT})?(?![a-z]))?[\s\S]*$"
+)
+_QUESTION_PARTS = rf"^[\s\S]*?\bin\s+(?:{_EACH_SCALE})?\s*(?:of\s+)?(?:{_EACH_UNIT})?\s*\)?\s*\?+\s*$"
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The groups of a pattern that covers a text; an array of one element where it does not."""
+    groups = re.compile(pattern).groups
+    return F.split(F.regexp_replace(text, pattern, _MARK.join(f"${i + 1}" for i in range(groups))), _MARK)
+
 
 def plain(text: Column) -> Column:
     """Lower case, one kind of minus, ordinary spaces."""
-    return F.lower(F.translate(text, "−–‒ \n\r", "---   "))
+    return F.lower(F.translate(text, "−–‒ \n\r\x01", "---    "))
 
 
-def _scale_of(word: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for w, f in SCALE_WORDS:
-        out = F.when(word.rlike(rf"^(?:{w})$"), F.lit(f)).otherwise(out)
+def _first_of(parts: Column, at: int, values: list) -> Column:
+    """The value that belongs to the first group with a text, counted from the group ``at``; null without one."""
+    out = F.lit(None)
+    for i in reversed(range(len(values))):
+        out = F.when(parts[at + i] != "", F.lit(values[i])).otherwise(out)
     return out
 
 
-def _unit_of(word: Column, which: int) -> Column:
-    out = F.lit(None).cast("string" if which == 1 else "double")
-    for u in reversed(UNIT_WORDS):
-        out = F.when(word.rlike(rf"^(?:{u[0]})$"), F.lit(u[which])).otherwise(out)
-    return out
+def _unit_of(parts: Column, at: int) -> Column:
+    """struct(kind, factor) of the scale and unit words in groups from ``at`` on; a percentage has no scale."""
+    unit = at + len(SCALE_WORDS)
+    kind = _first_of(parts, unit, [k for _, k, _ in UNIT_WORDS]).cast("string")
+    scale = _first_of(parts, at, [f for _, f in SCALE_WORDS])
+    return F.struct(kind.alias("kind"), F.when(kind == "percent", _first_of(parts, unit, [f for _, _, f in UNIT_WORDS])).otherwise(scale).cast("double").alias("factor"))
 
 
 def text_amount(text: Column) -> Column:
-    """struct(number, kind, factor): the first number, its sign, and what the text says of its unit."""
-    t = plain(text)
-    g = lambda i: F.regexp_extract(t, AMOUNT, i)
-    rest = g(7)
-    word = lambda i: F.regexp_extract(rest, AFTER + r"(?![a-z])", i)
-    minus = (g(2) != "") | (g(4) != "") | (((g(1) != "") | (g(5) != "")) & rest.contains(")"))
-    size = F.regexp_replace(g(6), ",", "").try_cast("double")
-    kind = F.coalesce(_unit_of(word(2), 1), F.when(g(3) != "", F.lit("dollars")))
-    factor = F.when(kind == "percent", _unit_of(word(2), 2)).otherwise(_scale_of(word(1)))
-    return F.when(size.isNotNull(), F.struct(F.when(minus, -size).otherwise(size).alias("number"), kind.alias("kind"), factor.alias("factor")))
+    """struct(number, kind, factor): the first number, its sign, and what the text says of its unit. One pass over the text."""
+
+    def of(g: Column) -> Column:
+        minus = (g[1] != "") | (g[3] != "") | (((g[0] != "") | (g[4] != "")) & (g[6] != ""))
+        size = F.replace(g[5], F.lit(","), F.lit("")).try_cast("double")
+        unit = _unit_of(g, 7)
+        kind = F.coalesce(unit["kind"], F.when(g[2] != "", F.lit("dollars")))
+        return F.when(F.size(g) > 1, F.struct(F.when(minus, -size).otherwise(size).alias("number"), kind.alias("kind"), unit["factor"].alias("factor")))
+
+    return T.let(_parts(plain(text), _AMOUNT_PARTS), of)
 
 
 def label_unit(label: Column) -> Column:
     """struct(kind, factor, share) of a unit label; ``share``: percent, where small numbers are fractions."""
-    t = F.regexp_replace(F.trim(plain(label)), r"[\s_-]+", " ")
-    kind = (
-        F.when(t.rlike(r"percentage points?|basis points?|\bpps?\b|\bbps?\b|percent|%|\bpct\b"), "percent")
-        .when(t.rlike(r"\$|usd|dollar"), "dollars")
-        .when(t.rlike(r"\bshares?\b"), "shares")
-    )
-    points = F.when(t.rlike(r"basis points?|\bbps?\b"), 1e-4).when(t.rlike(r"percentage points?|\bpps?\b"), 1e-2)
-    scale = F.when(t.rlike(r"thousand"), 1e3).when(t.rlike(r"million"), 1e6).when(t.rlike(r"billion"), 1e9).when(t.rlike(r"trillion"), 1e12)
-    return F.struct(kind.alias("kind"), F.when(kind == "percent", points).otherwise(scale).alias("factor"), ((kind == "percent") & points.isNull()).alias("share"))
+
+    def of(t: Column) -> Column:
+        kind = (
+            F.when(t.rlike(r"percentage points?|basis points?|\bpps?\b|\bbps?\b|percent|%|\bpct\b"), "percent")
+            .when(t.rlike(r"\$|usd|dollar"), "dollars")
+            .when(t.rlike(r"\bshares?\b"), "shares")
+        )
+        points = F.when(t.rlike(r"basis points?|\bbps?\b"), 1e-4).when(t.rlike(r"percentage points?|\bpps?\b"), 1e-2)
+        scale = F.when(t.contains("thousand"), 1e3).when(t.contains("million"), 1e6).when(t.contains("billion"), 1e9).when(t.contains("trillion"), 1e12)
+        return T.let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "percent", points).otherwise(scale).alias("factor"), ((k == "percent") & points.isNull()).alias("share")))
+
+    return T.let(F.regexp_replace(F.trim(plain(label)), r"[\s_-]+", " "), of)
 
 
 def question_unit(question: Column) -> Column:
     """struct(kind, factor) of the unit named at the end of a question."""
-    t = plain(question)
-    word = lambda i: F.regexp_extract(t, QUESTION, i)
-    kind = _unit_of(word(2), 1)
-    return F.struct(kind.alias("kind"), F.when(kind == "percent", _unit_of(word(2), 2)).otherwise(_scale_of(word(1))).alias("factor"))
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("factor"))
+    return T.let(_parts(F.coalesce(plain(question), F.lit("")), _QUESTION_PARTS), lambda g: F.when(F.size(g) > 1, _unit_of(g, 0)).otherwise(none))
 
 
 def evidence(amount: Column, question: Column, label: Column | None = None, scale: Column | None = None) -> Column:

@@ -174,33 +174,60 @@ def _amounts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def p4_amounts(spark: SparkSession, root: str) -> DataFrame:
-    """Both answers of every prediction in common units.
+#: costs of the model; ``hard > 2 (cap + switch)`` and ``prior > 2 switch`` (see units)
+_COSTS = dict(hard=24.0, prior=3.0, sigma=0.25, cap=8.0, switch=1.0)
+
+
+def _decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every prediction with a number in one of its answers: numbers, the states that the rules name, the states decoded.
 
-    The device is the prediction, its series the gold and the predicted answer.
-    The rules of the data fix a unit for every number, so evidence is hard here.
+    The device is the example: its answers, gold and predicted in turn, in order of time.
+    A prediction without an example is a device of its own.
     """
+    none = F.lit(0)
     a = _amounts(spark, root).select(
-        "prediction_id", "gold", "pred",
-        units.evidence(F.col("gold"), F.col("asked")).alias("gold_said"),
-        units.evidence(F.col("pred"), F.col("asked"), F.col("label"), F.col("answer_scale")).alias("pred_said"),
+        "prediction_id", F.coalesce("example_id", F.concat(F.lit("prediction "), F.col("prediction_id").cast("string")), F.lit("")).alias("device"), "run_at",
+        F.col("gold.number").alias("gold_number"), units.evidence(F.col("gold"), F.col("asked")).alias("gold_said"),
+        F.col("pred.number").alias("pred_number"), units.evidence(F.col("pred"), F.col("asked"), F.col("label"), F.col("answer_scale")).alias("pred_said"),
     )
-    a = a.where(F.col("gold").isNotNull() | F.col("pred").isNotNull()).withColumn(
-        "state", units.decode(F.array(F.col("gold.number"), F.col("pred.number")), F.array("gold_said", "pred_said"))
-    )
+    s = units.bounded_series(a, "device", ["run_at", "prediction_id"], ["gold_number", "gold_said", "pred_number", "pred_said"])
+    pairs = lambda what: F.flatten(F.transform("items", lambda x: F.array(x[f"gold_{what}"], x[f"pred_{what}"])))
+    s = s.select("device", "part", "hot", "head", "items", pairs("number").alias("numbers"), pairs("said").alias("named"))
+    s = units.decode_ranges(s, "device", "numbers", "named", **_COSTS).select(F.posexplode("items").alias("n", "i"), "states")
+    out = [F.col("i.prediction_id").alias("prediction_id")]
+    for k, side in enumerate(("gold", "pred")):
+        out += [F.col(f"i.{side}_number").alias(f"{side}_number"), F.col(f"i.{side}_said").alias(f"{side}_said"), F.get("states", F.col("n") * 2 + k).alias(f"{side}_state")]
+        out.append(F.when(F.col(f"i.{side}_number").isNotNull(), F.coalesce(f"i.{side}_said", none)).alias(f"{side}_ruled"))
+    return s.select(*out).where(F.col("gold_number").isNotNull() | F.col("pred_number").isNotNull())
+
+
+def p4_amounts(spark: SparkSession, root: str) -> DataFrame:
+    """Both answers of every prediction in common units; ``stated``: the unit is named, not decoded from the level."""
     out = [F.col("prediction_id")]
-    for i, side in enumerate(("gold", "pred")):
-        state = F.get("state", F.lit(i))
-        out += [F.col(f"{side}.number").alias(f"{side}_number"), units.state_kind(state).alias(f"{side}_kind"), (F.col(f"{side}.number") * units.state_factor(state)).alias(f"{side}_value")]
-    return a.select(*out)
+    for side in ("gold", "pred"):
+        number, state = F.col(f"{side}_number"), F.col(f"{side}_state")
+        out += [number.alias(f"{side}_number"), units.state_kind(state).alias(f"{side}_kind"), (number * units.state_factor(state)).alias(f"{side}_value"), F.when(number.isNotNull(), F.col(f"{side}_said").isNotNull()).alias(f"{side}_stated")]
+    return _decoded(spark, root).select(*out)
+
+
+def p4_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions whose answers agree in the units decoded, but not as written."""
+    side = lambda name: (units.state_kind(F.col(f"{name}_state")), F.col(f"{name}_number") * units.state_factor(F.col(f"{name}_state")))
+    (gold_kind, gold), (pred_kind, pred) = side("gold"), side("pred")
+    kinds = (gold_kind == pred_kind) | (gold_kind == "none") | (pred_kind == "none")
+    near = F.abs(gold - pred) <= _TOLERANCE * F.abs(gold)
+    apart = F.abs(F.col("gold_number") - F.col("pred_number")) > _TOLERANCE * F.abs("gold_number")
+    return _decoded(spark, root).where(kinds & near & apart)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    a = p4_amounts(spark, root)
-    kinds = (F.col("gold_kind") == F.col("pred_kind")) | (F.col("gold_kind") == "none") | (F.col("pred_kind") == "none")
-    near = F.abs(F.col("gold_value") - F.col("pred_value")) <= _TOLERANCE * F.abs("gold_value")
-    apart = F.abs(F.col("gold_number") - F.col("pred_number")) > _TOLERANCE * F.abs("gold_number")
-    return a.where(kinds & near & apart).select("prediction_id").distinct()
+    """The candidates whose decoded units are those that the data's rules give.
+
+    The rules leave a number without any unit plain; where the decoder read another
+    unit from the level, the candidate is dropped. It misses none (see units).
+    """
+    licensed = (F.col("gold_state") == F.col("gold_ruled")) & (F.col("pred_state") == F.col("pred_ruled"))
+    return p4_candidates(spark, root).where(licensed).select("prediction_id").distinct()
 
 
 def p4_unit_switches(spark: SparkSession, root: str) -> DataFrame:

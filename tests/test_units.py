@@ -163,3 +163,43 @@ def test_found_against_plain_rules(spark):
     rows = table(spark, ROOT, "predictions", "prediction_id", "question", "gold_answer", "predicted_answer", "answer_unit", "answer_scale").collect()
     want = {r[0] for r in rows if plain_case(*r[1:])}
     assert {r[0] for r in problems.p4_found(spark, ROOT).collect()} == want and len(want) > 100
+
+
+def test_stated_units_hold_and_silent_ones_follow_the_level():
+    rng = np.random.default_rng(8)
+    c = problems._COSTS
+    for _ in range(300):
+        n = int(rng.integers(2, 12))
+        values = np.exp(rng.normal(4, 4, n)) * rng.choice([1.0, 1e3, 1e-2], n)
+        said = np.where(rng.random(n) < 0.5, rng.integers(0, len(units.STATES), n), -1)
+        k = int(rng.integers(0, n - 1))  # a silent number that agrees with a stated neighbour as a plain one
+        said[k], said[k + 1] = rng.integers(0, len(units.STATES)), -1
+        values[k + 1] = values[k] * units.STATES[said[k]][1]
+        states = units.viterbi(values[None], said[None], **c)[0]
+        assert all(s == e for s, e in zip(states, said) if e >= 0)
+        assert units.STATES[states[k + 1]] == ("none", 1.0)
+
+
+def test_found_comes_through_the_decoder(spark, tmp_path, monkeypatch):
+    """A silent 5,200 beside a gold answer of 5.2 million is read from the level, which no rule of the texts does."""
+    rows = [(1, "e", 1, "what?", "5.2 million", "5,200", None, None), (2, "e", 2, "what?", "5.2 million", "5,200 thousand", None, None), (3, "f", 1, "what?", "14%", "0.14", None, None), (4, None, 1, None, None, "7", None, None), (5, "f", 2, "what?", None, None, None, None)]
+    schema = "prediction_id long, example_id string, run_at int, question string, gold_answer string, predicted_answer string, answer_unit string, answer_scale string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/predictions.parquet")
+    got = {r.prediction_id: r for r in problems.p4_amounts(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1].pred_value == 5.2e6 and not got[1].pred_stated and got[4].gold_value is None and got[4].pred_value == 7
+    found = lambda q: sorted({r.prediction_id for r in q(spark, str(tmp_path)).collect()})
+    assert found(problems.p4_candidates) == [1, 2, 3] and found(problems.p4_found) == [2, 3]
+    monkeypatch.setattr(units, "decode", lambda values, evidence, **par: F.transform(evidence, lambda e: F.coalesce(e, F.lit(0))))  # the rules alone
+    assert found(problems.p4_candidates) == [2, 3]
+    monkeypatch.setattr(units, "decode", lambda values, evidence, **par: F.transform(values, lambda v: F.lit(3)))
+    assert found(problems.p4_found) == []
+
+
+def test_found_of_a_hot_example_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    texts = ["5.2 million", "5,200 thousand", "5200000", "5.2", "14%", "0.14", "none"]
+    rows = [(i, "hot", i, "what?", texts[int(rng.integers(0, 4))], texts[int(rng.integers(0, 7))], None, None) for i in range(900)]
+    schema = "prediction_id long, example_id string, run_at int, question string, gold_answer string, predicted_answer string, answer_unit string, answer_scale string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/predictions.parquet")
+    want = {r[0] for r in rows if plain_case(*r[3:])}
+    assert {r.prediction_id for r in problems.p4_found(spark, str(tmp_path)).collect()} == want and len(want) > 100
