@@ -10,11 +10,13 @@ codes and then reranked by cosine of the floats. Substring length, number of tab
 probing radius follow from the number of vectors and the wanted recall at the
 least cosine: the cheapest plan that reaches it (``plan``).
 
-Distribution: a task holds one table's codes, about ``BLOCK`` at most; where there are
-more, those whose leading bits agree, and more tables make up for the pairs that
-differ there. That is an average: a cluster that agrees in those bits is one part, of any
-size. So a code travels once a table, whatever the number of vectors. Of the codes
-the checked part moves (24 bytes for 96 numbers); floats move once for the reranking.
+Distribution: a part holds the codes of one table whose leading bits agree, ``BLOCK``
+on average. The plan counts what that agreement costs in recall, and asks for as many
+tables as make up for it: one rule at every size, with at most ``TABLES`` tables while any
+plan of so few reaches the recall, since every table moves a copy of the codes
+(32 bytes for 96 numbers). Parts are counted before they are built; one with more than
+``BLOCK`` codes (a cluster of near directions) is split by the next bits of the code as
+often as it takes. Floats move once for the reranking.
 
 Crowds: where a vector and its partner both have ``CROWD`` pairs in a task, their pair is not
 emitted; such vectors get their lists from a scan of all codes in blocks of queries
@@ -50,7 +52,10 @@ from ..session import materialize
 
 SAMPLE = 10_000
 ROTATIONS = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 21
+TABLES = 24
+#: bits that can tell parts of a table apart
+DEEPEST = 60
 #: pairs a vector may have in one task before it counts as crowded
 CROWD = 64
 HOT_PART = 1000
@@ -125,26 +130,29 @@ class Plan:
     radius: int
 
 
-def plan(n: int, dims: int, cosine: float, recall: float = 0.97, block: int = BLOCK) -> Plan:
-    """The cheapest tables with the wanted recall at ``cosine``.
+def plan(n: int, dims: int, cosine: float, recall: float = 0.97, block: int = BLOCK, most: int = TABLES) -> Plan:
+    """The cheapest tables with the wanted recall at ``cosine``; not more than ``most`` where so few can reach it.
 
-    Up to ``block`` vectors a table is one part. Beyond, parts are told apart by leading bits of the
-    substring that must agree, which costs recall of a table and is made up for by more tables.
+    Parts of about ``block`` vectors are told apart by leading bits that must agree. A cosine
+    so low that no tables reach the recall is an error: it needs a scan (``nearest``).
     """
     p = math.acos(cosine) / math.pi
     lead, radius = max(0, math.ceil(math.log2(max(n, 1) / block))), _radius(dims * ROTATIONS, p)
-    best: tuple[float, Plan] | None = None
-    for s in range(lead + 6, lead + 33):
-        for probe in range(5):
+    plans: list[tuple[float, Plan]] = []
+    for s in range(lead + 6, min(lead + 31, DEEPEST)):
+        for probe in range(6):
             hit = (1 - p) ** lead * _within(s - lead, p, probe)
             tables = math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
             probes = sum(math.comb(s - lead, i) for i in range(probe + 1))
             rotations = max(ROTATIONS, math.ceil(tables * s / dims))
             # in checks of a pair: a probe is cheaper; a table moves a copy of the codes; a rotation is a matrix product
             cost = tables * (100 + probes * (0.25 + n / 2**s)) + 40 * rotations
-            if probes <= 20_000 and tables <= 400 and (best is None or cost < best[0]):
-                best = cost, Plan(s, tables, probe, lead, rotations, radius)
-    return best[1] if best else Plan(0, 1, 0, 0, ROTATIONS, radius)  # so low a cosine needs a scan: one empty substring
+            if probes <= 20_000 and tables <= 400:
+                plans.append((cost, Plan(s, tables, probe, lead, rotations, radius)))
+    if not plans:
+        raise ValueError(f"no tables reach a recall of {recall} at the cosine {cosine}")
+    few = [x for x in plans if x[1].tables <= most]
+    return min(few or plans, key=lambda x: x[0])[1]
 
 
 def _radius(bits: int, p: float) -> int:
@@ -155,27 +163,30 @@ def _radius(bits: int, p: float) -> int:
 # ---------------------------------------------------------------- the tables
 
 
+def _bits(code: np.ndarray, table: int, s: int, count: int) -> np.ndarray:
+    """``count`` bits of packed codes from bit ``table * s`` on, around the end, as numbers."""
+    bits = np.unpackbits(code, axis=1)
+    at = (table * s + np.arange(count)) % bits.shape[1]
+    return bits[:, at] @ (1 << np.arange(count - 1, -1, -1, dtype=np.int64))
+
+
 def _substring(code: np.ndarray, table: int, s: int) -> np.ndarray:
-    """Bits [table * s, table * s + s) of packed codes as numbers."""
-    if not s:
-        return np.zeros(len(code), dtype=np.int64)
-    lo, hi = table * s, table * s + s
-    bits = np.unpackbits(code[:, lo // 8 : -(-hi // 8)], axis=1)[:, lo % 8 : lo % 8 + s]
-    return bits @ (1 << np.arange(s - 1, -1, -1, dtype=np.int64))
+    """The substring of a table: its first ``s`` bits."""
+    return _bits(code, table, s, s)
 
 
 def _masks(s: int, probe: int) -> list[int]:
     return [sum(1 << b for b in which) for i in range(probe + 1) for which in itertools.combinations(range(s), i)]
 
 
-def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: int, shape: Plan, crowd: int = CROWD, crowded: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: int, shape: Plan, crowd: int = CROWD, crowded: list[np.ndarray] | None = None, free: int | None = None, split: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a < b) that the table retrieves among these rows, within the radius of the checked codes.
 
-    ``keys`` are the rows' substrings without the leading bits, which agree. Pairs that an earlier table
-    retrieves are passed over as far as the checked codes tell. A pair both ends of which have
-    ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
+    ``keys`` are the ``free`` last bits of the rows' substrings; the others agree. Pairs that an earlier table
+    retrieves are passed over as far as the checked codes tell (not where parts are ``split``, as the earlier one may
+    be). A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
     """
-    s, probe, radius, free = shape.s, shape.probe, shape.radius, shape.s - shape.lead
+    s, probe, radius, free = shape.s, shape.probe, shape.radius, shape.s - shape.lead if free is None else free
     degree, step = np.zeros(len(ids), dtype=np.int64), max(64, crowd * crowd * 256)  # pairs are looked at in steps
     order = np.argsort(keys, kind="stable")  # neighbours in memory ask for and find neighbours
     ids, code, index = ids[order], code[order], keys[order]
@@ -183,7 +194,7 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: i
     words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
     front = words[:, 0].copy()
     ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << free))]) if 1 << free <= 8 * len(ids) + (1 << 16) else None
-    earlier = [_substring(code, t, s) for t in range(min(table, code.shape[1] * 8 // s if s else 0))]
+    earlier = range(0 if split else min(table, code.shape[1] * 8 // s))
     first_limit = radius * 64 / (code.shape[1] * 8) + 4 * math.sqrt(radius * 64 / (code.shape[1] * 8))
     for mask in _masks(free, probe):
         asked = np.arange(len(ids)) if not mask else np.flatnonzero((index >> (mask.bit_length() - 1)) & 1 == 0)
@@ -208,7 +219,7 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: i
                 near &= ids[q] < ids[i] if not mask else ids[q] != ids[i]
                 q, i = q[near], i[near]
                 for e in earlier:
-                    differ = e[q] ^ e[i]
+                    differ = _substring(code[q], e, s) ^ _substring(code[i], e, s)
                     new = (np.bitwise_count(differ) > probe) | (differ >> free > 0)
                     q, i = q[new], i[new]
                 full = (degree[q] >= crowd) & (degree[i] >= crowd)
@@ -221,36 +232,83 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: i
                     yield np.minimum(ids[q], ids[i]), np.maximum(ids[q], ids[i])
 
 
-def hashed_pairs(codes: DataFrame, dims: int, shape: Plan, crowd: int = CROWD) -> DataFrame:
+def _parts_of(code: np.ndarray, table: int, shape: Plan, depths: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """(part, depth) of every code in a table: the leading bits under a mark that tells how many they are.
+
+    ``depths`` names, by table and part, the parts that are split and the number of bits that tell their own parts apart.
+    """
+    key = _bits(code, table, shape.s, DEEPEST)
+    depth = np.full(len(code), shape.lead, dtype=np.int64)
+    part = (key >> (DEEPEST - shape.lead)) | (1 << shape.lead)
+    while depths:
+        deeper = np.array([depths.get((table, p), 0) for p in part.tolist()], dtype=np.int64)
+        if not deeper.any():
+            break
+        depth = np.where(deeper, deeper, depth)
+        part = np.where(deeper, (key >> (DEEPEST - depth)) | (np.int64(1) << depth), part)
+    return part, depth
+
+
+def _codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+
+
+def split_parts(codes: DataFrame, shape: Plan, block: int) -> dict[tuple[int, int], int]:
+    """The parts with more than ``block`` codes, with the bits that tell their own parts apart; counted until none is left
+    that more bits could split. A table has fewer such parts than it has blocks."""
+    depths: dict[tuple[int, int], int] = {}
+    while True:
+        known = dict(depths)
+
+        def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    code = _codes_of(batch)
+                    for t in range(shape.tables):
+                        part, n = np.unique(_parts_of(code, t, shape, known)[0], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t), pa.int32()), pa.array(part, pa.int64()), pa.array(n, pa.int64())], names=["t", "part", "n"])
+
+        found = codes.select("id", "code").mapInArrow(count, "t int, part long, n long").groupBy("t", "part").agg(F.sum("n").alias("n"))
+        heavy = [r for r in found.where((F.col("n") > block) & (F.col("part") < 1 << DEEPEST)).collect()]
+        if not heavy:
+            return depths
+        for r in heavy:
+            depth = r["part"].bit_length() - 1
+            depths[r["t"], r["part"]] = min(DEEPEST, depth + max(1, math.ceil(math.log2(r["n"] / block))))
+
+
+def hashed_pairs(codes: DataFrame, dims: int, shape: Plan, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: pairs of ``codes`` (id, code) that multi-index hashing retrieves.
 
     Rows with null b name ids in a crowd, whose pairs among each other are not all here.
     """
-    s, tables, lead, checked = shape.s, shape.tables, shape.lead, dims * ROTATIONS // 8
+    tables, checked = shape.tables, dims * ROTATIONS // 8
+    depths = split_parts(codes, shape, block)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            code = _codes_of(batch)
             short = pa.array([c.tobytes() for c in code[:, :checked]], pa.binary())
             for t in range(tables):
-                keys = _substring(code, t, s)
-                part, rest = (keys >> (s - lead)) * tables + t, keys & ((1 << (s - lead)) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rest, pa.int64()), batch.column(0), short], names=["part", "rest", "id", "code"])
+                part, depth = _parts_of(code, t, shape, depths)
+                rest = _substring(code, t, shape.s) & ((1 << np.maximum(shape.s - depth, 0)) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t), pa.int32()), pa.array(part, pa.int64()), pa.array(rest, pa.int32()), batch.column(0), short], names=["t", "part", "rest", "id", "code"])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         code = np.frombuffer(b"".join(group["code"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
         crowded: list[np.ndarray] = []
-        found = list(pairs_of_block(group["id"].to_numpy(), code, group["rest"].to_numpy(), group["part"][0].as_py() % tables, shape, crowd, crowded))
+        free = max(shape.s - (group["part"][0].as_py().bit_length() - 1), 0)
+        found = list(pairs_of_block(group["id"].to_numpy(), code, group["rest"].to_numpy().astype(np.int64), group["t"][0].as_py(), shape, crowd, crowded, free, bool(depths)))
         none = [np.zeros(0, dtype=np.int64)]
         a, b, many = np.concatenate([x for x, _ in found] or none), np.concatenate([y for _, y in found] or none), np.unique(np.concatenate(crowded or none))
         return pa.table({"a": pa.array(np.concatenate([a, many]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])})
 
-    rows = codes.select("id", "code").mapInArrow(spread, "part long, rest long, id long, code binary")
-    spread_over = 4 * tables << lead  # so that few parts share a task
-    return rows.repartition(spread_over, "part").groupBy("part").applyInArrow(search, "a long, b long").distinct()
+    rows = codes.select("id", "code").mapInArrow(spread, "t int, part long, rest int, id long, code binary")
+    parts = min(4 * ((tables << shape.lead) + len(depths)), 20_000)  # so that few parts share a task, which takes them in turn
+    return rows.repartition(parts, "t", "part").groupBy("t", "part").applyInArrow(search, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- reranking and lists
@@ -273,7 +331,7 @@ def similar_pairs(vectors: DataFrame, dims: int, cosine: float, k: int, recall:
     codes = coded(vectors, dims, shape.rotations)
     classes = materialize(codes.groupBy("same").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("code").alias("code")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = materialize(hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), dims, shape, crowd), "pairs")
+    pairs = materialize(hashed_pairs(classes.select(F.col("rep").alias("id"), "code"), dims, shape, crowd, block), "pairs")
     left, right = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     scored = pairs.where(F.col("b").isNotNull()).join(left, "a").join(right, "b").select("a", "b", cosine_of(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= cosine)
     # vectors in a crowd get their lists from the scan, in blocks; only their k nearest move
@@ -324,7 +382,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: fl
     bounded size meet every Arrow batch, codes beyond the radius that all but one in a
     thousand pairs at cosine ``floor`` keep are passed over, the rest reranked by floats.
     With ``fill``, a query with fewer than ``k`` codes within the radius in a batch is compared
-    with all of the batch, so lists are always full. Of a batch only the best ``k`` of a query move on.
+    with all of the batch, so lists are always full. Of a task's rows only the best ``k`` of a query move on.
     """
     spark = vectors.sparkSession
     vectors = vectors.where(F.col("id").isNotNull() & valid(F.col("v"), dims))
@@ -347,24 +405,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, dims: int, k: int, floor: fl
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q, codes, rotation = shared.value
+            best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in names]  # of all batches so far
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x, ids = _matrix(batch.column(1), dims), batch.column(0).to_numpy()
                 bits = np.packbits(x @ rotation > 0, axis=1)
                 words = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, (-bits.shape[1]) % 8)))).view(np.uint64)
-                found: list[tuple[int, int, float]] = []
                 for i, name in enumerate(names):
+                    near, known = best[i]
                     rows = np.flatnonzero(np.bitwise_count(words ^ codes[i]).sum(axis=1) <= radius)
-                    rows = rows if len(rows) > k or not fill else np.arange(len(ids))
+                    rows = rows if len(rows) + len(near) > k or not fill else np.arange(len(ids))
                     s = np.round(x[rows] @ q[i], 9)
-                    rows, s = rows[ids[rows] != name], s[ids[rows] != name]
-                    if len(rows) > k:
-                        top = s >= np.partition(s, len(s) - k)[len(s) - k]
-                        rows, s = rows[top], s[top]
-                    found += [(int(name), int(ids[r]), float(c)) for c, r in sorted(zip(s, rows), key=lambda z: (-z[0], ids[z[1]]))[:k]]
-                a, b, c = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["id", "near", "cosine"])
+                    good = (ids[rows] != name) & (s >= known[-1] if len(near) == k else True)
+                    if not good.any():
+                        continue
+                    near, known = np.concatenate([near, ids[rows][good]]), np.concatenate([known, s[good]])
+                    near, first = np.unique(near, return_index=True)  # the same id twice counts once
+                    known = known[first]
+                    top = np.lexsort((near, -known))[:k]
+                    best[i] = near[top], known[top]
+            sizes = [len(near) for near, _ in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, sizes), pa.int64()), pa.array(np.concatenate([x for x, _ in best]), pa.int64()), pa.array(np.concatenate([c for _, c in best]), pa.float64())], names=["id", "near", "cosine"]
+            )
 
         part = vectors.select("id", "v").mapInArrow(scan, "id long, near long, cosine double")
         out = part if out is None else out.unionByName(part)

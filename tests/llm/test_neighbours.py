@@ -128,3 +128,25 @@ def test_crowds_are_scanned_instead_of_paired(spark):
     got = {(r.a, r.b) for r in nb.similar_pairs(v, 32, 0.84, 5, crowd=3).collect()}
     want = brute(list(range(400)), x.astype(float), 0.84, 5)
     assert got == want
+
+
+def test_a_part_of_near_directions_is_split(spark):
+    rng = np.random.default_rng(12)
+    near = rng.normal(size=32) + 0.15 * rng.normal(size=(200, 32))  # a third of all, none equal
+    x = np.concatenate([near, clustered(rng, 400)]).astype(np.float32)
+    v = frame(spark, enumerate(x))
+    codes, shape = nb.coded(v, 32).select("id", "code"), nb.plan(600, 32, 0.84, block=64)
+    depths = nb.split_parts(codes, shape, 64)
+    assert depths and all(shape.lead < d <= nb.DEEPEST for d in depths.values())
+    code = np.stack([np.frombuffer(r.code, dtype=np.uint8) for r in codes.collect()])
+    for t in range(shape.tables):
+        part, depth = nb._parts_of(code, t, shape, depths)
+        assert all(n <= 64 or p >= 1 << nb.DEEPEST for p, n in zip(*np.unique(part, return_counts=True))) and (part >> depth == 1).all()
+    got = {(r.a, r.b) for r in nb.similar_pairs(v, 32, 0.84, 5, block=64).collect()}
+    want = brute(list(range(600)), x.astype(float), 0.84, 5)
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_a_cosine_too_low_for_tables_is_refused():
+    with pytest.raises(ValueError):
+        nb.plan(10**6, 96, -0.9)
