@@ -142,6 +142,8 @@ def plan(n: int, dims: int, cosine: float, recall: float = 0.97, block: int = BL
     for s in range(lead + 6, min(lead + 31, DEEPEST)):
         for probe in range(6):
             hit = (1 - p) ** lead * _within(s - lead, p, probe)
+            if hit < 1e-9:
+                continue
             tables = math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
             probes = sum(math.comb(s - lead, i) for i in range(probe + 1))
             rotations = max(ROTATIONS, math.ceil(tables * s / dims))
