@@ -23,8 +23,10 @@ def _examples(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return chunking.last_delivered(reports.load_examples(spark, a.dataset, a.limit or None), "example_id", "ord")
 
 
-def _settings(a: argparse.Namespace) -> pipeline.Settings:
-    return pipeline.Settings(a.method, a.top_k, a.candidate_k, a.neighbor_window, a.rerank, a.scope)
+def _index(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, pipeline.Settings]:
+    """Chunks of the stored index, and settings with its vectors, model and metric."""
+    i = artifacts.load_index(spark, a.index)
+    return i.chunks, pipeline.Settings(a.method, a.top_k, a.candidate_k, a.neighbor_window, a.rerank, a.scope, providers.HashedEmbedder(i.dims), i.metric, i.vectors)
 
 
 def _asked(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -48,15 +50,15 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
         artifacts.save_vectors(providers.HashedEmbedder(a.dims).embed(chunks, "content", "embedding"), f"{a.index}/vectors")
         vectors = artifacts.load_vectors(spark, f"{a.index}/vectors")
         artifacts.save_metadata(vectors, f"{a.index}/metadata", f"hashed-{a.dims}", a.metric)
-        artifacts.validate_alignment(chunks, vectors, artifacts.load_metadata(spark, f"{a.index}/metadata"))
+        artifacts.load_index(spark, a.index)
     chunks.groupBy("section").count().show()
 
 
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
-    asked, chunks = _asked(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks")
+    asked, (chunks, s) = _asked(spark, a), _index(spark, a)
     if a.show_route:
-        pipeline.routed(asked, _settings(a)).select("query_id", "route.*").show(50, truncate=120)
-    _out(pipeline.retrieve(asked, chunks, _settings(a)).join(chunks.select("example_id", "pos", "chunk_id", "content"), ["example_id", "pos"]).orderBy("query_id", "rank"), a)
+        pipeline.routed(asked, s).select("query_id", "route.*").show(50, truncate=120)
+    _out(pipeline.retrieve(asked, chunks, s).join(chunks.select("example_id", "pos", "chunk_id", "content"), ["example_id", "pos"]).orderBy("query_id", "rank"), a)
 
 
 def rewrite(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -64,29 +66,44 @@ def rewrite(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def grade(spark: SparkSession, a: argparse.Namespace) -> None:
-    asked, chunks = _asked(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks")
-    _out(ranking.grade(asked, pipeline.retrieve(asked, chunks, _settings(a)), chunks), a)
+    asked, (chunks, s) = _asked(spark, a), _index(spark, a)
+    _out(ranking.grade(asked, pipeline.retrieve(asked, chunks, s), chunks), a)
 
 
 def answer(spark: SparkSession, a: argparse.Namespace) -> None:
-    asked, chunks = _asked(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks")
-    _out(pipeline.answer(asked, chunks, _settings(a), correct=a.use_evidence_grader), a)
+    asked, (chunks, s) = _asked(spark, a), _index(spark, a)
+    _out(pipeline.answer(asked, chunks, s, correct=a.use_evidence_grader), a)
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Retrieval and grader metrics of the examples."""
-    asked, chunks, gold = _asked(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks"), evaluation.gold_rows(_examples(spark, a))
-    found = pipeline.materialize(pipeline.retrieve(asked, chunks, _settings(a)), "found")
+    """Retrieval and grader metrics of the examples; the failures file, and with --grader-output the grader file."""
+    asked, (chunks, s), gold = _asked(spark, a), _index(spark, a), evaluation.gold_rows(_examples(spark, a))
+    found = pipeline.materialize(pipeline.retrieve(asked, chunks, s), "found")
     m = evaluation.retrieval_metrics(asked, found, chunks, gold)
     evaluation.averages(m, [c for c in m.columns if c != "query_id"]).show(vertical=True)
-    evaluation.grader_summary(evaluation.grader_rows(ranking.grade(asked, found, chunks), found, chunks, gold)).show(vertical=True)
+    graded = pipeline.materialize(evaluation.grader_rows(ranking.grade(asked, found, chunks), found, chunks, gold), "graded")
+    evaluation.grader_summary(graded).show(vertical=True)
+    lists = lambda k: evaluation.id_lists(asked, found, chunks, gold, k)
+    if a.grader_output:
+        artifacts.save_csv(artifacts.grader_lines(graded.join(asked.select("query_id", "question"), "query_id").join(lists(1 << 30), "query_id")), a.grader_output)
+    artifacts.save_csv(artifacts.retrieval_failure_lines(asked, m, lists(5), 5), a.output or artifacts.default_failures_path(a.method, a.scope))
+
+
+def evaluate_answers(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Answers of all examples held against their gold answers; the predictions file."""
+    chunks, s = _index(spark, a)
+    rows = pipeline.materialize(pipeline.evaluate_answers(_examples(spark, a), chunks, s, correct=a.use_evidence_grader), "predictions")
+    evaluation.answer_summary(rows).show(vertical=True)
     if a.output:
-        artifacts.save_csv(m.where("hit_5 = 0"), a.output)
+        artifacts.save_csv(artifacts.prediction_lines(rows), a.output)
 
 
 def errors(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Failure classes of a predictions table."""
-    p = chunking.last_delivered(spark.read.parquet(a.predictions), "prediction_id", "loaded_at")
+    """Failure classes of predictions: a parquet table, or a predictions file."""
+    if a.predictions.endswith(".parquet"):
+        p = chunking.last_delivered(spark.read.parquet(a.predictions), "prediction_id", "loaded_at")
+    else:
+        p = artifacts.typed_predictions(artifacts.load_csv(spark, a.predictions).na.fill("")).withColumn("prediction_id", F.col("example_id"))
     f = evaluation.failures(p.withColumn("retrieved_chunk_ids", F.array_compact("retrieved_chunk_ids")), _examples(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks"))
     f.groupBy("failure_category").count().orderBy(F.desc("count")).show(truncate=False)
     evaluation.answer_summary(p).show(vertical=True)
@@ -95,16 +112,22 @@ def errors(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def experiment(spark: SparkSession, a: argparse.Namespace) -> None:
-    _out(pipeline.experiment(_asked(spark, a), artifacts.load_chunks(spark, f"{a.index}/chunks"), evaluation.gold_rows(_examples(spark, a)), _settings(a)), a)
+    """Retrieval metrics of every method; with --answers those of the answers."""
+    chunks, s = _index(spark, a)
+    if a.answers:
+        _out(pipeline.answer_experiment(_examples(spark, a), chunks, s), a)
+    else:
+        _out(pipeline.experiment(_asked(spark, a), chunks, evaluation.gold_rows(_examples(spark, a)), s), a)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="evidlake", description=__doc__)
-    p.add_argument("command", choices=["index", "retrieve", "rewrite", "grade", "answer", "evaluate", "errors", "experiment"])
+    p.add_argument("command", choices=["index", "retrieve", "rewrite", "grade", "answer", "evaluate", "evaluate-answers", "errors", "experiment"])
     p.add_argument("--dataset", default="data/reports.json")
     p.add_argument("--index", default="data/index")
     p.add_argument("--predictions", default="data/predictions.parquet")
     p.add_argument("--output")
+    p.add_argument("--grader-output")
     p.add_argument("--limit", type=int, default=0, help="first examples only; 0: all")
     p.add_argument("--query")
     p.add_argument("--allowed-example-id")
@@ -115,14 +138,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--neighbor-window", type=int, default=0)
     p.add_argument("--metric", choices=["cosine", "l2"], default="cosine")
     p.add_argument("--dims", type=int, default=64)
-    for flag in ("rerank", "show-route", "use-evidence-grader", "rebuild-chunks", "dry-run"):
+    for flag in ("rerank", "show-route", "use-evidence-grader", "rebuild-chunks", "dry-run", "answers"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
-    globals()[a.command](SparkSession.builder.appName("evidlake").getOrCreate(), a)
+    globals()[a.command.replace("-", "_")](SparkSession.builder.appName("evidlake").getOrCreate(), a)
 
 
 if __name__ == "__main__":

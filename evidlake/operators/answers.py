@@ -65,6 +65,28 @@ def _objects(v: Column, path: str) -> Column:
     return F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
 
 
+def _arguments(step: Column) -> Column:
+    """The arguments of a step; a text stands for its characters."""
+    listed = F.try_variant_get(step, "$.arguments", "array<variant>")
+    text = F.when(F.schema_of_variant(F.try_variant_get(step, "$.arguments", "variant")) == "STRING", F.try_variant_get(step, "$.arguments", "string"))
+    letters = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("variant"))
+    return F.coalesce(listed, letters, F.array().cast("array<variant>"))
+
+
+def steps_text(steps: Column) -> Column:
+    """Steps as JSON; empty without steps."""
+    one = lambda s: F.concat(F.lit('{"operation": '), F.to_json(s["operation"].cast("variant")), F.lit(', "arguments": ['), F.array_join(F.transform(s["arguments"], lambda a: F.to_json(a)), ", "), F.lit("]}"))
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) <= 0, "").otherwise(F.concat(F.lit("["), F.array_join(F.transform(steps, one), ", "), F.lit("]")))
+
+
+def with_usage(said: DataFrame) -> DataFrame:
+    """Answers with the tokens that the service reports for each question; none are 0, a missing total is the sum."""
+    for c in ("input_tokens", "output_tokens"):
+        said = said.withColumn(c, F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in said.columns else F.lit(0).cast("long"))
+    total = F.col("input_tokens") + F.col("output_tokens")
+    return said.withColumn("total_tokens", F.coalesce(F.nullif(F.col("total_tokens").cast("long"), F.lit(0)), total) if "total_tokens" in said.columns else total)
+
+
 def parse(text: Column) -> Column:
     """struct of an answer payload."""
     v = json_object(text)
@@ -76,7 +98,7 @@ def parse(text: Column) -> Column:
         F.coalesce(_text(v, "$.answer"), F.lit("")).alias("answer"),
         F.transform(_objects(v, "$.citations"), lambda c: F.struct(bare_chunk_id(F.coalesce(_text(c, "$.chunk_id"), F.lit(""))).alias("chunk_id"), F.coalesce(_text(c, "$.quote"), F.lit("")).alias("quote"))).alias("citations"),
         _text(v, "$.calculation").alias("calculation"),
-        F.transform(_objects(v, "$.calculation_steps"), lambda s: F.struct(F.coalesce(_text(s, "$.operation"), F.lit("")).alias("operation"), F.coalesce(F.try_variant_get(s, "$.arguments", "array<variant>"), F.array().cast("array<variant>")).alias("arguments"))).alias("steps"),
+        F.transform(_objects(v, "$.calculation_steps"), lambda s: F.struct(F.coalesce(_text(s, "$.operation"), F.lit("")).alias("operation"), _arguments(s).alias("arguments"))).alias("steps"),
         _text(v, "$.answer_unit").alias("answer_unit"), _text(v, "$.answer_scale").alias("answer_scale"), (~false).alias("insufficient_evidence"),
     )
 
@@ -107,6 +129,8 @@ def finished(payloads: DataFrame) -> DataFrame:
     error = F.when(~F.col("p.valid"), "The payload holds no JSON object.").when(F.size(wrong) > 0, F.concat(F.lit("Citations are not among the retrieved chunks: "), F.array_join(wrong, ", ")))
     return p.select(
         "query_id", F.when(done, F.col("x.formatted")).otherwise(F.col("p.answer")).alias("answer"), F.col("cited"),
+        F.zip_with("cited", "p.citations", lambda c, q: F.struct(c.alias("chunk_id"), q["quote"].alias("quote"))).alias("citations"), steps_text(F.col("p.steps")).alias("calculation_steps"),
+        F.transform("retrieved", lambda r: r["chunk_id"]).alias("retrieved_chunk_ids"),
         F.when(done, F.coalesce("x.trace", "p.calculation")).otherwise(F.col("p.calculation")).alias("calculation"), F.col("p.insufficient_evidence").alias("insufficient_evidence"),
         F.col("p.answer_unit").alias("answer_unit"), F.col("p.answer_scale").alias("answer_scale"), F.when(done, F.col("x.formatted")).alias("executed_answer"), F.col("x.error").alias("execution_error"), error.alias("error"),
     )

@@ -2,7 +2,7 @@
 
 Inside a report (or any scope) it is an equi-join on the scope and an expression;
 over a corpus, blocks of queries of bounded size meet every Arrow batch of vectors in
-one matrix product, and only the k best of a batch travel on.
+matrix products, and only the k best of a task's batches travel on.
 
 Cases: a zero vector stays zero; null vectors, and vectors of another length than
 the query, are not ranked; fewer than k vectors give fewer results; ties go to the
@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lexical import DIGITS, best_of_batch, blocks, ranked
+from . import topk
+from .lexical import DIGITS, blocks, ranked
 
+#: queries scored at once
+SLICE = 256
 METRICS = ("cosine", "l2")
 
 
@@ -88,26 +91,26 @@ def search_corpus(queries: DataFrame, vectors: DataFrame, k: int, metric: str =
         shared = spark.sparkContext.broadcast({d: (names, np.array(values)) for d, (names, values) in by_length.items()})
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = {d: topk.Best(len(names), k) for d, (names, _) in shared.value.items()}
             for batch in batches:
                 length = np.diff(batch.column(2).offsets.to_numpy()) if batch.num_rows else np.zeros(0, dtype=int)
                 for d in np.unique(length):
                     if d not in shared.value:
                         continue
-                    names, q = shared.value[d]
-                    some = batch.filter(pa.array(length == d))
-                    ids, pos = some.column(0).to_pylist(), some.column(1).to_numpy()
+                    names, queries_of_d = shared.value[d]
+                    some, ids, pos = topk.by_id(batch.filter(pa.array(length == d)))
                     x = some.column(2).flatten().to_numpy().reshape(some.num_rows, d)
-                    q_out, i_out, p_out, s_out = [], [], [], []
-                    if near:
-                        qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-                        scores = (q @ x.T) / np.where(qn == 0, 1, qn)[:, None] / np.where(xn == 0, 1, xn)[None, :]
-                    else:
-                        scores = None
-                    for i, name in enumerate(names):
-                        s = scores[i] if near else ((x - q[i]) ** 2).sum(axis=1)
-                        for r in best_of_batch(s, ids, pos, k, near):
-                            q_out.append(name), i_out.append(ids[r]), p_out.append(int(pos[r])), s_out.append(float(s[r]))
-                    yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.string()), pa.array(i_out, pa.string()), pa.array(p_out, pa.int64()), pa.array(s_out, pa.float64())], names=["query_id", "example_id", "pos", "score"])
+                    xn = np.linalg.norm(x, axis=1)
+                    for a in range(0, len(names), SLICE):
+                        q = queries_of_d[a : a + SLICE]
+                        if near:
+                            qn = np.linalg.norm(q, axis=1)
+                            s = (q @ x.T) / np.where(qn == 0, 1, qn)[:, None] / np.where(xn == 0, 1, xn)[None, :]
+                        else:
+                            s = -np.stack([((x - one) ** 2).sum(axis=1) for one in q])
+                        best[d].add(a, s, ids, pos)
+            for d, (names, _) in shared.value.items():
+                yield best[d].batch(names, [pa.string(), pa.string(), pa.int64()], 1.0 if near else -1.0)
 
         found = rows.mapInArrow(score, "query_id string, example_id string, pos long, score double")
         out = found if out is None else out.unionByName(found)

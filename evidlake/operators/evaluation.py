@@ -42,6 +42,16 @@ def retrieval_metrics(questions: DataFrame, results: DataFrame, chunks: DataFram
     )
 
 
+def id_lists(questions: DataFrame, results: DataFrame, chunks: DataFrame, gold: DataFrame, cutoff: int) -> DataFrame:
+    """(query_id, gold_ids, retrieved_ids): sorted gold ids, and the ids of the first ``cutoff`` results in order."""
+    found = results.where(F.col("rank") <= cutoff).join(chunks.select("example_id", "pos", "source_ids"), ["example_id", "pos"])
+    ids = F.transform("source_ids", lambda s: evidence_ids(F.col("example_id"), s))
+    found = found.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", ids.alias("ids")))), lambda x: x["ids"])).alias("retrieved_ids"))
+    wanted = gold.groupBy("query_id").agg(F.array_sort(F.collect_set("gold_id")).alias("gold_ids"))
+    none, some = F.array().cast("array<string>"), questions.select("query_id")
+    return some.join(wanted, "query_id", "left").join(found, "query_id", "left").select("query_id", F.coalesce("gold_ids", none).alias("gold_ids"), F.slice(F.coalesce("retrieved_ids", none), 1, cutoff).alias("retrieved_ids"))
+
+
 def averages(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("examples"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns))
 
@@ -82,6 +92,50 @@ def citations_valid(cited: Column, retrieved: Column, insufficient: Column) -> C
     return F.when(insufficient, F.size(cited) == 0).otherwise((F.size(cited) > 0) & (F.size(F.array_except(cited, retrieved)) == 0))
 
 
+# Columns of the predictions file in their order.
+PREDICTION = (
+    "example_id question gold_answer predicted_answer exact_match numerical_match citation_valid insufficient_evidence calculation calculation_steps answer_unit answer_scale executed_answer execution_error error "
+    "retrieved_chunk_ids cited_chunk_ids evidence_grade_sufficient evidence_grade_confidence evidence_grade_reason total_ms retrieval_ms generation_ms evidence_grading_ms query_rewrite_ms corrective_retrieval_ms "
+    "calculation_execution_ms embedding_calls generation_calls rewrite_calls input_tokens output_tokens total_tokens estimated_cost_usd retrieved_chunks used_rerank used_evidence_grader used_corrective_retry route_method"
+).split()
+
+
+def answer_rows(examples: DataFrame, done: DataFrame, rerank: bool, graded: bool, times: dict[str, float], prices: tuple[float, float] | None) -> DataFrame:
+    """Answers (query_id, answer, ...) of examples held against their gold answers, as rows of the predictions file.
+
+    Where answering failed, or the gold number is none (yes, no), the row has ``error`` and is empty otherwise.
+    """
+    gold = examples.select("example_id", F.col("answer").alias("gold_answer"), F.col("metadata.gold_numeric_answer").alias("numeric"))
+    d = done.withColumnRenamed("query_id", "example_id").join(gold, "example_id")
+    stopped = F.when(yes_no_gold(F.col("numeric")), F.concat(F.lit("could not convert string to float: '"), F.col("numeric"), F.lit("'")))
+    d = d.withColumn("error", F.coalesce("error", stopped))
+    none, ok = F.array().cast("array<string>"), F.col("error").isNull()
+    cited, retrieved, abstains = F.coalesce("cited", none), F.coalesce("retrieved_chunk_ids", none), F.coalesce("insufficient_evidence", F.lit(False))
+    yes = lambda c: ok & F.coalesce(c, F.lit(False))
+    kept = lambda c: F.when(ok, c)
+    cost = F.lit(None).cast("double") if prices is None else F.col("input_tokens") / 1_000_000 * prices[0] + F.col("output_tokens") / 1_000_000 * prices[1]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    values = {
+        "predicted_answer": F.when(ok, F.col("answer")).otherwise(""), "exact_match": yes(exact_match(F.col("answer"), F.col("gold_answer"))),
+        "numerical_match": yes(numerical_match(F.col("answer"), gold_numbers(F.col("gold_answer"), F.col("numeric")))), "citation_valid": yes(citations_valid(cited, retrieved, abstains)),
+        "insufficient_evidence": yes(abstains), "calculation_steps": F.when(ok, F.coalesce("calculation_steps", F.lit(""))).otherwise(""), "retrieved_chunk_ids": F.when(ok, retrieved).otherwise(none), "cited_chunk_ids": F.when(ok, cited).otherwise(none),
+        "evidence_grade_sufficient": kept(F.col("sufficient")), "evidence_grade_confidence": kept(F.col("confidence")), "evidence_grade_reason": kept(F.col("reason")), "estimated_cost_usd": cost, "retrieved_chunks": F.size(retrieved),
+        "used_rerank": F.lit(rerank), "used_evidence_grader": F.lit(graded), "used_corrective_retry": F.coalesce(F.col("rewrite_calls") > 0, F.lit(False)),
+        **{c: kept(F.col(c)) for c in ("calculation", "answer_unit", "answer_scale", "executed_answer", "execution_error")}, **{c: F.lit(ms) for c, ms in times.items()},
+        **{c: zero(c) for c in ("embedding_calls", "generation_calls", "rewrite_calls", "input_tokens", "output_tokens", "total_tokens")},
+    }
+    return d.select(*(values.get(c, F.col(c)).alias(c) for c in PREDICTION))
+
+
+def parse_bool(c: Column) -> Column:
+    return F.coalesce(F.lower(T.strip(c)) == "true", F.lit(False))
+
+
+def split_ids(c: Column) -> Column:
+    """The ids of a text, by white space; none in an empty one."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+
+
 def answer_summary(p: DataFrame) -> DataFrame:
     """Rates over predictions without an error, and the rate of errors."""
     done = F.when(F.col("error").isNull() | (F.col("error") == ""), True)

@@ -30,20 +30,26 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int, rrf_k: int = RRF_K
     every = lists[0]
     for more in lists[1:]:
         every = every.unionByName(more)
+    return fused_ranking(every, k, rrf_k)
+
+
+def fused_ranking(every: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """The same for rankings in one table, told apart and ordered by ``no``."""
     fused = every.groupBy(*KEY).agg(F.sum(1.0 / (rrf_k + F.col("rank"))).alias("score"), F.min(F.struct("no", "rank")).alias("first"))
     return renumbered(fused, F.round("score", 12).desc(), "first", k=k).select("query_id", "rank", "score", "example_id", "pos")
 
 
-def expand_with_neighbors(results: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
+def expand_with_neighbors(results: DataFrame, chunks: DataFrame, window: int, only: DataFrame | None = None) -> DataFrame:
     """Results, then for each in turn the chunks up to ``window`` rows before and after it in its section.
 
     A neighbour has the score of the first result beside it. ``chunks`` has
     example_id, pos, section, row_index. The range is an equi-join on shifted rows.
+    With ``only`` (query_id) the results of other queries stay as they are.
     """
     if window <= 0:
         return results
     places = chunks.select("example_id", "pos", "section", "row_index")
-    seeds = results.join(places, ["example_id", "pos"])
+    seeds = (results if only is None else results.join(only, "query_id", "left_semi")).join(places, ["example_id", "pos"])
     seeds = seeds.select("query_id", "example_id", "section", "row_index", "rank", "score")
     shifts = F.explode(F.array(*(F.lit(i) for i in range(-window, window + 1) if i)))
     around = seeds.select("query_id", "example_id", "section", F.col("rank").alias("seed"), "score", "row_index", shifts.alias("shift")).withColumn("row_index", F.col("row_index") + F.col("shift"))
@@ -55,6 +61,11 @@ def expand_with_neighbors(results: DataFrame, chunks: DataFrame, window: int) ->
 
 def merge_results(primary: DataFrame, corrective: DataFrame, k: int) -> DataFrame:
     """Both passes; a chunk in both has its higher score at its first place; best k."""
-    both = primary.select(*KEY, "score", F.struct(F.lit(0).alias("no"), "rank").alias("at")).unionByName(corrective.select(*KEY, "score", F.struct(F.lit(1).alias("no"), "rank").alias("at")))
-    one = both.groupBy(*KEY).agg(F.max("score").alias("score"), F.min("at").alias("at"))
+    columns = [*KEY, "score", "rank"]
+    return merged_ranking(primary.select(*columns, F.lit(0).alias("no")).unionByName(corrective.select(*columns, F.lit(1).alias("no"))), k)
+
+
+def merged_ranking(both: DataFrame, k: int) -> DataFrame:
+    """The same for passes in one table, told apart and ordered by ``no``."""
+    one = both.groupBy(*KEY).agg(F.max("score").alias("score"), F.min(F.struct("no", "rank")).alias("at"))
     return renumbered(one, F.round("score", DIGITS).desc(), "at", k=k).select("query_id", "rank", "score", "example_id", "pos")

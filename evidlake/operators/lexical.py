@@ -5,10 +5,10 @@ mean of all idf. A query counts a repeated token as often as it stands there;
 unknown tokens add nothing; chunks without any token of the query are ranked too,
 with score 0. Ties go to the earlier chunk (example_id, pos).
 
-Search inside a report computes statistics of that report alone and is all equi-joins
-on the report's key. Search over the corpus needs statistics of the query terms
-only, which go out with a block of queries of bounded size; every Arrow batch of
-chunks scores them as sparse columns and keeps its k best, which then meet.
+Search inside a report (see reports) computes statistics of that report alone. Search over
+the corpus needs statistics of the query terms only, which go out with a block of
+queries of bounded size; a task scores its chunks against them from postings and
+sends the k best of all its batches once.
 
 Cases: an empty or null question scores 0 everywhere; a null content has no tokens;
 an unknown report or an empty corpus gives no results; repeated chunks are
@@ -22,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..session import materialize
+from . import reports, topk
+from .reports import B, EPSILON, K1
+from .topk import DIGITS
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 4096
-DIGITS = 9
+#: queries scored at once
+SLICE = 64
 
 
 def tokenized(chunks: DataFrame, key: list[str], content: str = "content") -> DataFrame:
@@ -67,22 +71,6 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def scored_in_report(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, example_id, pos, score) of every chunk of the report that a query is allowed.
-
-    ``queries`` has query_id, example_id, question; ``chunks`` example_id, pos, content.
-    """
-    tokens = materialize(tokenized(chunks, ["example_id", "pos"]), "tokens")  # three branches read it
-    posts = postings(tokens, ["example_id", "pos"])
-    stats = corpus_stats(tokens, ["example_id"])
-    terms = term_stats(posts, stats, ["example_id"])
-    asked = queries.select("query_id", "example_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "example_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = asked.join(terms, ["example_id", "term"]).join(posts, ["example_id", "term"]).join(stats, "example_id")
-    hits = hits.groupBy("query_id", "example_id", "pos").agg(F.sum(F.col("qf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
-    every = queries.select("query_id", "example_id").join(tokens.select("example_id", "pos"), "example_id")
-    return every.join(hits, ["query_id", "example_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
 def ranked(scored: DataFrame, k: int, descending: bool = True) -> DataFrame:
     """The k best of every query, with ``rank``; ties to the earlier chunk."""
     s = F.round("score", DIGITS)
@@ -91,16 +79,8 @@ def ranked(scored: DataFrame, k: int, descending: bool = True) -> DataFrame:
 
 
 def search_reports(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    return ranked(scored_in_report(queries, chunks), k)
-
-
-def best_of_batch(scores: np.ndarray, ids: list[str], pos: np.ndarray, k: int, descending: bool = True) -> list[int]:
-    """Rows of the k best scores; ties by id and pos."""
-    s = np.round(scores if descending else -scores, DIGITS)
-    rows = np.arange(len(s))
-    if len(s) > k:
-        rows = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
-    return sorted(rows.tolist(), key=lambda r: (-s[r], ids[r], pos[r]))[:k]
+    """(query_id, rank, score, example_id, pos) of the k best chunks of the report that a query (query_id, example_id, question) may use."""
+    return reports.search(queries, chunks, k, reports.LEXICAL)
 
 
 def blocks(queries: DataFrame, columns: list[str], size: int = QUERY_BLOCK) -> Iterator[list]:
@@ -135,32 +115,36 @@ def search_corpus(queries: DataFrame, chunks: DataFrame, k: int, block: int = QU
                 if t in number:
                     counts[number[t]] = counts.get(number[t], 0) + 1
             asked.append((r["query_id"], counts))
-        shared = spark.sparkContext.broadcast((asked, number, np.array(list(idf.values()))))
+        sizes = [len(c) for _, c in asked]
+        terms, times = np.array([t for _, c in asked for t in c], dtype=np.int64), np.array([n for _, c in asked for n in c.values()], dtype=np.int64)
+        shared = spark.sparkContext.broadcast(([q for q, _ in asked], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, times, number, np.array(list(idf.values()))))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked, number, idf = shared.value
+            names, starts, terms, times, number, idf = shared.value
+            best = topk.Best(len(names), k)
             for batch in batches:
                 size = batch.num_rows
                 if not size:
                     continue
-                ids, pos = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                offsets = batch.column(2).offsets.to_numpy()
-                dl = np.diff(offsets)
-                terms = np.fromiter((number.get(t, -1) for t in batch.column(2).flatten().to_pylist()), dtype=np.int64, count=int(dl.sum()))
-                row = np.repeat(np.arange(size), dl)[terms >= 0]
-                code, tf = np.unique(terms[terms >= 0] * size + row, return_counts=True)
-                term, row = code // size, code % size
+                batch, ids, pos = topk.by_id(batch)
+                dl = np.diff(batch.column(2).offsets.to_numpy())
+                words = pc.dictionary_encode(batch.column(2).flatten())
+                code = np.array([number.get(t, -1) for t in words.dictionary.to_pylist()], dtype=np.int64)
+                term = code[words.indices.to_numpy()] if len(code) else np.zeros(0, dtype=np.int64)
+                row = np.repeat(np.arange(size), dl)[term >= 0]
+                post, tf = np.unique(term[term >= 0] * size + row, return_counts=True)
+                term, row = post // size, post % size
                 w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)) if len(term) else np.zeros(0)
                 ends = np.searchsorted(term, np.arange(len(number) + 1))
-                q_out, i_out, p_out, s_out = [], [], [], []
-                for query_id, counts in asked:
-                    total = np.zeros(size)
-                    for t, qf in counts.items():
-                        at = slice(ends[t], ends[t + 1])
-                        total[row[at]] += qf * w[at]
-                    for r in best_of_batch(total, ids, pos, k):
-                        q_out.append(query_id), i_out.append(ids[r]), p_out.append(int(pos[r])), s_out.append(float(total[r]))
-                yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.string()), pa.array(i_out, pa.string()), pa.array(p_out, pa.int32()), pa.array(s_out, pa.float64())], names=["query_id", "example_id", "pos", "score"])
+                for a in range(0, len(names), SLICE):  # a matrix of a slice of queries by all rows, from the postings of their terms
+                    z = min(a + SLICE, len(names))
+                    some = slice(starts[a], starts[z])
+                    hits = ends[terms[some] + 1] - ends[terms[some]]
+                    at = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(ends[terms[some]], hits)
+                    query = np.repeat(np.arange(z - a), np.diff(starts[a : z + 1]))
+                    total = np.bincount(np.repeat(query * size, hits) + row[at], np.repeat(times[some], hits) * w[at], (z - a) * size)
+                    best.add(a, total.reshape(z - a, size).astype(np.float64), ids, pos)
+            yield best.batch(names, [pa.string(), pa.string(), pa.int32()])
 
         found = rows.mapInArrow(score, "query_id string, example_id string, pos int, score double")
         out = found if out is None else out.unionByName(found)

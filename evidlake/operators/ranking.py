@@ -21,10 +21,14 @@ SUFFICIENT = 65  # hundredths
 
 
 def features(results: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per result its features and ``rr_score``. ``chunks`` has example_id, pos, chunk_type, content."""
+    """Per result its features and ``rr_score``. ``chunks`` has example_id, pos, chunk_type, content.
+
+    A chunk that comes twice is scored at its best rank; for cohesion it counts as often as it comes.
+    """
     by_query = Window.partitionBy("query_id")
     head = F.when(F.col("rank") <= 20, 1)
     r = results.withColumn("heads", F.count(head).over(by_query)).withColumn("own", F.count(head).over(Window.partitionBy("query_id", "example_id")))
+    r = r.withColumn("again", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank"))).where("again = 1")
     q = questions.select(
         "query_id", T.content_terms(F.col("question")).alias("q_terms"), T.years(F.col("question")).alias("q_years"), T.numbers(F.col("question")).alias("q_numbers"), routing.signals(F.col("question")).alias("signals")
     ).withColumn("q_tokens", F.array_distinct(T.tokenize(F.array_join("q_terms", " "))))

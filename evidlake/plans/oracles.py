@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators import evaluation, ranking, routing
+from ..operators import evaluation, routing
 
 _WS = r"[\s\x{a0}]"
 
@@ -118,36 +118,48 @@ def _numbers(x: str) -> str:
     return _all(f"replace({x}, '$', '')", T.NUMBER)
 
 
-_FE = f"""
+def _features(results: str) -> str:
+    """Features of results (query_id, rank, score, example_id, pos)."""
+    return f"""
 qf as (select example_id as query_id, signals, {_terms('question')} as qt, {_all('question', T.YEAR)} as qy, {_numbers('question')} as qn from sg),
+rs as (select *, count(*) filter (where rank <= 20) over (partition by query_id) as heads, count(*) filter (where rank <= 20) over (partition by query_id, example_id) as own from ({results})),
 fe as (select b.query_id, b.example_id, b.pos, b.rank, b.score,
     case when len(qt) = 0 or len({_terms('content')}) = 0 then 0 else len(list_intersect(qt, {_terms('content')})) / len(list_distinct(list_concat(qt, {_terms('content')}))) end as term_overlap,
     case when len(qy) = 0 or list_has_any(qy, {_all('content', T.YEAR)}) then 1.0 else 0.0 end::double as year_support,
     case when list_has_any(qn, {_numbers('lower(content)')}) then 1.0 else 0.0 end::double as number_support,
     case when chunk_type = 'table' and {_NUMERIC} then 1.0 else 0.0 end::double as table_bonus,
     len(list_intersect(list_distinct({_tokens("array_to_string(qt, ' ')")}), list_distinct({_tokens('content')})))::int as exact_tokens,
-    1.0::double as cohesion
-  from bm b join qf using (query_id) join ck using (example_id, pos) where rank <= 10),
+    case when heads > 0 then own / heads else 0 end::double as cohesion
+  from rs b join qf using (query_id) join ck using (example_id, pos)),
 rr as (select *, 1.0 / greatest(rank, 1) * 0.30 + case when score <= 0 then 0 else least(score, 1) end * 0.15 + term_overlap * 0.25 + year_support * 0.10 + number_support * 0.05 + table_bonus * 0.05 + least(exact_tokens / 5, 1.0) * 0.05 + cohesion * 0.05 as rr_score from fe)
 """
 
 
+_FE = _features("select * from bm where rank <= 10")
+
+# fixed values: signals of a grade with their weights, and texts
+_SIGNALS = [("metric_overlap", 25), ("year_support", 20), ("numeric_support", 20), ("table_support", 15), ("document_cohesion", 15), ("ranked_evidence", 5)]
+_REASON = "case when not sufficient then case when not found then 'No chunks were retrieved.' when len(missing) = 0 then 'Evidence confidence was below the sufficiency threshold.' else 'Missing or weak: ' || array_to_string(missing, ', ') || '.' end end"
+
+
 def _grades(results: str) -> str:
-    """Grades of results inside reports (one example a query, so it is the dominant one)."""
+    """Grades of results; terms, years and chunks are those of the report with most of the first five results."""
     yes = {
         "metric_overlap": "list_has_any(qt, et)", "year_support": "(len(qy) = 0 or list_has_any(qy, ey))", "numeric_support": f"(not {_NUMERIC} or hn)", "table_support": f"(not {_NUMERIC} or ht)",
-        "document_cohesion": "(heads >= 2 or heads = 1)", "ranked_evidence": "top <> 0",
+        "document_cohesion": "(heads >= 2 or all_heads = 1)", "ranked_evidence": "top <> 0",
     }
-    points = " + ".join(f"case when {yes[n]} then {w} else 0 end" for n, w in ranking.GRADE_SIGNALS)
+    points = " + ".join(f"case when {yes[n]} then {w} else 0 end" for n, w in _SIGNALS)
     pick = lambda test, names: "list_filter([" + ", ".join(f"case when {test}({yes[n]}) then '{n}' end" for n, _ in names) + "], lambda x: x is not null)"
     return f"""
-ev as (select r.query_id, flatten(list({_terms('content', T.DOMAIN_STOPWORDS)})) as et, flatten(list({_all('content', T.YEAR)})) as ey, bool_or(regexp_matches(content, '\\d')) as hn, bool_or(chunk_type = 'table') as ht,
-    count(*) filter (where rank <= 5) as heads, arg_min(score, rank) as top from ({results}) r join ck using (example_id, pos) group by r.query_id),
+each as (select r.query_id, r.example_id, flatten(list({_terms('content', T.DOMAIN_STOPWORDS)})) as et, flatten(list({_all('content', T.YEAR)})) as ey, bool_or(regexp_matches(content, '\\d')) as hn, bool_or(chunk_type = 'table') as ht,
+    count(*) filter (where rank <= 5) as heads, min(rank) as first from ({results}) r join ck using (example_id, pos) group by r.query_id, r.example_id),
+best as (select *, row_number() over (partition by query_id order by heads desc, first) as n, sum(heads) over (partition by query_id) as all_heads from each),
+ev as (select * from best join (select query_id, arg_min(score, rank) as top from ({results}) group by query_id) using (query_id) where n = 1),
 gq as (select example_id as query_id, signals, {_terms('question', T.DOMAIN_STOPWORDS)} as qt, {_all('question', T.YEAR)} as qy from sg),
 gp as (select query_id, ev.query_id is not null as found, {_NUMERIC} as numeric, case when ev.query_id is null then 0 else {points} end as points,
-    case when ev.query_id is null then [] else {pick('', ranking.GRADE_SIGNALS)} end as matched, case when ev.query_id is null then ['retrieved_evidence'] else {pick('not ', ranking.GRADE_SIGNALS[:-1])} end as missing
+    case when ev.query_id is null then [] else {pick('', _SIGNALS)} end as matched, case when ev.query_id is null then ['retrieved_evidence'] else {pick('not ', _SIGNALS[:-1])} end as missing
   from gq left join ev using (query_id)),
-gr as (select *, found and points >= {ranking.SUFFICIENT} and not (numeric and list_contains(missing, 'numeric_support')) as sufficient from gp)
+gr as (select *, found and points >= 65 and not (numeric and list_contains(missing, 'numeric_support')) as sufficient from gp)
 """
 
 
@@ -198,6 +210,44 @@ one as (select example_id, lower(t) as l, min(i) as i, arg_min(t, i) as t from e
 select parts.example_id as query_id, coalesce(string_agg(one.t, ' ' order by one.i), {_strip('any_value(question)')}) as query from parts left join one using (example_id) group by parts.example_id"""
 
 
+# fixed values: fields of the predictions file by their form
+_FIELDS = {
+    "texts": "example_id question gold_answer predicted_answer calculation calculation_steps answer_unit answer_scale executed_answer execution_error error evidence_grade_confidence evidence_grade_reason route_method "
+    "embedding_calls generation_calls rewrite_calls input_tokens output_tokens total_tokens retrieved_chunks",
+    "flags": "exact_match numerical_match citation_valid insufficient_evidence evidence_grade_sufficient used_rerank used_evidence_grader used_corrective_retry",
+    "times": "total_ms retrieval_ms generation_ms evidence_grading_ms query_rewrite_ms corrective_retrieval_ms calculation_execution_ms", "lists": "retrieved_chunk_ids cited_chunk_ids",
+}
+_LINES = ", ".join(
+    [f"coalesce({c}::varchar, '') as {c}" for c in _FIELDS["texts"].split()] + [f"coalesce(case when {c} then 'True' else 'False' end, '') as {c}".replace("case when", f"case when {c} is null then null when") for c in _FIELDS["flags"].split()]
+    + [f"coalesce(printf('%.2f', {c}), '') as {c}" for c in _FIELDS["times"].split()] + ["coalesce(printf('%.8f', estimated_cost_usd), '') as estimated_cost_usd"] + [f"coalesce(array_to_string({c}, ' '), '') as {c}" for c in _FIELDS["lists"].split()]
+)
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(array_to_string({}, ' '), ''), '[\s\x{{a0}}]+'), lambda x: x <> '')"
+
+
+def _ids(cutoff: int) -> str:
+    """Gold ids and the ids of the first results of every question."""
+    return f"""ids as (select e.example_id as query_id, question, coalesce(array_to_string(list_sort(list_transform(map_keys(gold_evidence), lambda g: e.example_id || '::' || g)), ' '), '') as gold_ids, coalesce(got, '') as retrieved_ids
+  from ex e left join (select b.query_id, string_agg(c.example_id || '::' || c.source_id, ' ' order by rank) as got from bm b join ck c using (example_id, pos) where rank <= {cutoff} group by b.query_id) g on g.query_id = e.example_id)"""
+
+
+def _answers() -> str:
+    """Every example answered with the last number of its best chunk."""
+    number = r"-?\$?\s?\d+(?:,\d{3})*(?:\.\d+)?%?"
+    match = f"""len(list_filter({_NUMS('answer')}, lambda p: len(list_filter(list_concat({_NUMS('gold')}, list_filter([num, case when contains(gold, '%') then num * 100 end], lambda z: z is not null)),
+      lambda g: abs(p - g) <= greatest(0.001, abs(g) * 0.001))) > 0)) > 0"""
+    return f"""with {CK}, {BM}, {SIG}, {_grades('select * from bm where rank <= 3')},
+top as (select b.query_id, list(chunk_id order by rank) as ids, coalesce(list_last({_all("arg_min(content, rank)", number)}), '') as said from bm b join ck using (example_id, pos) where rank <= 3 group by b.query_id),
+an as (select e.example_id, question, e.answer as gold, metadata.gold_numeric_answer as numeric, try_cast(metadata.gold_numeric_answer as double) as num, coalesce(said, 'Insufficient evidence') as answer, said is null as none, coalesce(ids, []) as ids,
+    sufficient, least(points, 100) / 100 as confidence, {_REASON} as reason from ex e left join top on top.query_id = e.example_id join gr on gr.query_id = e.example_id),
+ok as (select *, numeric is null or num is not null as ok from an)
+select example_id, question, gold as gold_answer, case when ok then answer else '' end as predicted_answer, ok and coalesce({_NORM('answer')} = {_NORM('gold')}, false) as exact_match, ok and coalesce({match}, false) as numerical_match,
+  ok as citation_valid, ok and none as insufficient_evidence, null::varchar as calculation, '' as calculation_steps, null::varchar as answer_unit, null::varchar as answer_scale, null::varchar as executed_answer, null::varchar as execution_error,
+  case when not ok then 'could not convert string to float: ' || chr(39) || numeric || chr(39) end as error, case when ok then array_to_string(ids, ' ') else '' end as retrieved_chunk_ids, case when ok and not none then ids[1] else '' end as cited_chunk_ids,
+  case when ok then sufficient end as evidence_grade_sufficient, case when ok then confidence end as evidence_grade_confidence, case when ok then reason end as evidence_grade_reason,
+  0 as embedding_calls, 1 as generation_calls, 0 as rewrite_calls, 0 as input_tokens, 0 as output_tokens, 0 as total_tokens, null::double as estimated_cost_usd, len(ids)::int as retrieved_chunks,
+  false as used_rerank, false as used_evidence_grader, false as used_corrective_retry, 'bm25' as route_method from ok"""
+
+
 def oracle_sql() -> dict[str, str]:
     count = lambda src, items: f"select term, count(*) as n from (select unnest({items}) as term from {src}) group by term"
     grid = f"with {CK}, {BM}, {_METRICS}"
@@ -250,8 +300,11 @@ def oracle_sql() -> dict[str, str]:
         "rerank_features": f"with {CK}, {BM}, {SIG}, {_FE} select query_id, example_id, pos, rank, round(term_overlap, 6) as term_overlap, year_support, number_support, table_bonus, exact_tokens, cohesion, round(rr_score, 6) as rr_score from rr",
         "reranked": f"with {CK}, {BM}, {SIG}, {_FE} select query_id, r as rank, round(rr_score, 6) as score, example_id, pos from (select *, row_number() over (partition by query_id order by round(rr_score, 9) desc, rank) as r from rr) where r <= 5",
         "evidence_grades": f"""with {CK}, {BM}, {SIG}, {_grades('select * from bm where rank <= 5')} select query_id, sufficient, not sufficient as needs_retry, least(points, 100) / 100 as confidence,
-          case when not sufficient then case when not found then '{ranking.NO_CHUNKS}' when len(missing) = 0 then '{ranking.BELOW}' else 'Missing or weak: ' || array_to_string(missing, ', ') || '.' end end as reason,
-          array_to_string(matched, ' ') as matched, array_to_string(missing, ' ') as missing from gr""",
+          {_REASON} as reason, array_to_string(matched, ' ') as matched, array_to_string(missing, ' ') as missing from gr""",
+        "evidence_grades_corpus": f"""with {CK}, {_bm25(False)}, {SIG}, {_grades('select * from bm where rank <= 5')} select query_id, sufficient, not sufficient as needs_retry, least(points, 100) / 100 as confidence,
+          {_REASON} as reason, array_to_string(matched, ' ') as matched, array_to_string(missing, ' ') as missing from gr""",
+        "reranked_corpus": f"with {CK}, {_bm25(False)}, {SIG}, {_features('select * from bm where rank <= 20')} select query_id, r as rank, round(rr_score, 6) as score, example_id, pos from (select *, row_number() over (partition by query_id order by round(rr_score, 9) desc, rank) as r from rr) where r <= 10",
+        "stored_index_search": f"with {CK}, {DE}, l2 as (select q.example_id as query_id, c.example_id, c.pos, list_distance(q.v, c.v) ** 2 as score from qv q join cv c using (example_id)), r as (select *, row_number() over (partition by query_id order by round(score, 9), example_id, pos) as rank from l2) select {_SHOW} from r where rank <= 10",
         "evidence_texts": f"""with {CK}, {BM} select query_id, string_agg('[CHUNK ' || chunk_id || ']' || chr(10) || 'type: ' || chunk_type || chr(10) || 'section: ' || section || chr(10) || 'source_ids: ' || source_id || chr(10) || 'content:' || chr(10) || content, chr(10) || chr(10) order by rank) as evidence
           from bm join ck using (example_id, pos) where rank <= 3 group by query_id""",
         "answer_matches": f"""with {_MATCH} select prediction_id, coalesce({_NORM('predicted_answer')} = {_NORM('gold_answer')}, false) as exact,
@@ -265,10 +318,16 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"round(coalesce(avg({c}) filter (where ok), 0), 6) as avg_{c}" for c in ("total_ms", "retrieval_ms", "generation_ms", "estimated_cost_usd", "embedding_calls", "generation_calls", "retrieved_chunks"))
         + " from d",
         "cost_estimates": f"with {PR} select route_method, count(*) as predictions, round(coalesce(sum(input_tokens / 1000000 * 0.4 + output_tokens / 1000000 * 2.0), 0), 6) as cost from pr group by all",
-        "predictions_csv": f"""with {PR} select prediction_id, coalesce(case when exact_match then 'True' else 'False' end, '') as exact_match, coalesce(printf('%.2f', total_ms), '') as total_ms, coalesce(printf('%.8f', estimated_cost_usd), '') as estimated_cost_usd,
-          coalesce(array_to_string(retrieved_chunk_ids, ' '), '') as retrieved_chunk_ids, coalesce(array_to_string(cited_chunk_ids, ' '), '') as cited_chunk_ids, coalesce(error, '') as error from pr""",
+        "predictions_csv": f"with {PR} select prediction_id, {_LINES} from pr",
+        "predictions_read_back": f"""with {PR} select prediction_id, coalesce(exact_match, false) as exact_match, evidence_grade_sufficient, printf('%.2f', total_ms)::double as total_ms, input_tokens, nullif(answer_unit, '') as answer_unit,
+          len({_WORDS.format('retrieved_chunk_ids')})::int as retrieved, array_to_string({_WORDS.format('cited_chunk_ids')}, '|') as cited from pr""",
+        "answer_evaluation": _answers(),
         "retrieval_metrics": f"{grid} select query_id, round(reciprocal_rank, 6) as reciprocal_rank, " + ", ".join(f"round(hit_{k}, 6) as hit_{k}, round(recall_{k}, 6) as recall_{k}" for k in evaluation.CUTOFFS) + " from me",
-        "retrieval_failures": f"{grid} select query_id, round(reciprocal_rank, 6) as reciprocal_rank from me where hit_5 = 0",
+        "retrieval_failures": f"with {CK}, {BM}, {_METRICS}, {_ids(5)} select query_id as example_id, coalesce(question, '') as question, gold_ids, retrieved_ids from me join ids using (query_id) where hit_5 = 0",
+        "grader_file": f"""with {CK}, {BM}, {SIG}, {_METRICS}, {_grades('select * from bm where rank <= 10')}, {_ids(10)}
+          select query_id as example_id, coalesce(question, '') as question, gold_ids, retrieved_ids, case when sufficient then 'True' else 'False' end as is_sufficient, case when sufficient then 'False' else 'True' end as needs_retry, (least(points, 100) / 100)::varchar as confidence,
+          coalesce({_REASON}, '') as missing_reason, array_to_string(matched, ' ') as matched_signals, array_to_string(missing, ' ') as missing_signals, case when hit_10 > 0 then 'True' else 'False' end as has_any_gold_evidence,
+          case when query_id not in (select query_id from gold) or recall_10 >= 1 then 'True' else 'False' end as has_all_gold_evidence from gr join me using (query_id) join ids using (query_id)""",
         "grader_summary": f"""with {CK}, {BM}, {SIG}, {_METRICS}, {_grades('select * from bm where rank <= 10')}, z as (select sufficient, hit_10 > 0 as a, query_id not in (select query_id from gold) or recall_10 >= 1 as l from gr join me using (query_id))
           select count(*) as examples, round(avg(sufficient::int), 6) as sufficient_rate, round(avg(a::int), 6) as any_gold_rate, round(avg(l::int), 6) as all_gold_rate, round(avg((sufficient and not a)::int), 6) as false_sufficient_rate, round(avg((not sufficient and a)::int), 6) as false_insufficient_rate from z""",
         "failure_classes": f"with {_FAIL} select prediction_id, failure_category, array_to_string(gold_ids, ' ') as gold_ids, array_to_string(retrieved_gold_ids, ' ') as retrieved_gold_ids, array_to_string(missing_gold_ids, ' ') as missing_gold_ids from fl",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import answers, dense
+from ..session import materialize
 
 
 class Embedder(Protocol):
@@ -72,7 +73,7 @@ class ServiceEmbedder:
                 column[there] = pd.Series(vectors, index=part.index[there], dtype=object)
                 yield part.assign(**{out: column})
 
-        return df.mapInPandas(run, schema)
+        return materialize(df.mapInPandas(run, schema), "embedded")  # so that no text is sent twice
 
 
 class TopChunkAnswerer:
@@ -88,7 +89,7 @@ class TopChunkAnswerer:
 
 
 class ServiceAnswerer:
-    """Payloads from a service, one prompt a text."""
+    """Payloads from a service, one prompt a text; it gives a payload, or a payload with its input, output and total tokens."""
 
     def __init__(self, call: Callable[[list[str]], list[str]], batch: int = 8, attempts: int = 3) -> None:
         self.call, self.batch, self.attempts = call, batch, attempts
@@ -96,14 +97,17 @@ class ServiceAnswerer:
     def answer(self, asked: DataFrame) -> DataFrame:
         call, batch, attempts = self.call, self.batch, self.attempts
 
-        @F.pandas_udf("string")
-        def run(prompts: pd.Series) -> pd.Series:
+        @F.pandas_udf("payload string, input_tokens long, output_tokens long, total_tokens long")
+        def run(prompts: pd.Series) -> pd.DataFrame:
             out: list = []
             for texts in batches_of(prompts.tolist(), batch):
                 out += with_retries(call, texts, attempts)
-            return pd.Series(out)
+            rows = [(*x, None, None, None)[:4] if isinstance(x, tuple) else (x, None, None, None) for x in out]
+            return pd.DataFrame(rows, columns=["payload", "input_tokens", "output_tokens", "total_tokens"]).astype({c: "Int64" for c in ("input_tokens", "output_tokens", "total_tokens")})
 
-        return asked.withColumn("payload", run(answers.prompt(F.col("question"), F.coalesce("evidence", F.lit("")))))
+        said = asked.withColumn("said", run.asNondeterministic()(answers.prompt(F.col("question"), F.coalesce("evidence", F.lit("")))))
+        said = materialize(said, "payloads")  # so that no prompt is sent twice
+        return said.select(*asked.columns, "said.*")
 
 
 def rewritten(df: DataFrame, call: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
@@ -121,5 +125,6 @@ def rewritten(df: DataFrame, call: Callable[[list[str]], list[str]] | None = Non
         except Exception:  # a failing service leaves it to the rules
             return pd.Series([None] * len(prompts), dtype=object)
 
-    said = F.trim(F.try_variant_get(answers.json_object(run(answers.rewrite_prompt(F.coalesce("question", F.lit(""))))), "$.query", "string"))
-    return df.withColumn("query", F.coalesce(F.when(said != "", said), rule))
+    asked = materialize(df.withColumn("_said", run(answers.rewrite_prompt(F.coalesce("question", F.lit(""))))), "rewrites")  # so that no prompt is sent twice
+    said = F.trim(F.try_variant_get(answers.json_object(F.col("_said")), "$.query", "string"))
+    return asked.withColumn("query", F.coalesce(F.when(said != "", said), rule)).drop("_said")

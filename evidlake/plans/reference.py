@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, calculation, chunking, dense, evaluation, fusion, lexical, ranking, routing
-from ..session import materialize
+from ..operators import answers, calculation, chunking, dense, evaluation, fusion, lexical, ranking, reports, routing
+from ..session import materialize, scratch_path
 from ..sources import artifacts
 from ..sources.tables import table
-from . import pipeline
+from . import pipeline, providers
 
 K = 10
 
@@ -144,12 +144,29 @@ def index_alignment(spark: SparkSession, root: str) -> DataFrame:
     return artifacts.alignment(table(spark, root, "chunks", "chunk_id"), table(spark, root, "chunk_vectors", "chunk_id"))
 
 
+def stored_index_search(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks and vectors stored, loaded and searched inside reports, by the metric that the index was stored with."""
+    path = scratch_path(spark, "index")
+    artifacts.save_chunks(_chunks(spark, root), f"{path}/chunks")
+    vectors = providers.HashedEmbedder().embed(artifacts.load_chunks(spark, f"{path}/chunks"), "content", "embedding")
+    artifacts.save_vectors(vectors, f"{path}/vectors")
+    artifacts.save_metadata(artifacts.load_vectors(spark, f"{path}/vectors"), f"{path}/metadata", "hashed-64", "l2")
+    i = artifacts.load_index(spark, path)
+    return _shown(pipeline.retrieve(_questions(spark, root), i.chunks, pipeline.Settings("dense", top_k=K, metric=i.metric, vectors=i.vectors)))
+
+
 def _embedded(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("v", dense.hashed_embedding(F.col(text)))
 
 
 def _dense_report(spark: SparkSession, root: str, chunks: DataFrame, k: int) -> DataFrame:
-    return dense.search_scope(_embedded(_questions(spark, root), "question"), _embedded(chunks.select("example_id", "pos", "content"), "content"), ["example_id"], k)
+    return reports.search(_embedded(_questions(spark, root), "question"), _embedded(chunks.select("example_id", "pos", "content"), "content"), k, reports.DENSE)
+
+
+def _both_reports(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """Both rankings inside reports, the dense one as number 0."""
+    q, c = _embedded(_questions(spark, root), "question"), _embedded(_chunks(spark, root).select("example_id", "pos", "content"), "content")
+    return reports.rankings(q, c, k).withColumn("no", F.when(F.col("kind") == reports.DENSE, 0).otherwise(1))
 
 
 def dense_topk_report(spark: SparkSession, root: str) -> DataFrame:
@@ -160,8 +177,7 @@ def dense_topk_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hybrid_topk_report(spark: SparkSession, root: str) -> DataFrame:
-    c = _corpus(spark, root)
-    return _shown(fusion.reciprocal_rank_fusion([_dense_report(spark, root, c, K), lexical.search_reports(_questions(spark, root), c, K)], K))
+    return _shown(fusion.fused_ranking(_both_reports(spark, root, K), K))
 
 
 def neighbor_expansion(spark: SparkSession, root: str) -> DataFrame:
@@ -170,8 +186,7 @@ def neighbor_expansion(spark: SparkSession, root: str) -> DataFrame:
 
 
 def merged_results(spark: SparkSession, root: str) -> DataFrame:
-    c = _corpus(spark, root)
-    return _shown(fusion.merge_results(_dense_report(spark, root, c, 5), lexical.search_reports(_questions(spark, root), c, 5), 5))
+    return _shown(fusion.merged_ranking(_both_reports(spark, root, 5), 5))
 
 
 # ---------------------------------------------------------------- routing, rewriting
@@ -210,6 +225,18 @@ def evidence_grades(spark: SparkSession, root: str) -> DataFrame:
     return g.select("query_id", "sufficient", "needs_retry", "confidence", "reason", F.array_join("matched", " ").alias("matched"), F.array_join("missing", " ").alias("missing"))
 
 
+def reranked_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """Results of all reports together, so that several reports meet in one ranking."""
+    q, c = _questions(spark, root), _corpus(spark, root)
+    return _shown(ranking.rerank(lexical.search_corpus(q, c, 20), q, c, K))
+
+
+def evidence_grades_corpus(spark: SparkSession, root: str) -> DataFrame:
+    q, c = _questions(spark, root), _corpus(spark, root)
+    g = ranking.grade(q, lexical.search_corpus(q, c, 5), c)
+    return g.select("query_id", "sufficient", "needs_retry", "confidence", "reason", F.array_join("matched", " ").alias("matched"), F.array_join("missing", " ").alias("missing"))
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -305,26 +332,54 @@ def cost_estimates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def predictions_csv(spark: SparkSession, root: str) -> DataFrame:
-    return artifacts.prediction_lines(_predictions(spark, root)).select("prediction_id", "exact_match", "total_ms", "estimated_cost_usd", "retrieved_chunk_ids", "cited_chunk_ids", "error")
+    """The predictions file: all 39 fields as texts."""
+    return artifacts.prediction_lines(_predictions(spark, root))
+
+
+def predictions_read_back(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the predictions file with their types again."""
+    p = artifacts.typed_predictions(artifacts.prediction_lines(_predictions(spark, root)))
+    return p.select("prediction_id", "exact_match", "evidence_grade_sufficient", "total_ms", "input_tokens", "answer_unit", F.size("retrieved_chunk_ids").alias("retrieved"), F.array_join("cited_chunk_ids", "|").alias("cited"))
+
+
+def answer_evaluation(spark: SparkSession, root: str) -> DataFrame:
+    """Answers to all examples held against their gold answers: the predictions file without its times."""
+    examples = materialize(_examples(spark, root), "examples")
+    rows = pipeline.evaluate_answers(examples, _corpus(spark, root), pipeline.Settings("bm25", top_k=3), correct=False)
+    lists = {c: F.array_join(c, " ").alias(c) for c in ("retrieved_chunk_ids", "cited_chunk_ids")}
+    return rows.select(*(lists.get(c, F.col(c)) for c in rows.columns if not c.endswith("_ms")))
 
 
 # ---------------------------------------------------------------- evaluation
 
 
-def _metrics(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _corpus(spark, root)
-    r = pipeline.retrieve(q, c, pipeline.Settings("bm25", top_k=K, candidate_k=K))
-    return evaluation.retrieval_metrics(q, r, c, evaluation.gold_rows(_examples(spark, root)))
+def _measured(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(questions, results, chunks, gold)"""
+    q, c = materialize(_questions(spark, root), "questions"), _corpus(spark, root)
+    r = materialize(pipeline.retrieve(q, c, pipeline.Settings("bm25", top_k=K, candidate_k=K)), "results")
+    return q, r, c, evaluation.gold_rows(_examples(spark, root))
 
 
 def retrieval_metrics(spark: SparkSession, root: str) -> DataFrame:
-    m = _metrics(spark, root)
+    m = evaluation.retrieval_metrics(*_measured(spark, root))
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
 
 
 def retrieval_failures(spark: SparkSession, root: str) -> DataFrame:
-    """Questions without a hit among the first five."""
-    return _metrics(spark, root).where("hit_5 = 0").select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    """Questions without a hit among the first five: the lines of the failures file."""
+    q, r, c, gold = _measured(spark, root)
+    return artifacts.retrieval_failure_lines(q, evaluation.retrieval_metrics(q, r, c, gold), evaluation.id_lists(q, r, c, gold, 5), 5)
+
+
+def _graded(spark: SparkSession, root: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    q, r, c, gold = m = _measured(spark, root)
+    return evaluation.grader_rows(ranking.grade(q, r, c), r, c, gold), m
+
+
+def grader_file(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of the grader file."""
+    rows, m = _graded(spark, root)
+    return artifacts.grader_lines(rows.join(m[0].select("query_id", "question"), "query_id").join(evaluation.id_lists(*m, K), "query_id"))
 
 
 def experiment_grid(spark: SparkSession, root: str) -> DataFrame:
@@ -334,10 +389,7 @@ def experiment_grid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grader_summary(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _corpus(spark, root)
-    r = lexical.search_reports(q, c, K)
-    rows = evaluation.grader_rows(ranking.grade(q, r, c), r, c, evaluation.gold_rows(_examples(spark, root)))
-    s = evaluation.grader_summary(rows)
+    s = evaluation.grader_summary(_graded(spark, root)[0])
     return s.select("examples", *(F.round(x, 6).alias(x) for x in s.columns[1:]))
 
 
@@ -356,8 +408,8 @@ def failure_counts(spark: SparkSession, root: str) -> DataFrame:
 
 NAMES = (
     "chunk_corpus", "chunk_counts", "chunk_gold_overlap", "example_profile", "examples_limit", "token_counts", "content_term_counts", "number_counts", "year_counts", "parsed_numbers",
-    "bm25_corpus_stats", "bm25_term_stats", "bm25_topk_report", "bm25_topk_corpus", "dense_topk_cosine", "dense_topk_l2", "dense_topk_scoped", "vector_norms", "index_alignment", "dense_topk_report",
-    "hybrid_topk_report", "neighbor_expansion", "merged_results", "route_signals", "route_decisions", "rewritten_questions", "rerank_features", "reranked", "evidence_grades",
-    "adaptive_retrieval", "corrective_retrieval", "offline_answers", "adaptive_retrieval_corpus", "corrective_retrieval_corpus", "offline_answers_corpus", "evidence_texts", "calculation_runs", "finished_answers", "answer_matches", "answer_summary", "cost_estimates", "predictions_csv",
-    "retrieval_metrics", "retrieval_failures", "experiment_grid", "grader_summary", "failure_classes", "failure_counts",
+    "bm25_corpus_stats", "bm25_term_stats", "bm25_topk_report", "bm25_topk_corpus", "dense_topk_cosine", "dense_topk_l2", "dense_topk_scoped", "vector_norms", "index_alignment", "stored_index_search", "dense_topk_report",
+    "hybrid_topk_report", "neighbor_expansion", "merged_results", "route_signals", "route_decisions", "rewritten_questions", "rerank_features", "reranked", "evidence_grades", "reranked_corpus", "evidence_grades_corpus",
+    "adaptive_retrieval", "corrective_retrieval", "offline_answers", "adaptive_retrieval_corpus", "corrective_retrieval_corpus", "offline_answers_corpus", "evidence_texts", "calculation_runs", "finished_answers", "answer_matches", "answer_summary", "cost_estimates", "predictions_csv", "predictions_read_back", "answer_evaluation",
+    "retrieval_metrics", "retrieval_failures", "experiment_grid", "grader_summary", "grader_file", "failure_classes", "failure_counts",
 )

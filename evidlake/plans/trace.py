@@ -1,4 +1,8 @@
-"""Times, calls and tokens of a pipeline run."""
+"""Times of a pipeline run by stage, and prices of tokens.
+
+Calls and tokens are columns of the answers, by question; only the wall times of the
+stages, which run for all questions together, are kept on the driver.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +12,21 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 #: prices in dollars per million tokens are read from these variables
 INPUT_PRICE, OUTPUT_PRICE = "EVIDLAKE_INPUT_COST_PER_1M", "EVIDLAKE_OUTPUT_COST_PER_1M"
+# The stages with a time in the predictions file.
+STAGES = ("total", "retrieval", "generation", "evidence_grading", "query_rewrite", "corrective_retrieval", "calculation_execution")
 
 
-def price(name: str) -> float | None:
-    """A price from the environment; None if it is not set or blank."""
-    value = os.environ.get(name, "").strip()
-    return float(value) if value else None
+def prices() -> tuple[float, float] | None:
+    """Input and output price; None unless both are set."""
+    said = [os.environ.get(name, "").strip() for name in (INPUT_PRICE, OUTPUT_PRICE)]
+    return (float(said[0]), float(said[1])) if all(said) else None
 
 
 @dataclass
 class Trace:
     stage_ms: dict[str, float] = field(default_factory=dict)
-    embedding_calls: int = 0
-    generation_calls: int = 0
-    rewrite_calls: int = 0
-    input_tokens: int = 0
-    output_tokens: int = 0
-    total_tokens: int = 0
 
     @contextmanager
     def stage(self, name: str) -> Iterator[None]:
@@ -40,18 +37,6 @@ class Trace:
         finally:
             self.stage_ms[name] = self.stage_ms.get(name, 0.0) + (time.perf_counter() - began) * 1000
 
-    def add_tokens(self, input_tokens: int, output_tokens: int, total: int | None = None) -> None:
-        """The service's total, or else the sum."""
-        self.input_tokens += input_tokens
-        self.output_tokens += output_tokens
-        self.total_tokens += total or input_tokens + output_tokens
-
-    def count_embeddings(self, routed: DataFrame) -> None:
-        """One call per question with a dense part; questions out of scope have a dense route, so they count."""
-        self.embedding_calls += routed.where(F.col("route.method").isin("dense", "hybrid")).count()
-
-    @property
-    def cost(self) -> float | None:
-        """Dollars; None unless both prices are known."""
-        i, o = price(INPUT_PRICE), price(OUTPUT_PRICE)
-        return None if i is None or o is None else self.input_tokens / 1e6 * i + self.output_tokens / 1e6 * o
+    def shared(self, questions: int) -> dict[str, float]:
+        """The times of one of so many questions."""
+        return {name: ms / max(questions, 1) for name, ms in self.stage_ms.items()}

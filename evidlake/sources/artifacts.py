@@ -6,9 +6,13 @@ checks work on counts and anti-joins, nothing is gathered but one row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation
+
 
 def save_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
@@ -31,8 +35,8 @@ def ensure_chunks(spark: SparkSession, path: str, build, rebuild: bool = False)
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
-    """(chunk_id, embedding)"""
-    vectors.select("chunk_id", "embedding").write.mode("overwrite").parquet(path)
+    """(chunk_id, example_id, pos, embedding), as far as there"""
+    vectors.select(*(c for c in ("chunk_id", "example_id", "pos", "embedding") if c in vectors.columns)).write.mode("overwrite").parquet(path)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +73,28 @@ def validate_alignment(chunks: DataFrame, vectors: DataFrame, metadata: DataFram
         raise ValueError("chunk ids differ between chunks and vectors")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored chunks with their vectors, model and metric."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    model: str
+    metric: str
+    dims: int
+
+
+def load_index(spark: SparkSession, path: str, validate: bool = True) -> Index:
+    """The artifacts of a folder together; an error if they do not belong to each other."""
+    chunks, vectors, metadata = load_chunks(spark, f"{path}/chunks"), load_vectors(spark, f"{path}/vectors"), load_metadata(spark, f"{path}/metadata")
+    row = metadata.first()
+    if row is None:
+        raise ValueError(f"no metadata in {path}")
+    if validate:
+        validate_alignment(chunks, vectors, metadata)
+    return Index(chunks, vectors.select("example_id", "pos", F.col("embedding").alias("v")), row["model"], row["metric"], row["embedding_dimension"] or 0)
+
+
 # ---------------------------------------------------------------- sinks
 
 
@@ -84,24 +110,63 @@ def _yes(c: str) -> Column:
     return F.coalesce(F.initcap(F.col(c).cast("string")), F.lit(""))
 
 
-# Columns of the predictions file by their form.
-_TEXTS = "example_id question gold_answer predicted_answer calculation calculation_steps answer_unit answer_scale executed_answer execution_error error evidence_grade_reason route_method".split()
+# Columns of the predictions file by their form; all others are texts.
 _FLAGS = "exact_match numerical_match citation_valid insufficient_evidence evidence_grade_sufficient used_rerank used_evidence_grader used_corrective_retry".split()
 _TIMES = "total_ms retrieval_ms generation_ms evidence_grading_ms query_rewrite_ms corrective_retrieval_ms calculation_execution_ms".split()
 _COUNTS = "embedding_calls generation_calls rewrite_calls input_tokens output_tokens total_tokens retrieved_chunks".split()
+_LISTS = "retrieved_chunk_ids cited_chunk_ids".split()
+_NUMBERS = [*_TIMES, "estimated_cost_usd", "evidence_grade_confidence"]
 
 
 def prediction_lines(p: DataFrame) -> DataFrame:
-    """Predictions as texts: two decimals for times, eight for costs, ids joined by blanks, nulls empty."""
-    number = lambda c, form: F.coalesce(F.format_string(form, F.col(c)), F.lit(""))
-    number = lambda c, form, n=number: F.when(F.col(c).isNull(), "").otherwise(n(c, form))
-    kept = [c for c in ("prediction_id",) if c in p.columns]
-    return p.select(
-        *kept, *(_blank(c).alias(c) for c in _TEXTS), *(_yes(c).alias(c) for c in _FLAGS), *(number(c, "%.2f").alias(c) for c in _TIMES), *(_blank(c).alias(c) for c in _COUNTS),
-        number("estimated_cost_usd", "%.8f").alias("estimated_cost_usd"), _blank("evidence_grade_confidence").alias("evidence_grade_confidence"), _list("retrieved_chunk_ids").alias("retrieved_chunk_ids"), _list("cited_chunk_ids").alias("cited_chunk_ids"),
+    """Predictions as texts in the order of the file: two decimals for times, eight for costs, ids joined by blanks, nulls empty."""
+
+    def shown(c: str) -> Column:
+        if c in _FLAGS:
+            return _yes(c)
+        if c in _LISTS:
+            return _list(c)
+        if c in _TIMES or c == "estimated_cost_usd":
+            return F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.2f" if c in _TIMES else "%.8f", F.col(c)))
+        return _blank(c)
+
+    return p.select(*(c for c in ("prediction_id",) if c in p.columns), *(shown(c).alias(c) for c in evaluation.PREDICTION))
+
+
+def typed_predictions(lines: DataFrame) -> DataFrame:
+    """Lines of the predictions file with their types again; empty texts of optional fields are null."""
+
+    def typed(c: str) -> Column:
+        if c in _FLAGS:
+            return F.when(F.col(c) == "", None).otherwise(evaluation.parse_bool(F.col(c))) if c == "evidence_grade_sufficient" else evaluation.parse_bool(F.col(c))
+        if c in _LISTS:
+            return evaluation.split_ids(F.col(c))
+        if c in _COUNTS or c in _NUMBERS:
+            return F.col(c).try_cast("int" if c in _COUNTS else "double")
+        return F.col(c) if c in ("example_id", "question", "gold_answer", "predicted_answer", "calculation_steps") else F.nullif(F.col(c), F.lit(""))
+
+    return lines.select(*(typed(c).alias(c) if c in evaluation.PREDICTION else c for c in lines.columns))
+
+
+def grader_lines(rows: DataFrame) -> DataFrame:
+    """Graded questions as lines of the grader file."""
+    texts = {"is_sufficient": _yes("sufficient"), "needs_retry": _yes("needs_retry"), "confidence": _blank("confidence"), "missing_reason": _blank("reason"), "matched_signals": _list("matched"), "missing_signals": _list("missing")}
+    return rows.select(
+        F.col("query_id").alias("example_id"), _blank("question").alias("question"), _list("gold_ids").alias("gold_ids"), _list("retrieved_ids").alias("retrieved_ids"),
+        *(v.alias(c) for c, v in texts.items()), _yes("any_gold").alias("has_any_gold_evidence"), _yes("all_gold").alias("has_all_gold_evidence"),
     )
 
 
+def retrieval_failure_lines(questions: DataFrame, metrics: DataFrame, lists: DataFrame, cutoff: int) -> DataFrame:
+    """Questions without a hit among the first ``cutoff`` results as lines of the failures file."""
+    missed = questions.select("query_id", "question").join(metrics.where(F.col(f"hit_{cutoff}") == 0).select("query_id"), "query_id", "left_semi").join(lists, "query_id")
+    return missed.select(F.col("query_id").alias("example_id"), _blank("question").alias("question"), _list("gold_ids").alias("gold_ids"), _list("retrieved_ids").alias("retrieved_ids"))
+
+
+def default_failures_path(method: str, scope: str, folder: str = "results") -> str:
+    return f"{folder}/{method}_{scope}_retrieval_failures.csv"
+
+
 def failure_lines(f: DataFrame) -> DataFrame:
     lists, flags = "gold_ids retrieved_gold_ids missing_gold_ids retrieved_chunk_ids cited_chunk_ids".split(), "exact_match numerical_match citation_valid insufficient_evidence".split()
     return f.select(*(_blank(c).alias(c) for c in "example_id failure_category question gold_answer predicted_answer error".split()), *(_list(c).alias(c) for c in lists), *(_yes(c).alias(c) for c in flags))

@@ -14,10 +14,19 @@ RECORD = (
 
 
 def load_raw(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(ord, record). A file of lines is split by Spark; one array is read by one task."""
+    """(ord, record) of a file or a folder; ``ord`` is the place: file, then place in the file.
+
+    A file of lines is split by Spark, and lines that are no records are passed over; one array is
+    read by one task, and a file that holds no array of records is an error.
+    """
+    file = F.col("_metadata.file_path").alias("file")
     if lines:
-        return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.from_json("value", RECORD).alias("record")).where(F.col("record").isNotNull())
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{RECORD}>")).alias("ord", "record"))
+        at = F.struct(file, (F.col("_metadata.file_block_start").cast("decimal(38,0)") * (1 << 62) + F.monotonically_increasing_id()).alias("place"))
+        return spark.read.text(path).select(at.alias("ord"), F.from_json("value", RECORD).alias("record")).where(F.col("record").isNotNull())
+    read = F.from_json("value", f"array<{RECORD}>")
+    read = F.when(read.isNull(), F.raise_error(F.concat(F.lit("no array of records in "), F.col("file")))).otherwise(read)
+    rows = spark.read.text(path, wholetext=True).select(file, "value").select("file", F.posexplode(read).alias("place", "record"))
+    return rows.select(F.struct("file", F.col("place").cast("decimal(38,0)").alias("place")).alias("ord"), "record")
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -37,6 +46,6 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def load_examples(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
-    """Examples in file order, the first ``limit`` of them."""
+    """Examples in the order of files, the first ``limit`` of them."""
     out = parse(load_raw(spark, path, lines))
-    return out if limit is None else out.where(F.col("ord") < limit) if not lines else out.orderBy("ord").limit(limit)
+    return out if limit is None else out.orderBy("ord").limit(limit)

@@ -127,6 +127,13 @@ def test_report_files(spark, tmp_path):
     assert [(r.example_id, r.gold_evidence, r.metadata.gold_numeric_answer) for r in df.orderBy("ord").collect()] == [("E", {}, "0.03"), ("F", {}, "0.03")]
     assert reports.load_examples(spark, str(tmp_path / "a.json"), limit=1).count() == 1
     assert reports.load_examples(spark, str(tmp_path / "l.json"), limit=2, lines=True).count() == 2
+    (tmp_path / "d").mkdir()
+    for n, ids in (("1", "AB"), ("2", "CD")):
+        (tmp_path / "d" / f"{n}.json").write_text(json.dumps([{**RECORD, "id": i} for i in ids]))
+    assert sorted(r.example_id for r in reports.load_examples(spark, str(tmp_path / "d"), limit=3).collect()) == ["A", "B", "C"]
+    (tmp_path / "n.json").write_text('[{"id": ')
+    with pytest.raises(Exception, match="no array of records"):
+        reports.load_examples(spark, str(tmp_path / "n.json")).collect()
     (tmp_path / "b.json").write_text(json.dumps([{**RECORD, "filename": None}]))
     with pytest.raises(Exception, match="lacks a required field"):
         reports.load_examples(spark, str(tmp_path / "b.json")).collect()
@@ -154,3 +161,12 @@ def test_artifacts(spark, tmp_path):
     artifacts.save_summary(runs, str(tmp_path / "s"))
     assert {r.name: (r.hit, r.mrr) for r in artifacts.load_csv(spark, str(tmp_path / "s")).collect()} == {"a": (None, "0.5"), "b": ("1.0", None)}
     artifacts.save_manifest(runs, str(tmp_path / "manifest"))
+
+
+def test_string_arguments_quotes_and_steps(spark):
+    payload = '{"answer": "x", "citations": [{"chunk_id": "table_1", "quote": "q1"}, {"chunk_id": "CHUNK a"}], "calculation_steps": [{"operation": "add", "arguments": "12"}, {"operation": "a\\"b"}]}'
+    r = spark.createDataFrame([("q", payload, [("a", ["text_0"]), ("b", ["table_1"])])], "query_id string, payload string, retrieved array<struct<chunk_id:string,source_ids:array<string>>>")
+    a = answers.finished(r).first()
+    assert [(c.chunk_id, c.quote) for c in a.citations] == [("b", "q1"), ("a", "")] and a.retrieved_chunk_ids == ["a", "b"]
+    assert a.calculation_steps == '[{"operation": "add", "arguments": ["1", "2"]}, {"operation": "a\\"b", "arguments": []}]'
+    assert answers.finished(r.withColumn("payload", F.lit("{}"))).first().calculation_steps == ""

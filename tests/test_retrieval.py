@@ -1,13 +1,17 @@
+import collections
 import math
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidlake.functions import text as T
-from evidlake.operators import chunking, dense, fusion, lexical, ranking, routing
+from evidlake.operators import chunking, dense, evaluation, fusion, lexical, ranking, reports, routing, topk
 from evidlake.plans import pipeline, providers
-from evidlake.plans.trace import INPUT_PRICE, OUTPUT_PRICE, Trace
+from evidlake.plans.trace import INPUT_PRICE, OUTPUT_PRICE, Trace, prices
 
 EXAMPLE = "example_id string, document_id string, question string, pre_text array<string>, table_rows array<array<string>>, post_text array<string>, gold_evidence map<string,string>, answer string, gold_program string"
 RESULT = "query_id string, rank int, score double, example_id string, pos int"
@@ -179,7 +183,8 @@ def test_pipeline(spark, corpus):
         assert ("H" in ranks) == (scope == "global" and method != "adaptive")
     trace = Trace()
     a = {r.query_id: r for r in pipeline.answer(q, chunks, pipeline.Settings("adaptive"), rewriter=lambda ts: ['{"query": "revenue"}'] * len(ts), trace=trace).collect()}
-    assert {"retrieval", "evidence_grading", "generation"} <= set(trace.stage_ms) and trace.embedding_calls >= 3 and trace.generation_calls == 2
+    assert {"retrieval", "evidence_grading", "generation", "query_rewrite", "corrective_retrieval", "calculation_execution"} <= set(trace.stage_ms)
+    assert sum(x.embedding_calls for x in a.values()) >= 3 and sum(x.generation_calls for x in a.values()) == 2 and all(x.embedding_calls == 1 + x.rewrite_calls for x in a.values())
     assert a["H"].answer == "Insufficient evidence" and a["H"].insufficient_evidence and a["E"].error is None and a["E"].cited
 
 
@@ -207,11 +212,76 @@ def test_trace(monkeypatch):
     t = Trace()
     with t.stage("a"), t.stage("a"):
         pass
-    t.add_tokens(1_000_000, 500_000)
-    t.add_tokens(1, 1, 5)
-    assert set(t.stage_ms) == {"a"} and t.total_tokens == 1_500_005
+    assert set(t.stage_ms) == {"a"} and t.shared(4)["a"] == t.stage_ms["a"] / 4 and t.shared(0) == t.stage_ms
     monkeypatch.setenv(INPUT_PRICE, "2")
     monkeypatch.setenv(OUTPUT_PRICE, " ")
-    assert t.cost is None
+    assert prices() is None
     monkeypatch.setenv(OUTPUT_PRICE, "4")
-    assert t.cost == pytest.approx(4.0, rel=1e-5)
+    assert prices() == (2.0, 4.0)
+
+
+def test_usage_and_cost(spark, corpus):
+    chunks, corpus = chunking.chunks(corpus), corpus.withColumn("metadata", F.struct(F.lit("5").alias("gold_numeric_answer")))
+    q = corpus.select(F.col("example_id").alias("query_id"), "example_id", "question")
+    body = '{"answer": "5", "citations": [], "calculation_steps": [{"operation": "add", "arguments": [1, "2"]}], "insufficient_evidence": false}'
+    service = providers.ServiceAnswerer(lambda ts: [(body, 1_000_000, 500_000, None)] + [(body, 7, 1, 9)] * (len(ts) - 1))
+    a = pipeline.evaluate_answers(corpus, chunks, pipeline.Settings("bm25"), service, correct=False, prices=(2.0, 4.0)).collect()
+    assert {x.estimated_cost_usd for x in a if x.total_tokens > 9} == {4.0} and {(x.input_tokens, x.output_tokens, x.total_tokens) for x in a} <= {(1_000_000, 500_000, 1_500_000), (7, 1, 9), (0, 0, 0)}
+    assert all(x.calculation_steps == '[{"operation": "add", "arguments": [1, "2"]}]' and x.executed_answer == "3" for x in a if x.error is None)
+    assert q.count() == len(a) and a[0].asDict().keys() == dict.fromkeys(evaluation.PREDICTION).keys()
+
+
+def test_answer_experiment(spark, corpus):
+    corpus = corpus.withColumn("metadata", F.struct(F.lit("yes").alias("gold_numeric_answer")))
+    rows = pipeline.answer_experiment(corpus, chunking.chunks(corpus), pipeline.Settings(), ("bm25",)).collect()
+    assert [(r.method, r.corrective, r.examples, r.error_rate) for r in rows] == [("bm25", False, 3, 1.0), ("bm25", True, 3, 1.0)]  # no numbers to compare with
+
+
+def plain_bm25(question, contents):
+    """Scores of one report in plain Python."""
+    words = [re.findall(T.TOKEN, (c or "").lower()) for c in contents]
+    n, mean = len(words), sum(map(len, words)) / max(len(words), 1)
+    df = collections.Counter(t for w in words for t in set(w))
+    plain = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    low = 0.25 * sum(plain.values()) / max(len(plain), 1)
+    score = lambda w: sum((low if plain[t] < 0 else plain[t]) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in re.findall(T.TOKEN, (question or "").lower()) if t in plain)
+    return [score(w) for w in words]
+
+
+def test_many_reports_in_batches(spark):
+    rng = random.Random(3)
+    words = "revenue cost 2008 $5 tax net rate".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) if n else None
+    sizes = {f"r{i:03}": rng.choice([0, 1, 2, 7, 30]) for i in range(60)} | {"hot": 2500}
+    chunks = [(r, i, text(rng.randrange(9)), [rng.random(), rng.random()] if rng.random() < 0.9 else None) for r, n in sizes.items() for i in range(n)]
+    asked = [(f"q{i}", rng.choice([*sizes, "unknown"]), text(rng.randrange(5)), [rng.random(), rng.random()]) for i in range(150)] + [("none", None, "tax", [1.0, 0.0]), ("odd", "hot", "tax", [1.0]), ("h", "hot", "tax tax", None)]
+    c, q = spark.createDataFrame(chunks, "example_id string, pos int, content string, v array<double>").repartition(3), spark.createDataFrame(asked, "query_id string, example_id string, question string, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for metric in ("cosine", "l2"):
+            got = {}
+            for r in reports.rankings(q, c, 4, metric=metric).collect():
+                got.setdefault((r.kind, r.query_id), []).append((r["rank"], r.pos, round(r.score, 7)))
+            for query_id, report, question, v in asked:
+                own = sorted(x[1:] for x in chunks if x[0] == report)
+                words_of = [(-round(s, 9), p) for s, (p, _, _) in zip(plain_bm25(question, [x[1] for x in own]), own)]
+                near = [(-round(sum(a * b for a, b in zip(v, w)) / (math.hypot(*v) * math.hypot(*w)), 9) if metric == "cosine" else round(sum((a - b) ** 2 for a, b in zip(v, w)), 9), p) for p, _, w in own if v and w and len(v) == len(w)]
+                for kind, scored in (("lexical", words_of), ("dense", near)):
+                    assert [p for _, p, _ in sorted(got.get((kind, query_id), []))] == [p for _, p in sorted(scored)[:4]], (kind, query_id)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_best_of_many_batches():
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 40):
+        best, rows = topk.Best(5, k), []
+        for _ in range(6):
+            ids, pos = np.sort(rng.integers(0, 9, 50)).astype(str).astype(object), rng.integers(0, 99, 50)
+            order = np.lexsort((pos, ids.astype(str)))
+            ids, pos, scores = ids[order], pos[order], rng.integers(0, 4, (5, 50)) / 3
+            best.add(0, scores[:2], ids, pos), best.add(2, scores[2:], ids, pos)
+            rows += [(q, -round(scores[q, r], 9), ids[r], pos[r]) for q in range(5) for r in range(50)]
+        b = best.batch(list("abcde"), [pa.string(), pa.string(), pa.int64()]).to_pylist()
+        want = [("abcde"[q], i, int(p), -s) for q in range(5) for _, s, i, p in sorted(x for x in rows if x[0] == q)[:k]]
+        assert [(x["query_id"], x["example_id"], x["pos"], round(x["score"], 9)) for x in b] == want
