@@ -8,9 +8,9 @@ document are never looked up. Where SHIFT is zero, the bucket of the suffix bloc
 selects the patterns with the same first block, and direct comparison of all
 words confirms them.
 
-The tables go to the executors as a broadcast of bounded size: items are taken in
-blocks of at most ``MAX_WORDS`` words (one item may exceed it), each a pass over
-the documents. Documents never meet each other; there is no shuffle but the final
+The tables go to the executors as a broadcast of bounded size: about 130 bytes a word of
+the items (numbers in arrays, one table of blocks), items being taken in blocks of at
+most ``MAX_WORDS`` words (one item may exceed it), each a pass over the documents. Documents never meet each other; there is no shuffle but the final
 distinct of the few hits.
 
 Cases: null and empty texts and items shorter than ``run`` words have no
@@ -24,13 +24,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 13
 BLOCK = 3
-MAX_WORDS = 2_000_000
+MAX_WORDS = 500_000
 
 # Characters without a print of their own besides category Cf and control characters.
 _UNPRINTED = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
@@ -67,43 +68,57 @@ def words(text: str | None) -> list[str]:
 
 
 class Patterns:
-    """SHIFT and suffix-hash tables for the runs of some items."""
+    """SHIFT and suffix-hash tables for the runs of some items.
+
+    ``block`` holds for the number of a block of words how far the window may jump or, where a run
+    ends with the block, minus the number of its suffix bucket; ``ends`` are the buckets'
+    borders in ``starts``, the places in ``words`` where their runs begin.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN) -> None:
         self.run, self.jump = run, run - BLOCK + 1
         self.number: dict[str, int] = {}
-        self.shift: dict[tuple[int, ...], int] = {}
-        self.suffix: dict[tuple[int, ...], dict[tuple[int, ...], set[tuple[tuple[int, ...], int]]]] = {}
         self.windows: dict[int, int] = {}
+        parts, owners, places = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words(text)]
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in words(text)], dtype=np.int32)
             self.windows[item] = max(self.windows.get(item, 0), len(ids) - run + 1)
-            for start in range(len(ids) - run + 1):
-                pattern = tuple(ids[start : start + run])
-                for end in range(BLOCK, run + 1):
-                    block = pattern[end - BLOCK : end]
-                    self.shift[block] = min(self.shift.get(block, self.jump), run - end)
-                self.suffix.setdefault(pattern[-BLOCK:], {}).setdefault(pattern[:BLOCK], set()).add((pattern, item))
+            if len(ids) >= run:
+                parts.append(ids), owners.append(np.full(len(ids), item, dtype=np.int64)), places.append(np.arange(len(ids)))
+        self.words, self.owner, place = np.concatenate(parts), np.concatenate(owners), np.concatenate(places)
+        self.base = len(self.number) + 1
+        w = self.words.astype(np.int64)
+        first = np.flatnonzero(place[: max(len(w) - BLOCK + 1, 0)] <= place[BLOCK - 1 :] - BLOCK + 1) if len(w) else np.zeros(0, dtype=np.int64)  # blocks do not reach into the next item
+        key = (w[first] * self.base + w[first + 1]) * self.base + w[first + 2]
+        far = np.maximum(run - BLOCK - place[first], 0)  # no run ends nearer after the block
+        blocks, inverse = np.unique(key, return_inverse=True)
+        least = np.full(len(blocks), self.jump)
+        np.minimum.at(least, inverse, far)
+        last = far == 0
+        order = np.argsort(inverse[last], kind="stable")
+        bucket, sizes = np.unique(inverse[last], return_counts=True)
+        self.starts, self.ends = (first[last] - (run - BLOCK))[order], np.concatenate([[0], np.cumsum(sizes)])
+        least[bucket] = -np.arange(1, len(bucket) + 1)
+        self.block = dict(zip(blocks.tolist(), least.tolist()))
 
     def find(self, text: list[str]) -> dict[int, set[tuple[int, ...]]]:
         """item -> the distinct runs of it that occur."""
         hits: dict[int, set[tuple[int, ...]]] = {}
-        number, shift, jump, run = self.number.get, self.shift.get, self.jump, self.run
+        number, block, jump, run, base = self.number.get, self.block.get, self.jump, self.run, self.base
         at, end = run - 1, len(text)
         while at < end:
             c = number(text[at], -1)
             if c < 0:  # no pattern holds this word: none ends before it is passed
                 at += run
                 continue
-            block = (number(text[at - 2], -1), number(text[at - 1], -1), c)
-            step = shift(block, jump)
-            if step:
+            step = block((number(text[at - 2], -1) * base + number(text[at - 1], -1)) * base + c, jump)
+            if step > 0:
                 at += step
                 continue
-            first = tuple(number(w, -1) for w in text[at - run + 1 : at - run + 1 + BLOCK])
-            for pattern, item in self.suffix[block].get(first, ()):
-                if all(number(w, -1) == p for w, p in zip(text[at - run + 1 : at + 1], pattern)):
-                    hits.setdefault(item, set()).add(pattern)
+            window = [number(w, -1) for w in text[at - run + 1 : at + 1]]
+            for start in self.starts[self.ends[-step - 1] : self.ends[-step]].tolist():
+                if self.words[start : start + run].tolist() == window:
+                    hits.setdefault(int(self.owner[start]), set()).add(tuple(window))
             at += 1
         return hits
 

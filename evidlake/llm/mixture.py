@@ -3,11 +3,12 @@
 Sizes are tokens of a public tokenizer. Documents are counted by source and exact
 token length. A source's budget is its share of the total; it takes whole passes
 over all its documents while they fit, and for what remains a selection by length:
-first the same part of every length, then long ones greedily, then a
-bounded-knapsack dynamic program over the lengths left that meets the rest
-exactly where any selection can, else from below as nearly as possible. Of each
-length the documents with the smallest seeded hashes are taken, so equal seeds give
-equal mixtures.
+the same part of every length up to a room of eight times the longest document, and
+for the room a bounded-knapsack dynamic program over all documents left, which comes
+as near to the budget from below as they can. A budget within the room is met as
+nearly as any selection can; a larger one as nearly as any selection that keeps the
+part taken before. Of each length the documents with the smallest seeded hashes are
+taken, so equal seeds give equal mixtures.
 
 Total: as given, or the largest at which every source that has tokens reaches its
 share without a document being used more than ``max_repeats`` times. Sources
@@ -17,7 +18,9 @@ proportion, and the report says so.
 Distribution: texts are tokenized once and only (id, source, tokens) kept. The
 program runs on one source's histogram - at most one row per distinct length. A
 length that many documents share is split by hash into 1,024 parts, of which only
-the one at the border is cut, so no window holds a whole length.
+the one at the border is cut: what is taken of a length goes out with the lengths
+(a broadcast of one row per source and length), documents are not shuffled but those
+of border parts, which are ranked.
 
 Cases: sources are compared in lower case with one underscore for any separators;
 documents with a null source or one without a target take no part; a null or empty
@@ -43,8 +46,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PARTS = 1024
-#: tokens that the dynamic program fits at most beyond the longest document
+#: tokens that the dynamic program fits, unless eight times the longest document are fewer
 WINDOW = 1 << 16
+#: distinct lengths a source may have for its choices to be broadcast; beyond, they are joined
+LENGTHS = 1 << 20
 
 _ENCODERS: dict[int, object] = {}
 
@@ -83,10 +88,11 @@ def fit_lengths(lengths: dict[int, int], budget: int, window: int = WINDOW) -> d
     total = sum(n * c for n, c in lengths.items())
     if budget >= total:
         return dict(lengths)
-    taken = {n: c * budget // total for n, c in lengths.items()}
+    room = min(budget, window, 8 * max(lengths))
+    taken = {n: c * (budget - room) // total for n, c in lengths.items()}
     left = budget - sum(n * k for n, k in taken.items())
-    for n in sorted(lengths, reverse=True):
-        more = min(lengths[n] - taken[n], max(0, left - window) // n)
+    for n in sorted(lengths, reverse=True):  # what rounding left beyond the room
+        more = min(lengths[n] - taken[n], max(0, left - room) // n)
         taken[n] += more
         left -= more * n
     full, reach, steps = (1 << (left + 1)) - 1, 1, []
@@ -135,10 +141,19 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
 
     wanted = histogram.withColumnRenamed("tokens", "length").join(plan.where(F.col("budget") > 0).select("source", "budget"), "source")
     chosen = wanted.groupBy("source").applyInPandas(choose, "source string, tokens long, passes long, take long")
-    before = F.sum("n").over(Window.partitionBy("source", "tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = parts.withColumn("before", F.coalesce(before, F.lit(0))).join(chosen, ["source", "tokens"]).select("source", "tokens", "part", "passes", (F.col("take") - F.col("before")).alias("take"))
-    place = F.row_number().over(Window.partitionBy("source", "tokens", "part").orderBy("h", "doc_id"))
-    used = hashed.join(cuts, ["source", "tokens", "part"]).withColumn("repeats", F.col("passes") + F.when(place <= F.col("take"), 1).otherwise(0))
+    chosen = materialize(chosen, "chosen")
+    # of each length, the part that holds the last document taken, and how many it gives; parts before it are taken whole
+    upto = F.sum("n").over(Window.partitionBy("source", "tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = parts.withColumn("upto", upto).join(chosen, ["source", "tokens"])
+    border = F.min(F.when((F.col("upto") >= F.col("take")) & (F.col("take") > 0), F.struct("part", (F.col("take") - F.col("upto") + F.col("n")).alias("cut"), "n")))
+    cuts = materialize(counted.groupBy("source", "tokens", "passes").agg(border.alias("b")).select("source", "tokens", "passes", F.coalesce("b.part", F.lit(-1)).alias("border"), F.coalesce("b.cut", F.lit(0)).alias("cut"), F.coalesce("b.n", F.lit(0)).alias("of")), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= LENGTHS else cuts
+    used = hashed.join(cuts, ["source", "tokens"])
+    at_border = (F.col("part") == F.col("border")) & (F.col("cut") < F.col("of"))
+    place = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("h", "doc_id"))
+    cut = used.where(at_border).withColumn("more", F.when(place <= F.col("cut"), 1).otherwise(0))
+    whole = used.where(~at_border).withColumn("more", F.when(F.col("part") <= F.col("border"), 1).otherwise(0))
+    used = cut.unionByName(whole).withColumn("repeats", F.col("passes") + F.col("more"))
     return used.where(F.col("repeats") > 0).select("doc_id", "source", "tokens", "repeats"), plan
 
 

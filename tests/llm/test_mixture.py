@@ -23,6 +23,17 @@ def test_fit_is_near_any_budget(seed):
             assert total == max(every)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_fit_is_exact_within_its_room(seed):
+    rng = random.Random(seed)
+    lengths = {rng.randrange(5, 60): rng.randrange(1, 7) for _ in range(4)}
+    every = {sum(n * k for n, k in zip(lengths, ks)) for ks in itertools.product(*(range(c + 1) for c in lengths.values()))}
+    for budget in range(0, 8 * max(lengths), 7):
+        taken = mixture.fit_lengths(lengths, budget)
+        assert sum(n * k for n, k in taken.items()) == max(x for x in every if x <= budget) and all(0 <= taken[n] <= lengths[n] for n in lengths)
+    assert sum(n * k for n, k in mixture.fit_lengths({42: 9, 13: 6}, 310).items()) == 307
+
+
 def test_large_histogram_is_met_exactly():
     lengths = {n: 1000 for n in range(50, 900, 7)}
     assert sum(n * k for n, k in mixture.fit_lengths(lengths, 12_345_678).items()) == 12_345_678
