@@ -80,14 +80,22 @@ bm as (select *, row_number() over (partition by query_id order by round(score,
 BM = _bm25(True)
 
 _BUCKETS = f"list_transform({_tokens('x')}, lambda t: (('0x' || substr(md5(t), 1, 4))::int % 64))"
-DE = f"""
+_VECTORS = f"""
 cv as (select example_id, pos, list_transform(range(64), lambda i: len(list_filter(b, lambda y: y = i))::double) as v from (select example_id, pos, {_BUCKETS.replace("lower(x)", "lower(content)")} as b from ck)),
-qv as (select example_id, list_transform(range(64), lambda i: len(list_filter(b, lambda y: y = i))::double) as v from (select example_id, {_BUCKETS.replace("lower(x)", "lower(coalesce(question, ''))")} as b from ex)),
+qv as (select example_id, list_transform(range(64), lambda i: len(list_filter(b, lambda y: y = i))::double) as v from (select example_id, {_BUCKETS.replace("lower(x)", "lower(coalesce(question, ''))")} as b from ex))
+"""
+
+
+def _dense(scope: bool) -> str:
+    return f"""{_VECTORS},
 deall as (select q.example_id as query_id, c.example_id, c.pos, case when list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v) = 0 then 0 else list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) end as score
-  from qv q join cv c using (example_id)),
+  from qv q join cv c {'using (example_id)' if scope else 'on true'}),
 de as (select *, row_number() over (partition by query_id order by round(score, 9) desc, example_id, pos) as rank from deall)
 """
 
+
+DE = _dense(True)
+
 _SHOW = "query_id, rank, round(score, 6) as score, example_id, pos"
 
 _RRF = """
@@ -210,6 +218,43 @@ one as (select example_id, lower(t) as l, min(i) as i, arg_min(t, i) as t from e
 select parts.example_id as query_id, coalesce(string_agg(one.t, ' ' order by one.i), {_strip('any_value(question)')}) as query from parts left join one using (example_id) group by parts.example_id"""
 
 
+_RT = f"""
+rt as (select example_id as query_id, case when list_contains(signals, 'out_of_scope') then 'none' when {_NUMERIC} then 'near' when list_contains(signals, 'exact_term') then 'both' else 'dense' end as m from sg),
+fu30 as (select query_id, example_id, pos, sum(1.0 / (60 + rank)) as score, min(no * 1000 + rank) as f from (select 0 as no, * from de where rank <= 30 union all by name select 1 as no, * from bm where rank <= 30) group by all),
+hy as (select query_id, example_id, pos, score, row_number() over (partition by query_id order by round(score, 12) desc, f) as rank from fu30)
+"""
+
+
+def _found(method: str, rerank: bool) -> str:
+    """Results (query_id, rank, score, example_id, pos) of a method, ten of thirty candidates; neighbours beside them where the route asks."""
+    k = 30 if rerank else 10
+    of = lambda table: f"select query_id, rank, score, example_id, pos from {table} where rank <= {k}"
+    seeds = {"dense": of("de"), "bm25": of("bm"), "hybrid": of("hy"), "adaptive": f"{of('de')} and query_id in (select query_id from rt where m in ('near', 'dense')) union all by name {of('hy')} and query_id in (select query_id from rt where m = 'both')"}[method]
+    if rerank:
+        seeds = f"""with se as ({seeds}), {_features('select * from se')} select query_id, r as rank, rr_score as score, example_id, pos from (select *, row_number() over (partition by query_id order by round(rr_score, 9) desc, rank) as r from rr) where r <= 10"""
+    if method != "adaptive":
+        return seeds
+    return f"""with sd as ({seeds}), al as (select query_id, example_id, pos, 0 as late, rank as seed, 0 as shift, score from sd union all
+    select s.query_id, c.example_id, c.pos, 1, s.rank, d, s.score from sd s join rt on rt.query_id = s.query_id and m = 'near' join ck o on o.example_id = s.example_id and o.pos = s.pos join (values (-1), (1)) w(d) on true
+      join ck c on c.example_id = s.example_id and c.section = o.section and c.row_index = o.row_index + d),
+  fi as (select query_id, example_id, pos, arg_min(score, late * 1000000 + seed * 100 + shift) as score, min(late * 1000000 + seed * 100 + shift) as k from al group by all)
+  select query_id, row_number() over (partition by query_id order by k) as rank, score, example_id, pos from fi"""
+
+
+def _grid() -> str:
+    """Metrics of every method against the chunks of all reports."""
+    names = ["reciprocal_rank"] + [f"{n}_{k}" for k in (1, 3, 5, 10) for n in ("hit", "recall")]
+    rows = []
+    for method in ("dense", "bm25", "hybrid", "adaptive"):
+        for rerank in (False, True):
+            per = f"""select g.query_id, count(*) as n, min(rank) as best, """ + ", ".join(f"count(*) filter (where rank <= {k}) as h{k}" for k in (1, 3, 5, 10)) + f""" from gold g left join
+      (select f.query_id, c.example_id || '::' || c.source_id as gold_id, min(rank) as rank from ({_found(method, rerank)}) f join ck c using (example_id, pos) group by all) r on r.query_id = g.query_id and r.gold_id = g.gold_id group by g.query_id"""
+            values = "coalesce(1.0 / best, 0) as reciprocal_rank, " + ", ".join(f"coalesce((h{k} > 0)::int, 0)::double as hit_{k}, coalesce(h{k} / n, 0)::double as recall_{k}" for k in (1, 3, 5, 10))
+            rows.append(f"select '{method}' as method, {str(rerank).lower()} as rerank, count(*) as examples, {', '.join(f'round(avg({n}), 6) as {n}' for n in names)} from (select {values} from ex e left join ({per}) p on p.query_id = e.example_id)")
+    gold = "gold as (select example_id as query_id, example_id || '::' || unnest(map_keys(gold_evidence)) as gold_id from ex)"
+    return f"with {CK}, {_bm25(False)}, {_dense(False)}, {SIG}, {_RT}, {gold} " + " union all ".join(rows)
+
+
 # fixed values: fields of the predictions file by their form
 _FIELDS = {
     "texts": "example_id question gold_answer predicted_answer calculation calculation_steps answer_unit answer_scale executed_answer execution_error error evidence_grade_confidence evidence_grade_reason route_method "
@@ -251,16 +296,10 @@ select example_id, question, gold as gold_answer, case when ok then answer else
 def oracle_sql() -> dict[str, str]:
     count = lambda src, items: f"select term, count(*) as n from (select unnest({items}) as term from {src}) group by term"
     grid = f"with {CK}, {BM}, {_METRICS}"
-    adaptive = f"""rt as (select example_id as query_id, case when list_contains(signals, 'out_of_scope') then 'none' when {_NUMERIC} then 'near' when list_contains(signals, 'exact_term') then 'both' else 'dense' end as m from sg),
-      fu as (select query_id, example_id, pos, sum(1.0 / (60 + rank)) as score, min(no * 1000 + rank) as f from (select 0 as no, * from de where rank <= 30 union all by name select 1 as no, * from bm where rank <= 30) group by all),
-      hy as (select query_id, example_id, pos, score, row_number() over (partition by query_id order by round(score, 12) desc, f) as rank from fu),
-      se as (select d.query_id, example_id, pos, score, rank, m, section, row_index from (select *, 'de' as src from de union all by name select *, 'hy' as src from hy) d join rt using (query_id) join ck using (example_id, pos)
-        where rank <= 10 and (m in ('near', 'dense') and src = 'de' or m = 'both' and src = 'hy')),
-      al as (select query_id, example_id, pos, 0 as late, rank as seed, 0 as shift, score from se union all
-        select s.query_id, c.example_id, c.pos, 1, s.rank, d, s.score from se s join (values (-1), (1)) w(d) on true join ck c on c.example_id = s.example_id and c.section = s.section and c.row_index = s.row_index + d where m = 'near'),
-      fi as (select query_id, example_id, pos, arg_min(score, late * 1000000 + seed * 100 + shift) as score, min(late * 1000000 + seed * 100 + shift) as k from al group by all)"""
     return {
-        "adaptive_retrieval": f"with {CK}, {BM}, {DE}, {SIG}, {adaptive} select query_id, row_number() over (partition by query_id order by k) as rank, round(score, 6) as score, example_id, pos from fi",
+        "adaptive_retrieval": f"with {CK}, {BM}, {DE}, {SIG}, {_RT} select {_SHOW} from ({_found('adaptive', False)})",
+        "adaptive_retrieval_corpus": f"with {CK}, {_bm25(False)}, {_dense(False)}, {SIG}, {_RT} select {_SHOW} from ({_found('adaptive', False)})",
+        "experiment_grid": _grid(),
         "chunk_corpus": f"with {CK} select chunk_id, example_id, document_id, pos::int as pos, chunk_type, section, content, source_id, row_index::int as row_index, text_index::int as text_index, ragged from ck",
         "chunk_counts": f"with {CK} select chunk_type, section, count(*) as chunks, sum(length(content))::bigint as characters from ck group by all",
         "chunk_gold_overlap": f"with {CK} select e.example_id, count(c.chunk_id) as chunks, count(*) filter (where list_contains(map_keys(e.gold_evidence), c.source_id)) as gold_chunks from ex e left join ck c using (example_id) group by e.example_id",

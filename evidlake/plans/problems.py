@@ -269,12 +269,35 @@ a as (select raw_id, no, f, json_extract_string(q, '$.' || f || 's') as v from q
   union all select raw_id, no, f, json_extract_string(q, '$.' || f || 's[' || i || ']') from (select *, unnest(range(json_array_length(q, '$.' || f || 's')::bigint)) as i from (select * from q, (values ('ann_table_row'), ('ann_text_row')) w(f) where json_type(q, '$.' || f || 's') = 'ARRAY')))
 """
 
+# the same nodes with their numbers: the order of json_tree is that of a depth-first traversal
+_P3_SQL_TREE = (
+    _P3_SQL_NODES
+    + r""",
+b as (select raw_id, case when json_type(p, '$.record') = 'OBJECT' then '$.record' else '$' end as base, p from (select raw_id, try_cast(payload as json) as p from raw_records) where p is not null),
+n as (select raw_id, base, row_number() over (partition by raw_id order by j.id) - 1 as pre, j.fullkey as path from b, json_tree(b.p) j),
+rp as (select raw_id, min(pre) filter (where path = base) as record_pre, max(pre) filter (where path = base or starts_with(path, base || '.') or starts_with(path, base || '[')) as record_post from n group by raw_id),
+qp as (select q.raw_id, no, q, min(pre) as question_pre, max(pre) as question_post from q join b using (raw_id) join n on n.raw_id = q.raw_id
+    and (n.path in (n.base || '.qa', n.base || '.qa[' || no || ']') or starts_with(n.path, n.base || '.qa.') or starts_with(n.path, n.base || '.qa[' || no || '].') or starts_with(n.path, n.base || '.qa[' || no || ']['))
+    and (json_type(b.p, n.base || '.qa') = 'OBJECT' or n.path <> n.base || '.qa') where json_type(q) = 'OBJECT' group by all)
+"""
+)
+
 P3_SQL = {
     "p3_found": f"""with {_P3_SQL_NODES} select distinct raw_id, child, parent_no::int as parent_no, child_key from (
   select raw_id, 'qa' as child, 0 as parent_no, no::varchar as child_key from q where json_type(q) = 'OBJECT'
   union all select raw_id, 'cell', no, i::varchar from c where json_type(cell) <> 'NULL'
   union all select raw_id, 'gold', no, k from g where k is not null
   union all select raw_id, f, no, trim(v) from a where v is not null)""",
+    "p3_records": f"with {_P3_SQL_TREE} select raw_id, record_pre, record_post, j ->> 'id' as example_id, j ->> 'filename' as document_id from r join rp using (raw_id) where json_type(j) = 'OBJECT'",
+    "p3_questions": rf"""with {_P3_SQL_TREE} select raw_id, record_pre, question_pre, question_post, no::int as question_no, q ->> 'question' as question, q ->> 'answer' as answer, q ->> 'program' as program, case when json_type(q, '$.exe_ans') = 'DOUBLE' then regexp_replace(q ->> 'exe_ans', '\.0$', '') else q ->> 'exe_ans' end as numeric_answer, q ->> 'explanation' as explanation
+  from qp join rp using (raw_id)""",
+    "p3_cells": f"""with {_P3_SQL_TREE}, tp as (select t.raw_id, no, row, pre as row_pre from t join n on n.raw_id = t.raw_id and n.path = base || '.table[' || no || ']')
+  select c.raw_id, record_pre, row_pre, c.no::int as row_no, case when json_type(row) = 'OBJECT' then row ->> 'label' end as row_label, i::int as cell_no, cell ->> '$' as value from c join tp using (raw_id, no) join rp on rp.raw_id = c.raw_id where json_type(cell) <> 'NULL'""",
+    "p3_evidence": f"""with {_P3_SQL_TREE}, e as (
+    select raw_id, no, question_pre, k as evidence_key, json_extract_string(q, '$.gold_inds."' || k || '"') as text, null::double as weight from (select *, unnest(json_keys(q, '$.gold_inds')) as k from qp where json_type(q, '$.gold_inds') = 'OBJECT')
+    union all select raw_id, no, question_pre, g ->> 'ind', g ->> 'text', try_cast(g ->> 'weight' as double) from (select *, json_extract(q, '$.gold_inds[' || i || ']') as g from (select *, unnest(range(json_array_length(q, '$.gold_inds')::bigint)) as i from qp where json_type(q, '$.gold_inds') = 'ARRAY')) where json_type(g) = 'OBJECT')
+  select raw_id, question_pre, no::int as question_no, evidence_key, text, weight from e""",
+    "p3_annotations": f"with {_P3_SQL_TREE} select a.raw_id, question_pre, a.no::int as question_no, f as kind, trim(v) as row_no from a join qp using (raw_id, no) where v is not null",
 }
 
 
