@@ -293,6 +293,51 @@ select example_id, question, gold as gold_answer, case when ok then answer else
   false as used_rerank, false as used_evidence_grader, false as used_corrective_retry, 'bm25' as route_method from ok"""
 
 
+def _shown_number(v: str) -> str:
+    """At most five decimals, none for whole numbers."""
+    return f"regexp_replace(case when abs({v} - round_even({v}, 0)) <= 1e-9 * abs({v}) then printf('%.0f', {v}) else rtrim(rtrim(printf('%.5f', {v}), '0'), '.') end, '^-0$', '0')"
+
+
+def _programs() -> str:
+    """Programs run step by step in a recursive query."""
+    text, number = {}, {}
+    s2, s3, s4 = [], [], []
+    for k in "ab":
+        text[k] = _strip(f"coalesce(case when json_type({k}) <> 'NULL' then {k} ->> '$' end, 'None')")
+        number[k] = f"case when json_type({k}) in ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') then {k}::double when json_type({k}) = 'BOOLEAN' then {k}::boolean::int::double end"
+        s2 += [f"{text[k]} as t{k}", f"{number[k]} as n{k}"]
+        s3 += [f"try_cast(regexp_extract(t{k}, '^#\\s*([+-]?\\d+)$', 1) as int) as f{k}", f"case when starts_with(t{k}, 'const_') then substr(t{k}, 7) else t{k} end as o{k}"]
+        place = f"case when f{k} >= 0 then f{k} else f{k} + len(res) end"
+        parsed = _PARSE.replace("cell", f"o{k}")
+        s4.append(
+            f"""case when n{k} is not null then {{'num': n{k}, 'str': null::varchar, 'err': null::varchar}} when t{k} = '' then {{'num': null, 'str': null, 'err': 'Empty calculation operand.'}}
+        when starts_with(t{k}, '#') and f{k} is null then {{'num': null, 'str': null, 'err': 'Step reference ' || t{k} || ' is no number.'}}
+        when starts_with(t{k}, '#') and ({place} < 0 or {place} >= len(res)) then {{'num': null, 'str': null, 'err': 'Step reference ' || t{k} || ' does not exist.'}}
+        when starts_with(t{k}, '#') then {{'num': res[{place} + 1].num, 'str': res[{place} + 1].str, 'err': null}} when {parsed} is null then {{'num': null, 'str': null, 'err': 'Could not parse numeric operand: ' || o{k}}}
+        else {{'num': {parsed}, 'str': null, 'err': null}} end as {k}v"""
+        )
+    shown = lambda v: f"coalesce({v}.str, {_shown_number(v + '.num')})"
+    label = lambda c: f"translate(lower({_strip(c)}), ' -', '__')"
+    return f"""with recursive {PR},
+st as (select prediction_id, answer_unit, answer_scale, p, coalesce(case when json_type(p) = 'ARRAY' then json_array_length(p) end, 0)::int as n from (select *, case when trim(calculation_steps) <> '' then try_cast(calculation_steps as json) end as p from pr)),
+run as (select prediction_id, p, n, 0 as i, []::struct(num double, str varchar)[] as res, []::varchar[] as tr, null::varchar as err from st
+  union all
+  select prediction_id, p, n, i + 1, case when e is null then list_append(res, v) else res end, case when e is null then list_append(tr, '#' || len(res) || ' = ' || name || '(' || {shown('av')} || ', ' || {shown('bv')} || ') = ' || {shown('v')}) else tr end, e
+  from (select *, case when name not in ('add', 'subtract', 'multiply', 'divide', 'exp', 'greater') then 'Unsupported operation: ' || raw when args <> 2 then name || ' expects exactly two arguments.' when av.err is not null then av.err when bv.err is not null then bv.err
+      when coalesce(av.str, bv.str) is not null then 'could not convert string to float: ' || chr(39) || coalesce(av.str, bv.str) || chr(39) when name = 'divide' and bv.num = 0 then 'Cannot divide by zero.'
+      when name <> 'greater' and (v.num is null or isnan(v.num) or isinf(v.num)) then 'Result is not a finite number.' end as e
+    from (select *, case when name = 'greater' then {{'num': null::double, 'str': case when av.num > bv.num then 'yes' else 'no' end}} else {{'num': case name when 'add' then av.num + bv.num when 'subtract' then av.num - bv.num when 'multiply' then av.num * bv.num
+        when 'divide' then case when bv.num <> 0 then av.num / bv.num end when 'exp' then pow(av.num, bv.num) end, 'str': null::varchar}} end as v
+      from (select *, {', '.join(s4)} from (select *, {', '.join(s3)} from (select *, {', '.join(s2)}
+        from (select *, coalesce(x ->> 'operation', '') as raw, lower({_strip("coalesce(x ->> 'operation', '')")}) as name, coalesce(json_array_length(x, '$.arguments'), 0) as args, x -> '$.arguments[0]' as a, x -> '$.arguments[1]' as b
+          from (select *, json_extract(p, '$[' || i || ']') as x from run where i < n and err is null)))))))),
+done as (select prediction_id, arg_max(res, i) as res, arg_max(tr, i) as tr, (arg_max({{'e': err}}, i)).e as err from run group by prediction_id),
+fin as (select st.prediction_id, case when err is null then res[len(res)] end as v, tr, case when len(tr) + len(res) = 0 then coalesce(err, 'No calculation steps were provided.') else err end as err, coalesce({label('answer_unit')}, '') as u, coalesce(nullif({label('answer_scale')}, ''), 'auto') as s from st join done using (prediction_id)),
+num as (select *, case when u in ('percent', 'percentage') and abs(v.num) <= 1 and s in ('auto', 'ratio_to_percent') then v.num * 100 else v.num end as x from fin)
+select prediction_id, v.str as word, coalesce(v.str, case when u in ('dollar', 'dollars') then '$' else '' end || {_shown_number('x')} || case when u in ('percent', 'percentage') then '%' when u = 'percentage_points' then ' percentage points' when u in ('million', 'millions') then ' million'
+  when u in ('billion', 'billions') then ' billion' when u in ('share', 'shares') then ' shares' else '' end) as formatted, case when len(tr) > 0 then array_to_string(tr, chr(10)) end as trace, err as error from num"""
+
+
 def oracle_sql() -> dict[str, str]:
     count = lambda src, items: f"select term, count(*) as n from (select unnest({items}) as term from {src}) group by term"
     grid = f"with {CK}, {BM}, {_METRICS}"
@@ -361,6 +406,7 @@ def oracle_sql() -> dict[str, str]:
         "predictions_read_back": f"""with {PR} select prediction_id, coalesce(exact_match, false) as exact_match, evidence_grade_sufficient, printf('%.2f', total_ms)::double as total_ms, input_tokens, nullif(answer_unit, '') as answer_unit,
           len({_WORDS.format('retrieved_chunk_ids')})::int as retrieved, array_to_string({_WORDS.format('cited_chunk_ids')}, '|') as cited from pr""",
         "answer_evaluation": _answers(),
+        "calculation_runs": _programs(),
         "retrieval_metrics": f"{grid} select query_id, round(reciprocal_rank, 6) as reciprocal_rank, " + ", ".join(f"round(hit_{k}, 6) as hit_{k}, round(recall_{k}, 6) as recall_{k}" for k in evaluation.CUTOFFS) + " from me",
         "retrieval_failures": f"with {CK}, {BM}, {_METRICS}, {_ids(5)} select query_id as example_id, coalesce(question, '') as question, gold_ids, retrieved_ids from me join ids using (query_id) where hit_5 = 0",
         "grader_file": f"""with {CK}, {BM}, {SIG}, {_METRICS}, {_grades('select * from bm where rank <= 10')}, {_ids(10)}
