@@ -76,7 +76,7 @@ def search_scope(queries: DataFrame, vectors: DataFrame, scope: list[str], k: in
     return ranked(scored_in_scope(queries, vectors, scope, metric), k, metric == "cosine")
 
 
-def search_corpus(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
+def search_corpus(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 1 << 13) -> DataFrame:
     """(query_id, rank, score, example_id, pos): the k nearest of all vectors for every query (query_id, v)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")

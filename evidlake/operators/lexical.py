@@ -33,7 +33,7 @@ from . import reports, topk
 from .reports import B, EPSILON, K1
 from .topk import DIGITS
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1 << 14
 #: queries scored at once
 SLICE = 64
 

@@ -47,7 +47,7 @@ class Best:
             exact = scores[q, row]
             self._parts.append((q + first, np.round(exact, DIGITS), ids[row], pos[row], exact))
             self._held += len(q)
-            if self._held > max(4 * self.k * self.queries, 1 << 16):
+            if self._held > max(2 * self.k * self.queries, 1 << 16):
                 self.settle()
 
     def settle(self) -> None:

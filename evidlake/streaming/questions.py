@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import pipeline, providers
+from ..session import scratch
 
 
 def answer_stream(questions: DataFrame, chunks: DataFrame, settings: pipeline.Settings, out: str, checkpoint: str, answerer: providers.Answerer | None = None, once: bool = False) -> StreamingQuery:
@@ -19,7 +20,8 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, settings: pipeline.Se
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.dropDuplicates(["query_id"])
         if not batch.isEmpty():
-            pipeline.answer(batch, chunks, settings, answerer).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            with scratch():  # a stream goes on; what a batch wrote on the way goes with it
+                pipeline.answer(batch, chunks, settings, answerer).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
