@@ -181,12 +181,12 @@ def _masks(s: int, probe: int) -> list[int]:
     return [sum(1 << b for b in which) for i in range(probe + 1) for which in itertools.combinations(range(s), i)]
 
 
-def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: int, shape: Plan, crowd: int = CROWD, crowded: list[np.ndarray] | None = None, free: int | None = None, split: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: int, shape: Plan, crowd: int = CROWD, crowded: list[np.ndarray] | None = None, free: int | None = None, split: dict[int, list[int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a < b) that the table retrieves among these rows, within the radius of the checked codes.
 
     ``keys`` are the ``free`` last bits of the rows' substrings; the others agree. Pairs that an earlier table
-    retrieves are passed over as far as the checked codes tell (not where parts are ``split``, as the earlier one may
-    be). A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
+    retrieves are passed over as far as the checked codes tell, but not where its part of that table is ``split`` (table ->
+    parts). A pair both ends of which have ``crowd`` pairs already is passed over; its ends are added to ``crowded``.
     """
     s, probe, radius, free = shape.s, shape.probe, shape.radius, shape.s - shape.lead if free is None else free
     degree, step = np.zeros(len(ids), dtype=np.int64), max(64, crowd * crowd * 256)  # pairs are looked at in steps
@@ -196,7 +196,7 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: i
     words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, pad)))).view(np.uint64)
     front = words[:, 0].copy()
     ends = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << free))]) if 1 << free <= 8 * len(ids) + (1 << 16) else None
-    earlier = range(0 if split else min(table, code.shape[1] * 8 // s))
+    earlier, whole = range(min(table, code.shape[1] * 8 // s)), s - shape.lead
     first_limit = radius * 64 / (code.shape[1] * 8) + 4 * math.sqrt(radius * 64 / (code.shape[1] * 8))
     for mask in _masks(free, probe):
         asked = np.arange(len(ids)) if not mask else np.flatnonzero((index >> (mask.bit_length() - 1)) & 1 == 0)
@@ -221,8 +221,11 @@ def pairs_of_block(ids: np.ndarray, code: np.ndarray, keys: np.ndarray, table: i
                 near &= ids[q] < ids[i] if not mask else ids[q] != ids[i]
                 q, i = q[near], i[near]
                 for e in earlier:
-                    differ = _substring(code[q], e, s) ^ _substring(code[i], e, s)
-                    new = (np.bitwise_count(differ) > probe) | (differ >> free > 0)
+                    one = _substring(code[q], e, s)
+                    differ = one ^ _substring(code[i], e, s)
+                    new = (np.bitwise_count(differ) > probe) | (differ >> whole > 0)
+                    if split and e in split:
+                        new |= np.isin((one >> whole) | (1 << shape.lead), split[e])
                     q, i = q[new], i[new]
                 full = (degree[q] >= crowd) & (degree[i] >= crowd)
                 if full.any() and crowded is not None:
@@ -286,6 +289,9 @@ def hashed_pairs(codes: DataFrame, dims: int, shape: Plan, crowd: int = CROWD, b
     """
     tables, checked = shape.tables, dims * ROTATIONS // 8
     depths = split_parts(codes, shape, block)
+    split: dict[int, list[int]] = {}
+    for t, part in depths:
+        split.setdefault(t, []).append(part)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,13 +309,13 @@ def hashed_pairs(codes: DataFrame, dims: int, shape: Plan, crowd: int = CROWD, b
         code = np.frombuffer(b"".join(group["code"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
         crowded: list[np.ndarray] = []
         free = max(shape.s - (group["part"][0].as_py().bit_length() - 1), 0)
-        found = list(pairs_of_block(group["id"].to_numpy(), code, group["rest"].to_numpy().astype(np.int64), group["t"][0].as_py(), shape, crowd, crowded, free, bool(depths)))
+        found = list(pairs_of_block(group["id"].to_numpy(), code, group["rest"].to_numpy().astype(np.int64), group["t"][0].as_py(), shape, crowd, crowded, free, split))
         none = [np.zeros(0, dtype=np.int64)]
         a, b, many = np.concatenate([x for x, _ in found] or none), np.concatenate([y for _, y in found] or none), np.unique(np.concatenate(crowded or none))
         return pa.table({"a": pa.array(np.concatenate([a, many]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])})
 
     rows = codes.select("id", "code").mapInArrow(spread, "t int, part long, rest int, id long, code binary")
-    parts = min(4 * ((tables << shape.lead) + len(depths)), 20_000)  # so that few parts share a task, which takes them in turn
+    parts = min(4 * ((tables << shape.lead) + len(depths)), max(40 * int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * tables))  # few parts share a task, which takes them in turn
     return rows.repartition(parts, "t", "part").groupBy("t", "part").applyInArrow(search, "a long, b long").distinct()
 
 
