@@ -45,7 +45,7 @@ def _out(df: DataFrame, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    chunks = artifacts.ensure_chunks(spark, f"{a.index}/chunks", lambda: chunking.chunks(_examples(spark, a)), a.rebuild_chunks)
+    chunks = artifacts.ensure_chunks(spark, f"{a.index}/chunks", lambda: chunking.chunks(_examples(spark, a)), a.rebuild_chunks, a.limit or None)
     if not a.dry_run:
         artifacts.save_vectors(providers.HashedEmbedder(a.dims).embed(chunks, "content", "embedding"), f"{a.index}/vectors")
         vectors = artifacts.load_vectors(spark, f"{a.index}/vectors")

@@ -9,7 +9,8 @@ Skew: no group is ever a whole key. Groups are (table, key, day); the count with
 which a day starts comes from a pre-aggregate by (table, key, day) - at most one
 row per key and calendar day - over which the prefix sum runs. It joins the day's
 rows as one more row of the long form, so nothing is joined and nothing is
-broadcast: two shuffles, however hot a key is.
+broadcast: two shuffles. What one key is referred to within one day is the largest
+group; its window is a running sum over sorted rows, which streams and spills.
 
 Cases
 * a null key, or a null time of a reference: no reference / cannot be judged,

@@ -6,6 +6,7 @@ with retries; the stand-ins are expressions in the JVM.
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -28,6 +29,14 @@ class Answerer(Protocol):
         """Adds ``payload`` to (query_id, question, evidence, retrieved)."""
 
 
+def service_key(variable: str) -> str:
+    """The key of a service from the environment; an error without one, before any work begins."""
+    key = os.environ.get(variable, "").strip()
+    if not key:
+        raise ValueError(f"{variable} is not set")
+    return key
+
+
 def with_retries(call: Callable[[list[str]], list], texts: list[str], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> list:
     """The service's results; waits 1, 2, 4, ... seconds between attempts."""
     for attempt in range(1, attempts + 1):

@@ -27,10 +27,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def ensure_chunks(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:  # noqa: ANN001
-    """Stored chunks, or those of ``build()``, stored first."""
-    if rebuild or not exists(spark, path):
+def ensure_chunks(spark: SparkSession, path: str, build, rebuild: bool = False, limit: int | None = None) -> DataFrame:  # noqa: ANN001
+    """Stored chunks, or those of ``build()``, stored first; they are built again if they were stored for another ``limit`` of examples."""
+    note = f"{path}-limit"
+    stale = exists(spark, note) and spark.read.schema("limit int").json(note).first()["limit"] != limit
+    if rebuild or stale or not exists(spark, path):
         save_chunks(build(), path)
+        spark.createDataFrame([(limit,)], "limit int").write.option("ignoreNullFields", False).mode("overwrite").json(note)
     return load_chunks(spark, path)
 
 

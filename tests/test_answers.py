@@ -146,6 +146,8 @@ def test_artifacts(spark, tmp_path):
     for rebuild in (False, False, True):
         assert artifacts.ensure_chunks(spark, path, lambda: built.append(1) or chunks, rebuild).count() == 2
     assert len(built) == 2
+    assert artifacts.ensure_chunks(spark, path, lambda: built.append(1) or chunks.limit(1), limit=1).count() == 1 and len(built) == 3
+    assert artifacts.ensure_chunks(spark, path, lambda: built.append(1) or chunks, limit=1).count() == 1 and len(built) == 3
     v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0])], "chunk_id string, embedding array<float>")
     artifacts.save_vectors(v, str(tmp_path / "v"))
     artifacts.save_metadata(v, str(tmp_path / "m"), "hash", "cosine")

@@ -208,6 +208,14 @@ def test_services(spark):
     assert providers.rewritten(q, lambda ts: ["no json"] * len(ts)).first().query == "net revenue"
 
 
+def test_service_key(monkeypatch):
+    monkeypatch.setenv("SOME_KEY", " k ")
+    assert providers.service_key("SOME_KEY") == "k"
+    monkeypatch.delenv("SOME_KEY")
+    with pytest.raises(ValueError, match="SOME_KEY"):
+        providers.service_key("SOME_KEY")
+
+
 def test_trace(monkeypatch):
     t = Trace()
     with t.stage("a"), t.stage("a"):
