@@ -149,4 +149,4 @@ def test_a_part_of_near_directions_is_split(spark):
 
 def test_a_cosine_too_low_for_tables_is_refused():
     with pytest.raises(ValueError):
-        nb.plan(10**6, 96, -0.9)
+        nb.plan(10**6, 96, -1.0)
