@@ -42,8 +42,9 @@ class Best:
             s = np.round(scores[many], DIGITS)
             tie = s == np.round(least[many], DIGITS)[:, None]
             good[many] &= ~tie | (np.cumsum(tie, axis=1) <= self.k)
-        q, row = np.nonzero(good)
-        if len(q):
+        at = np.flatnonzero(good)
+        if len(at):
+            q, row = at // size, at % size
             exact = scores[q, row]
             self._parts.append((q + first, np.round(exact, DIGITS), ids[row], pos[row], exact))
             self._held += len(q)
