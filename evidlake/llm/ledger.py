@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, release, scratch_path
+from ..session import materialize, release, scratch_path, scratch_root
 
 HOT_PART = 1000
 #: Spark knows buckets of catalogued tables only; ledgers in use are catalogued here
@@ -77,7 +77,7 @@ class Ledger:
         known = self._known()
         self.buckets = known["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._table: str | None = None
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{scratch_root(spark)}/{DATABASE}'")  # holds no data: all tables lie elsewhere
         self._use(known["generation"] if known else None)
 
     def _known(self) -> dict | None:
