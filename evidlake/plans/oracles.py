@@ -338,6 +338,21 @@ select prediction_id, v.str as word, coalesce(v.str, case when u in ('dollar', '
   when u in ('billion', 'billions') then ' billion' when u in ('share', 'shares') then ' shares' else '' end) as formatted, case when len(tr) > 0 then array_to_string(tr, chr(10)) end as trace, err as error from num"""
 
 
+def _finished() -> str:
+    """Predictions as payloads: programs run unless they abstain, citations made canonical and checked."""
+    strip = lambda x: _strip(x)
+    bare = f"case when starts_with({strip('x')}, 'CHUNK ') then {strip('substr(' + strip('x') + ', 7)')} else {strip('x')} end"
+    of = lambda x: bare.replace("(x,", f"({x},")
+    return f"""with {PR}, x as ({_programs()}),
+c as (select *, list_transform(coalesce(cited_chunk_ids, []), lambda z: {of("coalesce(z, '')")}) as said, list_filter(coalesce(retrieved_chunk_ids, []), lambda z: z is not null) as got from pr),
+r as (select *, list_transform(got, lambda z: {of('z')}) as ids, list_transform(got, lambda z: replace(regexp_extract(z, '(table|text)::(\\d+)\\s*$'), '::', '_')) as sources from c),
+k as (select *, list_transform(said, lambda z: case when not list_contains(ids, z) and len(list_filter(sources, lambda y: y = z)) = 1 then ids[list_position(sources, z)] else z end) as cited from r),
+w as (select *, list_filter(cited, lambda z, i: not list_contains(ids, z) and list_position(cited, z) = i) as wrong, not coalesce(insufficient_evidence, false) and coalesce(json_array_length(case when trim(calculation_steps) <> '' then try_cast(calculation_steps as json) end), 0) > 0 as runs from k)
+select w.prediction_id as query_id, case when runs and x.error is null then x.formatted else coalesce(predicted_answer, '') end as answer, array_to_string(cited, ' ') as cited, coalesce(insufficient_evidence, false) as insufficient_evidence,
+  case when runs and x.error is null then x.formatted end as executed_answer, case when runs then x.error end as execution_error,
+  case when len(wrong) > 0 then 'Citations are not among the retrieved chunks: ' || array_to_string(wrong, ', ') end as error from w join x using (prediction_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     count = lambda src, items: f"select term, count(*) as n from (select unnest({items}) as term from {src}) group by term"
     grid = f"with {CK}, {BM}, {_METRICS}"
@@ -407,6 +422,7 @@ def oracle_sql() -> dict[str, str]:
           len({_WORDS.format('retrieved_chunk_ids')})::int as retrieved, array_to_string({_WORDS.format('cited_chunk_ids')}, '|') as cited from pr""",
         "answer_evaluation": _answers(),
         "calculation_runs": _programs(),
+        "finished_answers": _finished(),
         "retrieval_metrics": f"{grid} select query_id, round(reciprocal_rank, 6) as reciprocal_rank, " + ", ".join(f"round(hit_{k}, 6) as hit_{k}, round(recall_{k}, 6) as recall_{k}" for k in evaluation.CUTOFFS) + " from me",
         "retrieval_failures": f"with {CK}, {BM}, {_METRICS}, {_ids(5)} select query_id as example_id, coalesce(question, '') as question, gold_ids, retrieved_ids from me join ids using (query_id) where hit_5 = 0",
         "grader_file": f"""with {CK}, {BM}, {SIG}, {_METRICS}, {_grades('select * from bm where rank <= 10')}, {_ids(10)}
