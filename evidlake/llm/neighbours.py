@@ -246,7 +246,8 @@ def _parts_of(code: np.ndarray, table: int, shape: Plan, depths: dict[tuple[int,
     depth = np.full(len(code), shape.lead, dtype=np.int64)
     part = (key >> (DEEPEST - shape.lead)) | (1 << shape.lead)
     while depths:
-        deeper = np.array([depths.get((table, p), 0) for p in part.tolist()], dtype=np.int64)
+        different, which = np.unique(part, return_inverse=True)  # few, as codes are many
+        deeper = np.array([depths.get((table, p), 0) for p in different.tolist()], dtype=np.int64)[which]
         if not deeper.any():
             break
         depth = np.where(deeper, deeper, depth)
