@@ -7,8 +7,9 @@ with score 0. Ties go to the earlier chunk (example_id, pos).
 
 Search inside a report (see reports) computes statistics of that report alone. Search over
 the corpus needs statistics of the query terms only, which go out with a block of
-queries of bounded size; a task scores its chunks against them from postings and
-sends the k best of all its batches once.
+distinct queries of bounded size. A task sorts its chunks by their rare terms; blocks of chunks
+whose bound is below a query's k-th best score are passed over, the others are scored exactly, and
+the k best of all its batches are sent once.
 
 Cases: an empty or null question scores 0 everywhere; a null content has no tokens;
 an unknown report or an empty corpus gives no results; repeated chunks are
@@ -18,6 +19,7 @@ scored each.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,8 @@ from .reports import B, EPSILON, K1
 from .topk import DIGITS
 
 QUERY_BLOCK = 1 << 14
-#: queries scored at once
-SLICE = 64
+#: queries scored at once, chunks held at once, chunks of a block, pairs scored at once in double precision
+SLICE, ROWS, LEAF, PAIRS = 256, 1 << 15, 8, 1 << 17
 
 
 def tokenized(chunks: DataFrame, key: list[str], content: str = "content") -> DataFrame:
@@ -92,62 +94,139 @@ def blocks(queries: DataFrame, columns: list[str], size: int = QUERY_BLOCK) -> I
             yield rows
 
 
+def distinct(queries: DataFrame, what: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(queries with ``asks``, distinct values of the column ``what`` with their number as query_id): what several queries ask is searched once."""
+    queries = materialize(queries.select("query_id", what), f"{name}_queries")
+    asked = materialize(queries.select(what).distinct().withColumn("query_id", F.monotonically_increasing_id()), name)
+    return queries.join(asked.withColumnRenamed("query_id", "asks"), what).select("query_id", "asks"), asked
+
+
+class _Rows:
+    """Chunks of a task, sorted so that chunks with the same rare terms stand together, in blocks of LEAF chunks.
+
+    Terms are numbered by rarity. A block's bound for a query takes every term at its largest weight in the block.
+    """
+
+    def __init__(self, no: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> None:
+        """Postings (row, term, weight) are sorted by row and term."""
+        head = np.full((len(no), 6), terms)
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(no)))[row]
+        early = place < head.shape[1]
+        head[row[early], place[early]] = term[early]
+        order = np.lexsort(head.T[::-1])
+        self.no, self.terms, self.blocks = no[order], terms, -(-len(no) // LEAF)
+        at = np.empty(len(no), dtype=np.int64)
+        at[order] = np.arange(len(no))
+        again = np.argsort(at[row], kind="stable")
+        self.row, self.term, self.weight = at[row][again], term[again], weight[again]
+        cell = self.row // LEAF * terms + self.term
+        by_cell = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.diff(cell[by_cell], prepend=-1))
+        self.cell = cell[by_cell][first]
+        self.most = np.maximum(np.maximum.reduceat(self.weight[by_cell], first), 0.0) if len(first) else np.zeros(0)
+
+    def slice(self, query: np.ndarray, term: np.ndarray, times: np.ndarray, queries: int) -> None:
+        """Take up ``queries`` queries, whose terms are (query, term, times)."""
+        words = np.unique(term)
+        local = np.full(self.terms + 1, -1)
+        local[words] = np.arange(len(words))
+        self.asked = np.zeros((queries, len(words)))
+        self.asked[query, local[term]] = times
+        self.single, self.error = self.asked.astype(np.float32), (len(words) + 8) * 2.0**-22  # more than single precision loses
+        block, word = self.cell // max(self.terms, 1), local[self.cell % max(self.terms, 1)]
+        most = np.zeros((self.blocks, len(words)), dtype=np.float32)
+        most[block[word >= 0], word[word >= 0]] = self.most[word >= 0]
+        self.bound = (self.single @ most.T) * np.float32(1 + self.error)
+        word = local[self.term]
+        kept = word >= 0
+        self.kept_row, self.kept_word, self.kept_weight = self.row[kept], word[kept], self.weight[kept]
+        self.starts = np.searchsorted(self.kept_row, np.arange(self.blocks * LEAF + 1))
+
+    def scores(self, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs of a query and a chunk."""
+        hits = self.starts[row + 1] - self.starts[row]
+        ends = np.cumsum(hits)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[row] - (ends - hits), hits)
+        value = self.kept_weight[at] * self.asked.ravel()[self.kept_word[at] + np.repeat(query * self.asked.shape[1], hits)]
+        return np.bincount(np.repeat(np.arange(len(row)), hits), value, len(row)).astype(np.float64)
+
+    def add(self, first: int, best: topk.Pairs) -> None:
+        """All chunks that may be among the k best of the slice's queries, which begin at ``first``."""
+        least = best.least[first : first + len(self.asked)].copy()
+        fresh, n = np.flatnonzero(np.isneginf(least)), -(-best.k // LEAF) + 3
+        if len(fresh) and self.blocks > 2 * n:  # a bound from the most promising blocks
+            top = np.argpartition(-self.bound[fresh, : len(self.no) // LEAF], n, axis=1)[:, :n]
+            row = (top[:, :, None] * LEAF + np.arange(LEAF)).reshape(len(fresh), -1)
+            found = self.scores(np.repeat(fresh, row.shape[1]), row.ravel()).reshape(row.shape)
+            least[fresh] = np.partition(found, row.shape[1] - best.k, axis=1)[:, row.shape[1] - best.k]
+        least -= topk._NEAR
+        least -= self.error * np.abs(self.kept_weight).max(initial=0) * self.asked.sum(axis=1)
+        floor = np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
+        blocks = np.flatnonzero((self.bound >= floor).any(axis=0))
+        place = np.full(self.blocks, -1)
+        place[blocks] = np.arange(len(blocks)) * LEAF
+        at = place[self.kept_row // LEAF]
+        there = at >= 0
+        weights = np.zeros((len(blocks) * LEAF, self.asked.shape[1]), dtype=np.float32)
+        weights[at[there] + self.kept_row[there] % LEAF, self.kept_word[there]] = self.kept_weight[there]
+        at = np.flatnonzero(self.single @ weights.T >= floor)
+        query, row = at // max(len(weights), 1), at % max(len(weights), 1)
+        row = blocks[row // LEAF] * LEAF + row % LEAF
+        query, row = query[row < len(self.no)], row[row < len(self.no)]
+        for a in range(0, len(query), PAIRS):
+            q, r = query[a : a + PAIRS], row[a : a + PAIRS]
+            best.add(q + first, self.no[r], self.scores(q, r))
+
+
 def search_corpus(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, score, example_id, pos) of the k best chunks of the corpus for every query."""
     spark = queries.sparkSession
-    rows = materialize(tokenized(chunks, ["example_id", "pos"]), "tokens")
+    rows = topk.numbered(tokenized(chunks, ["example_id", "pos"]), "tokens")
     n, avgdl = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    df = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = materialize(rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     mean = df.agg(F.avg(plain_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
+    bags = queries.select(F.col("query_id").cast("string").alias("query_id"), F.array_join(F.array_sort(T.tokenize(F.coalesce("question", F.lit("")))), " ").alias("bag"))
+    asks, asked = distinct(bags, "bag", "bags")
     out = None
-    for part in blocks(queries.select("query_id", T.tokenize(F.coalesce("question", F.lit(""))).alias("tokens")), ["query_id", "tokens"], block):
-        vocabulary = sorted({t for r in part for t in r["tokens"]})
+    for part in blocks(asked, ["query_id", "bag"], block):
+        vocabulary = sorted({t for r in part for t in r["bag"].split()})
         known = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term").collect() if vocabulary else []  # no more than the block's terms
-        idf = {}
-        for r in known:
-            v = math.log(n - r["df"] + 0.5) - math.log(r["df"] + 0.5)
-            idf[r["term"]] = EPSILON * mean if v < 0 else v
-        number = {t: i for i, t in enumerate(idf)}
-        asked = []
-        for r in part:
-            counts: dict[int, int] = {}
-            for t in r["tokens"]:
-                if t in number:
-                    counts[number[t]] = counts.get(number[t], 0) + 1
-            asked.append((r["query_id"], counts))
-        sizes = [len(c) for _, c in asked]
-        terms, times = np.array([t for _, c in asked for t in c], dtype=np.int64), np.array([n for _, c in asked for n in c.values()], dtype=np.int64)
-        shared = spark.sparkContext.broadcast(([q for q, _ in asked], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, times, number, np.array(list(idf.values()))))
+        known.sort(key=lambda r: (r["df"], r["term"]))  # rare terms have small numbers
+        plain = [math.log(n - r["df"] + 0.5) - math.log(r["df"] + 0.5) for r in known]
+        number = {r["term"]: i for i, r in enumerate(known)}
+        counts = [(sorted(Counter(number[t] for t in r["bag"].split() if t in number).items()), r["query_id"]) for r in part]
+        counts.sort()  # queries that share rare terms are scored together
+        sizes = [len(c) for c, _ in counts]
+        silent = sum(s == 0 for s in sizes)  # these come first; all chunks have the score 0
+        terms, times = np.array([t for c, _ in counts for t, _ in c], dtype=np.int64), np.array([m for c, _ in counts for _, m in c], dtype=np.int64)
+        shared = spark.sparkContext.broadcast((np.array([q for _, q in counts], dtype=np.int64), silent, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms, times, number, np.array([EPSILON * mean if v < 0 else v for v in plain])))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, starts, terms, times, number, idf = shared.value
-            best = topk.Best(len(names), k)
-            for batch in batches:
-                size = batch.num_rows
-                if not size:
-                    continue
-                batch, ids, pos = topk.by_id(batch)
-                dl = np.diff(batch.column(2).offsets.to_numpy())
-                words = pc.dictionary_encode(batch.column(2).flatten())
+            names, silent, starts, terms, times, number, idf = shared.value
+            best, first = topk.Pairs(len(names), k), np.zeros(0, dtype=np.int64)
+            for table in topk.gathered(batches, ROWS):
+                no, tokens = table["no"].to_numpy(), table["tokens"].combine_chunks()
+                first = np.sort(np.concatenate([first, no[:k]]))[:k]
+                dl = np.diff(tokens.offsets.to_numpy())
+                words = pc.dictionary_encode(tokens.flatten())
                 code = np.array([number.get(t, -1) for t in words.dictionary.to_pylist()], dtype=np.int64)
                 term = code[words.indices.to_numpy()] if len(code) else np.zeros(0, dtype=np.int64)
-                row = np.repeat(np.arange(size), dl)[term >= 0]
-                post, tf = np.unique(term[term >= 0] * size + row, return_counts=True)
-                term, row = post // size, post % size
-                w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)) if len(term) else np.zeros(0)
-                ends = np.searchsorted(term, np.arange(len(number) + 1))
-                for a in range(0, len(names), SLICE):  # a matrix of a slice of queries by all rows, from the postings of their terms
+                row = np.repeat(np.arange(len(no)), dl)[term >= 0]
+                post, tf = np.unique(row * len(number) + term[term >= 0], return_counts=True)
+                row, term = post // max(len(number), 1), post % max(len(number), 1)
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)) if len(term) else np.zeros(0)
+                part = _Rows(no, row, term, weight, len(number))
+                for a in range(silent, len(names), SLICE):
                     z = min(a + SLICE, len(names))
                     some = slice(starts[a], starts[z])
-                    hits = ends[terms[some] + 1] - ends[terms[some]]
-                    at = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(ends[terms[some]], hits)
-                    query = np.repeat(np.arange(z - a), np.diff(starts[a : z + 1]))
-                    total = np.bincount(np.repeat(query * size, hits) + row[at], np.repeat(times[some], hits) * w[at], (z - a) * size)
-                    best.add(a, total.reshape(z - a, size).astype(np.float64), ids, pos)
-            yield best.batch(names, [pa.string(), pa.string(), pa.int32()])
-
-        found = rows.mapInArrow(score, "query_id string, example_id string, pos int, score double")
+                    part.slice(np.repeat(np.arange(z - a), np.diff(starts[a : z + 1])), terms[some], times[some], z - a)
+                    part.add(a, best)
+                best.ready()
+            best.add(np.repeat(np.arange(silent), len(first)), np.tile(first, silent), np.zeros(silent * len(first)))
+            yield best.batch(names)
+
+        found = rows.select("no", "tokens").mapInArrow(score, topk.FOUND)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = queries.select(F.col("query_id").cast("string"), F.lit("").alias("example_id"), F.lit(0).alias("pos"), F.lit(0.0).alias("score")).where(F.lit(False))
-    return ranked(out, k).select("query_id", "rank", "score", "example_id", "pos")
+        out = spark.createDataFrame([], topk.FOUND)
+    return topk.named(out, k, asks, "asks", rows)
