@@ -73,12 +73,32 @@ def _bounds(s: Settings) -> tuple[int, int]:
     return top, wide if s.method != "dense" or s.rerank else top
 
 
+def asked_once(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, asks), distinct questions with query_id = asks): among all reports equal questions have equal results."""
+    q = materialize(questions.select("query_id", "question"), "questions")
+    first = materialize(q.groupBy("question").agg(F.min("query_id").alias("query_id")), "asked")
+    same = F.col("question").eqNullSafe(F.col("said"))
+    return q.join(first.select(F.col("question").alias("said"), F.col("query_id").alias("asks")), same).select("query_id", "asks"), first
+
+
+def for_all(asks: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of distinct questions as those of all questions that ask the same."""
+    return asks.join(results.withColumnRenamed("query_id", "asks"), "asks").drop("asks")
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, s: Settings, rankings: tuple[DataFrame | None, DataFrame | None] | None = None, routes: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, score, example_id, pos); unrelated questions have no rows.
 
     ``rankings`` are stored dense and lexical rankings that are deep enough, ``routes`` stored ``routed``
-    questions, if there are any.
+    questions, if there are any. Among all reports, a question that comes several times is answered once.
     """
+    if s.scope == "global" and rankings is None:
+        asks, first = asked_once(questions)
+        return for_all(asks, _retrieve(first, chunks, s, None, None)).select("query_id", "rank", "score", "example_id", "pos")
+    return _retrieve(questions, chunks, s, rankings, routes)
+
+
+def _retrieve(questions: DataFrame, chunks: DataFrame, s: Settings, rankings: tuple[DataFrame | None, DataFrame | None] | None, routes: DataFrame | None) -> DataFrame:
     r = routes if routes is not None else materialize(routed(questions, s), "routed")
     top, bound = _bounds(s)
     related = r.where("route.related")
@@ -184,10 +204,12 @@ def experiment(questions: DataFrame, chunks: DataFrame, gold: DataFrame, s: Sett
     """Average retrieval metrics of every method, plain and reranked."""
     settings = [Settings(m, max(s.top_k, 10), max(s.candidate_k, 30), s.window, rerank, s.scope, s.embedder, s.metric, s.vectors) for m in methods for rerank in (False, True)]
     questions = materialize(questions, "questions")
-    rankings = _rankings(questions, chunks, s, max(_bounds(x)[1] for x in settings), True)
+    asks, asked = asked_once(questions) if s.scope == "global" else (None, questions)
+    rankings = _rankings(asked, chunks, s, max(_bounds(x)[1] for x in settings), True)
     rows = None
     for x in settings:
-        m = evaluation.retrieval_metrics(questions, retrieve(questions, chunks, x, rankings, routed(questions, x)), chunks, gold)
+        found = _retrieve(asked, chunks, x, rankings, routed(asked, x))
+        m = evaluation.retrieval_metrics(questions, found if asks is None else for_all(asks, found), chunks, gold)
         part = evaluation.averages(m, [c for c in m.columns if c != "query_id"]).select(F.lit(x.method).alias("method"), F.lit(x.rerank).alias("rerank"), "*")
         rows = part if rows is None else rows.unionByName(part)
     return rows

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidlake.operators import lexical
+from evidlake.operators import dense, lexical
+from evidlake.plans import pipeline
 
 
 def rows_of(df):
@@ -33,6 +34,14 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
     assert sizes == [2] and len(got) == 600 and [r[1:4] for r in got if r[0] == "q0"] == [r[1:4] for r in got if r[0] == "q1"] and [r[3] for r in got if r[0] == "q2"] == [1, 0]
 
 
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    sizes = asked_once(monkeypatch, dense)
+    v = spark.createDataFrame([("A", i, [float(i), 1.0]) for i in range(4)], "example_id string, pos int, v array<float>")
+    q = spark.range(200).select(F.col("id").cast("string").alias("query_id"), F.array(F.col("id") % 2, F.lit(1)).cast("array<float>").alias("v"))
+    got = rows_of(dense.search_corpus(q, v, 1))
+    assert sizes == [2] and [r[3] for r in got if r[0] in ("0", "1")] == [0, 1] and len(got) == 200
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_blocks_passed_over_hold_no_result(spark, k):
     r = random.Random(k)
@@ -52,3 +61,16 @@ def test_blocks_passed_over_hold_no_result(spark, k):
         best = sorted((-round(score(a, d[2].split()), 9), d[0], d[1]) for d in docs)[:k]
         want += [(f"q{i}", n, e, p) for n, (_, e, p) in enumerate(best, 1)]
     assert [x[:4] for x in rows_of(lexical.search_corpus(q, chunks, k))] == sorted(want)
+
+
+def test_retrieval_of_all_reports_asks_each_question_once(spark, monkeypatch):
+    sizes = [*map(lambda m: asked_once(monkeypatch, m), (dense, lexical))]
+    examples = [(f"E{i}", i, "table", "table", i, [f"table_{i}"], t) for i, t in enumerate(["net revenue 2010", "cost of sales", "sales in 2011"])]
+    chunks = spark.createDataFrame(examples, "example_id string, pos int, chunk_type string, section string, row_index int, source_ids array<string>, content string")
+    asks = ["what was net revenue in 2010?", "Cost of sales", ""]
+    q = spark.createDataFrame([(f"q{i:02}", f"E{i % 3}", asks[i % 3]) for i in range(30)], "query_id string, example_id string, question string")
+    for s in (pipeline.Settings("adaptive", scope="global", rerank=True), pipeline.Settings("hybrid", scope="global", top_k=2)):
+        got = rows_of(pipeline.retrieve(q, chunks, s))
+        each = {i: [r[1:] for r in got if r[0] == f"q{i:02}"] for i in range(30)}
+        assert all(each[i] and each[i] == each[i % 3] for i in range(30))
+    assert max(map(max, sizes)) <= 3
