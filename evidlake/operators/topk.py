@@ -159,9 +159,17 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
         yield table()
 
 
-def named(found: DataFrame, k: int, queries: DataFrame, key: str, rows: DataFrame) -> DataFrame:
-    """(query_id, rank, score, example_id, pos) of FOUND rows: ``queries`` has query_id and ``key``, the query that it asks."""
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of every query of FOUND rows (and what else they have), with ``rank``."""
     w = Window.partitionBy("query").orderBy(F.round("score", DIGITS).desc(), "no")
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    best = best.join(rows.select("no", "example_id", "pos"), "no")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def asked_by(best: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query_id, rank, score, example_id, pos): ``queries`` has query_id and ``key``, the query that it asks."""
     return queries.select("query_id", F.col(key).alias("query")).join(best, "query").select("query_id", "rank", "score", "example_id", "pos")
+
+
+def named(found: DataFrame, k: int, queries: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """(query_id, rank, score, example_id, pos) of FOUND rows."""
+    return asked_by(best_of(found, k).join(rows.select("no", "example_id", "pos"), "no"), queries, key)

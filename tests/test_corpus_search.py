@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidlake.operators import dense, lexical
+import __spark_entry__
+from evidlake.operators import dense, lexical, ranking, topk
 from evidlake.plans import pipeline
 
 
@@ -74,3 +76,49 @@ def test_retrieval_of_all_reports_asks_each_question_once(spark, monkeypatch):
         each = {i: [r[1:] for r in got if r[0] == f"q{i:02}"] for i in range(30)}
         assert all(each[i] and each[i] == each[i % 3] for i in range(30))
     assert max(map(max, sizes)) <= 3
+
+
+def test_chunks_equal_in_length_and_known_terms_are_scored_once(spark):
+    """Ties of one profile go to the earliest chunks, however many there are, in whichever report."""
+    texts = ["net sales of x", "net sales of y", "sales net z of", "net sales", "other words", "more words", "sales of w v"]
+    chunks = spark.createDataFrame([(f"E{i % 5}", i, texts[i % 7]) for i in range(700)], "example_id string, pos int, content string").repartition(4)
+    q = spark.createDataFrame([("a", "net sales"), ("b", "of sales of"), ("c", "nowhere")], "query_id string, question string")
+    got = rows_of(lexical.search_corpus(q, chunks, 4))
+    place = lambda *kinds: sorted((f"E{i % 5}", i) for i in range(700) if i % 7 in kinds)[:4]
+    assert [r[2:4] for r in got if r[0] == "a"] == place(3) and [r[2:4] for r in got if r[0] == "c"] == place(*range(7))
+    assert len({r[4] for r in got if r[0] == "b"}) == 1 and [r[2:4] for r in got if r[0] == "b"] == place(0, 1, 2, 6)
+
+
+def test_few_pairs_are_scored_exactly():
+    """The first bound is close to the k-th best score, so that little more than the k best is scored in double precision."""
+    r, terms, k = np.random.default_rng(3), 60, 10
+    held = r.random((20000, terms)) < 1 / (2 + np.arange(terms)[::-1])
+    row, term = np.nonzero(held)
+    weight = r.uniform(0.5, 2, len(row)) * np.linspace(5, 1, terms)[term]
+    dense_weights = np.zeros(held.shape)
+    dense_weights[row, term] = weight
+    asked = np.sort(r.random((300, terms)).argsort(axis=1)[:, :6], axis=1)
+    best, rows = topk.Pairs(300, k), lexical._Rows(np.arange(20000), row, term, weight, terms)
+    pairs, add = [], best.add
+    best.add = lambda q, no, s: (pairs.append(len(q)), add(q, no, s))
+    rows.slice(np.repeat(np.arange(300), 6), asked.ravel(), np.ones(1800), 300)
+    rows.add(0, best)
+    got = best.batch(np.arange(300)).to_pydict()
+    scores = np.zeros((300, 20000))
+    for i in range(300):
+        scores[i] = dense_weights[:, asked[i]].sum(axis=1)
+    want = [sorted(range(20000), key=lambda j: (-round(scores[i, j], 9), j))[:k] for i in range(0, 300, 30)]
+    assert [[n for q, n in zip(got["query"], got["no"]) if q == i] for i in range(0, 300, 30)] == want
+    assert sum(pairs) < 12 * 300 * k
+
+
+@pytest.mark.parametrize("query", ["reranked_corpus"])
+def test_equal_questions_are_ranked_once(spark, monkeypatch, query):
+    asked = []
+    for name in ("rerank", "grade"):
+        whole = getattr(ranking, name)
+        monkeypatch.setattr(ranking, name, lambda *a, whole=whole: (asked.append([x for x in a if "question" in getattr(x, "columns", ())][0]), whole(*a))[1])
+    root = "/root/testdata/sf0.01"
+    got = __spark_entry__.queries()[query](spark, root)
+    rows = spark.read.parquet(f"{root}/examples.parquet").where("example_id is not null").select("example_id").distinct()
+    assert asked[0].count() == asked[0].select("question").distinct().count() < rows.count() == got.select("query_id").distinct().count()
