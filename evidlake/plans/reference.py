@@ -237,8 +237,9 @@ def reranked_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def evidence_grades_corpus(spark: SparkSession, root: str) -> DataFrame:
-    q, c = _questions(spark, root), _corpus(spark, root)
-    g = ranking.grade(q, lexical.search_corpus(q, c, 5), c)
+    """Grades over the results of all reports; equal questions are asked once."""
+    asks, q, c = *pipeline.asked_once(_questions(spark, root)), _contents(spark, root)
+    g = pipeline.for_all(asks, ranking.grade(q, lexical.search_corpus(q, c, 5), c))
     return g.select("query_id", "sufficient", "needs_retry", "confidence", "reason", F.array_join("matched", " ").alias("matched"), F.array_join("missing", " ").alias("missing"))
 
 

@@ -112,7 +112,7 @@ def test_few_pairs_are_scored_exactly():
     assert sum(pairs) < 12 * 300 * k
 
 
-@pytest.mark.parametrize("query", ["reranked_corpus"])
+@pytest.mark.parametrize("query", ["reranked_corpus", "evidence_grades_corpus"])
 def test_equal_questions_are_ranked_once(spark, monkeypatch, query):
     asked = []
     for name in ("rerank", "grade"):
