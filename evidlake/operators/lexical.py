@@ -275,7 +275,7 @@ def search_corpus(queries: DataFrame, chunks: DataFrame, k: int, block: int = QU
     profiles = members.where(F.col("profile") == F.col("no")).select("no", "dl", "bag")
     held = max(1, math.ceil(profiles.count() / ROWS))
     profiles = profiles.coalesce(held)
-    parts = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / held))
+    parts = math.ceil(2 * spark.sparkContext.defaultParallelism / (held * max(1, math.ceil(asked.count() / block))))  # each part sorts the profiles again
     out = None
     for part in blocks(asked, ["query_id", "bag"], block):
         counts = [(sorted(Counter(number[t] for t in r["bag"].split() if t in number).items()), r["query_id"]) for r in part]
